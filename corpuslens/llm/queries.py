@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, tiff
+from . import language_id, simhash, tiff
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
