@@ -54,17 +54,20 @@ def encoder(tokenizer_path: str, ranks_path: str | None):
     """
     import sys
 
-    made = sys.__dict__.setdefault("_corpuslens_encoders", {})
-    key = (tokenizer_path, ranks_path)
-    if key in made:
-        return made[key]
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(tokenizer_path)
-    whole.encode_special_tokens = True
+    made = sys.__dict__.setdefault("_corpuslens_encoders", {}).setdefault((tokenizer_path, ranks_path), {})
+    if "encode" in made:
+        return made["encode"]
+
+    def whole(text: str) -> list[int]:
+        if "whole" not in made:
+            from tokenizers import Tokenizer
+
+            made["whole"] = Tokenizer.from_file(tokenizer_path)
+            made["whole"].encode_special_tokens = True
+        return made["whole"].encode(text, add_special_tokens=False).ids
+
     if ranks_path is None:
-        made[key] = lambda text: whole.encode(text, add_special_tokens=False).ids
-        return made[key]
+        return whole
     import base64
 
     import public_tokenizers
@@ -76,10 +79,10 @@ def encoder(tokenizer_path: str, ranks_path: str | None):
 
     def encode(text: str) -> list[int]:
         if len(text) > LONG_RUN and (max(map(len, text.split()), default=0) > LONG_RUN or _SPACES.search(text)):
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole(text)
         return fast.encode_ordinary(text)
 
-    made[key] = encode
+    made["encode"] = encode
     return encode
 
 
