@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, licenses, packing, simhash, substrings, tiff, warc
+from . import decontamination, language_id, licenses, packing, simhash, substrings, tiff, warc
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op5_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.deduplicate(docs, keep_text=False, keep_sha=True)
