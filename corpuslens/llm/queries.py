@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, licenses, packing, simhash, substrings, tiff, warc
+from . import chat, decontamination, language_id, licenses, packing, simhash, substrings, tiff, toxicity, warc
 from .common import table
 
 
@@ -49,6 +49,11 @@ def op3_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.predict(docs, toxicity.fit(docs, labels, toxicity.label_columns(labels)))
+
+
 def op5_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(warc.with_revisits(table(spark, sf_dir, "pages")))
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
