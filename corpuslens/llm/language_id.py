@@ -181,6 +181,21 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
     return doc_columns(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, lang_pred string, score double")
 
 
+def known_language(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text is not ``und``; narrow."""
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        own = LanguageFilter({}, 0)
+        vars(own).update(shared.value)
+        for batch in batches:
+            langs, _ = own.predict(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([lang != "und" for lang in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 3, is 1: never learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -2,15 +2,21 @@
 
 1. Fingerprints (narrow): 64-bit SimHash of a text's word shingles; one row of 16 bytes a document is kept.
 2. Equal fingerprints collapse to one row each, whose node is the smallest id.
-3. Candidate buckets: fingerprints that differ in at most DISTANCE = 3 of five bit blocks agree on two whole blocks, so
-   every linked pair meets in one of ten buckets. A bucket of more than ``hot`` fingerprints is dealt again by two of
-   five blocks of its remaining bits. Each level fixes two fifths of what is left (26, then 15, then 9 bits), so after
-   three levels a bucket holds at most 2**14 fingerprints: bounded memory without any cap.
+3. Candidate buckets: of distance + 2 bit blocks, two fingerprints within the distance agree on two whole ones, so
+   every linked pair meets in a bucket (ten kinds of them for 3 bits). A bucket of more than ``hot`` fingerprints is
+   dealt again by two blocks of its remaining bits. For 3 bits each level fixes two fifths of what is left (26, then 15,
+   then 9 bits), so after three levels a bucket holds at most 2**14 fingerprints: bounded memory without any cap.
 4. Within a bucket: fingerprints sorted by Gray rank form a tree whose nodes keep the bits that all below share. A
    search descends level by level, adds up differences in newly fixed bits and prunes a whole group beyond DISTANCE.
    Only edges that join two parts of a bucket are emitted (fewer than its members), never all pairs.
 5. Components over those edges; every document gets the smallest id it can reach.
 
+``near_duplicates`` is that, over repeated 3-word shingles. ``near_copies`` serves filtering at a Jaccard similarity of
+0.8 of 5-word shingles, which a 64-bit fingerprint of shingles at 3 bits would mostly miss: its fingerprint is of the
+distinct words (which a changed word moves less), searched at 5 bits in 21 buckets by the same index, and a pair found
+is linked only if 256 further SimHash bits of the distinct 5-word shingles, with the sets' sizes, put its similarity at
+0.8 or more, less SLACK (standard error 0.04).
+
 Null and empty texts have fingerprint zero and are linked like any other. Null ids get a fingerprint; they take part
 in no minimum, and a component of null ids only has a null id. Texts are read whole; repeated rows stay repeated.
 """
@@ -125,15 +131,26 @@ class GrayIndex:
         return q, node
 
 
-def bucket_edges(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a spanning forest of the links among distinct fingerprints."""
+def _agree(sketches: np.ndarray | None, a, b, similarity: float) -> np.ndarray | bool:
+    """Whether rows a and b are as similar as asked, by their further SimHash bits and (the last column) set sizes."""
+    if sketches is None:
+        return True
+    differ = np.bitwise_count(sketches[a, :-1] ^ sketches[b, :-1]).sum(-1, dtype=np.int64)
+    n, m = sketches[a, -1].astype(np.float64), sketches[b, -1].astype(np.float64)
+    shared = np.cos(np.pi * differ / (64 * (sketches.shape[1] - 1))) * np.sqrt(n * m)
+    return shared >= similarity * (n + m - shared)
+
+
+def bucket_edges(fps: np.ndarray, sketches: np.ndarray | None = None, *, distance: int = DISTANCE, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a spanning forest of the links among fingerprints; with sketches, of those links that they confirm."""
     n = len(fps)
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     if n == 2:
-        near = int(np.bitwise_count(fps[0] ^ fps[1])) <= DISTANCE
+        near = int(np.bitwise_count(fps[0] ^ fps[1])) <= distance and bool(_agree(sketches, 0, 1, similarity))
         return np.arange(near, dtype=np.int64), np.ones(int(near), np.int64)
     index = GrayIndex(fps)
+    sketches = None if sketches is None else sketches[index.order]
     parts = list(range(n))
     left, right = [], []
 
@@ -150,22 +167,26 @@ def bucket_edges(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             left.append(a)
             right.append(b)
 
-    for i in np.flatnonzero(np.bitwise_count(index.fps[1:] ^ index.fps[:-1]) <= DISTANCE).tolist():
+    neighbours = np.arange(n - 1)
+    for i in np.flatnonzero((np.bitwise_count(index.fps[1:] ^ index.fps[:-1]) <= distance) & _agree(sketches, neighbours, neighbours + 1, similarity)).tolist():
         link(i, i + 1)
     step = min(QUERIES, max(16, (1 << 22) // n))
     for at in range(0, n, step):
         labels = np.array([root(i) for i in range(n)], np.int64)
-        q, found = index.search(index.fps[at : at + step], index.uniform(labels), labels[at : at + step])
-        for a, b in zip((q + at).tolist(), found.tolist(), strict=True):
+        q, found = index.search(index.fps[at : at + step], index.uniform(labels), labels[at : at + step], distance)
+        q = q + at
+        good = (q != found) & _agree(sketches, q, found, similarity)
+        for a, b in zip(q[good].tolist(), found[good].tolist(), strict=True):
             link(a, b)
     return index.order[np.array(left, np.int64)], index.order[np.array(right, np.int64)]
 
 
-def _pairs_of_blocks(bits: list[int]) -> list[list[int]]:
-    """The ten unions of two of five blocks of these bit positions."""
-    cuts = [round(i * len(bits) / 5) for i in range(6)]
+def _pairs_of_blocks(bits: list[int], distance: int) -> list[list[int]]:
+    """All unions of two of distance + 2 blocks of these bit positions."""
+    n = distance + 2
+    cuts = [round(i * len(bits) / n) for i in range(n + 1)]
     blocks = [bits[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [blocks[i] + blocks[j] for i in range(5) for j in range(i)]
+    return [blocks[i] + blocks[j] for i in range(n) for j in range(i)]
 
 
 def _mask(bits: list[int]) -> int:
@@ -173,103 +194,148 @@ def _mask(bits: list[int]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _levels(depth: int):
-    """(names of a bucket's kinds, masks of fixed bits) of one level: ten of them, then 100, then 1000."""
+def _level(depth: int, distance: int) -> list[int]:
+    """The masks of the bits that buckets of a level share, by kind: ten of them for 3 bits, then 100, then 1000."""
     kinds = [[]]
     for _ in range(depth):
-        kinds = [done + pair for done in kinds for pair in _pairs_of_blocks([b for b in range(64) if b not in set(done)])]
+        kinds = [done + pair for done in kinds for pair in _pairs_of_blocks([b for b in range(64) if b not in set(done)], distance)]
     return [_mask(k) for k in kinds]
 
 
-def _dealt(nodes: DataFrame, depth: int) -> DataFrame:
-    """node, fp, kind, key: each fingerprint in all its buckets of a level."""
-    masks = _levels(depth)
+def _dealt(nodes: DataFrame, depth: int, distance: int) -> DataFrame:
+    """nodes' columns, kind, key: each fingerprint in all its buckets of a level; beyond the first, nodes have the kind they come from."""
+    names = [c for c in nodes.columns if c != "kind"]
+    masks, n = _level(depth, distance), (distance + 2) * (distance + 1) // 2
     if depth == 1:
         kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-        return nodes.select("node", "fp", F.explode(kinds).alias("b")).select("node", "fp", "b.kind", "b.key")
-    # within a hot bucket only: its kind says which ten follow
-    table = F.array(*[F.lit(m) for m in masks])
-    kinds = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.struct((F.col("kind") * 10 + j).cast("int").alias("kind"), F.col("fp").bitwiseAND(F.get(table, (F.col("kind") * 10 + j).cast("int"))).alias("key")))
-    return nodes.select("node", "fp", F.explode(kinds).alias("b")).select("node", "fp", "b.kind", "b.key")
+    else:
+        own, table = F.col("kind") * n, F.array(*[F.lit(m) for m in masks])
+        kinds = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct((own + j).cast("int").alias("kind"), F.col("fp").bitwiseAND(F.get(table, (own + j).cast("int"))).alias("key")))
+    return nodes.select(*names, F.explode(kinds).alias("b")).select(*names, "b.kind", "b.key")
 
 
-def _searched(dealt: DataFrame) -> DataFrame:
+def _searched(dealt: DataFrame, distance: int, similarity: float) -> DataFrame:
     """a, b: forest edges of every bucket. Rows of a bucket arrive together, in bounded number, and are streamed."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def done(columns: list[np.ndarray], last: bool):
-            """Edges of the buckets that are complete; the unfinished one stays in held."""
-            kind, key, fp, node = columns
-            held.clear()
-            if not len(kind):
-                return [], []
-            cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (key[1:] != key[:-1])) + 1
-            bounds = [0, *cuts.tolist(), len(kind)]
-            if not last:
-                held.append(tuple(c[bounds[-2] :].copy() for c in columns))
-                bounds.pop()
-            a, b = [], []
-            starts, ends = np.array(bounds[:-1], np.int64), np.array(bounds[1:], np.int64)
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                left, right = bucket_edges(fp[s:e])
+    sketch = [c for c in dealt.columns if c.startswith("s")]
+
+    def pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        none = [np.empty(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x + none).astype(np.int64)) for x in (a, b)], names=["a", "b"])
+
+    def search(columns: list[np.ndarray], bounds: list[int]) -> pa.RecordBatch:
+        _, _, node, fp, *further = columns
+        a, b = [], []
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            if e - s > 1:
+                left, right = bucket_edges(fp[s:e], np.stack([x[s:e] for x in further], 1) if further else None, distance=distance, similarity=similarity)
                 a.append(node[s:e][left])
                 b.append(node[s:e][right])
-            return a, b
-
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.empty(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*b, np.empty(0, np.int64)]).astype(np.int64))], names=["a", "b"])
+        return pairs(a, b)
 
+    def run(batches):
+        held: list[np.ndarray] = []  # the rows of the bucket that may go on in the next batch
         for batch in batches:
-            own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            own[2] = own[2].view(np.uint64)
-            columns = [np.concatenate([h[i] for h in held] + [own[i]]) for i in range(4)] if held else own
-            yield out(*done(columns, False))
-        yield out(*done([np.concatenate([h[i] for h in held] or [np.empty(0, np.uint64 if i == 2 else np.int64)]) for i in range(4)], True))
-
-    rows = dealt.select("kind", "key", "fp", "node").repartition("kind", "key").sortWithinPartitions("kind", "key")
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4 + len(sketch))]
+            columns = [c.view(np.uint64) if i > 2 else c for i, c in enumerate(columns)]
+            if held:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+            kind, key = columns[:2]
+            bounds = [0, *(np.flatnonzero((kind[1:] != kind[:-1]) | (key[1:] != key[:-1])) + 1).tolist()] if len(kind) else [0]
+            held = [c[bounds[-1] :].copy() for c in columns]
+            yield search(columns, bounds)
+        if held:
+            yield search(held, [0, len(held[0])])
+
+    rows = dealt.select("kind", "key", "node", "fp", *sketch).repartition("kind", "key").sortWithinPartitions("kind", "key")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_links(nodes: DataFrame, *, hot: int = HOT) -> DataFrame:
-    """a, b: enough links to connect all distinct fingerprints (node, fp) that are within DISTANCE, through any chain."""
-    found, todo = None, _dealt(nodes, 1)
+def near_links(nodes: DataFrame, *, distance: int = DISTANCE, similarity: float = 0.0, hot: int = HOT) -> DataFrame:
+    """a, b: enough links to connect all (node, fp) within the distance, through any chain. Columns s... are further bits and a set size, by which a link is confirmed."""
+    found, todo = None, _dealt(nodes, 1, distance)
     for depth in (1, 2, 3):
+        some = False
         if depth < 3:
-            sizes = todo.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-            sizes = stored(sizes, "buckets")
+            sizes = stored(todo.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
             # single fingerprints go; a hot bucket is dealt again. Both joins are on the bucket: skew joins may split it.
             large = sizes.where(F.col("n") > hot)
-            plain = todo.join(sizes.where(F.col("n") <= hot), ["kind", "key"], "left_semi")
-            edges = _searched(plain)
             some = not large.isEmpty()
+            edges = _searched(todo.join(sizes.where(F.col("n") <= hot), ["kind", "key"], "left_semi"), distance, similarity)
         else:
-            edges, some = _searched(todo), False
+            edges = _searched(todo, distance, similarity)
         found = edges if found is None else found.union(edges)
         if not some:
-            return found
-        todo = _dealt(todo.join(large, ["kind", "key"], "left_semi").select("node", "fp", "kind"), depth + 1)
+            break
+        todo = _dealt(todo.join(large, ["kind", "key"], "left_semi").drop("key"), depth + 1, distance)
     return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, hot: int = HOT) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id of every row."""
     marked = stored(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints").withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
-    nodes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    links = near_links(nodes.where("node is not null"), hot=hot)
-    parts = connected_components(links)
-    # only linked fingerprints are looked up; the rest are components of their own
-    moved = nodes.join(parts, "node").select("fp", F.col("component").alias("component_id"))
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    return marked.join(named, "fp").select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _components(marked, id_col, ["fp"], hot=hot)
+    return found.select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components(marked: DataFrame, id_col: str, key: list[str], **how) -> DataFrame:
+    """marked and component_id. Rows of an equal key are one node, named by their smallest id."""
+    nodes = stored(marked.groupBy(*key).agg(F.min(id_col).alias("node")), "nodes")
+    parts = connected_components(near_links(nodes.where("node is not null").select("node", *key), **how))
+    # only linked nodes are looked up; the rest are components of their own
+    named = stored(nodes.join(parts, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id")), "components")
+    return marked.join(named, key)
+
+
+NEAR_DISTANCE = 5
+SKETCH = 4  # further words of 64 bits
+SLACK = 0.02  # half a standard error of the estimate
+
+
+def copy_marks(text: str | None, words: int) -> list[int]:
+    """SimHash of the distinct words, then SKETCH further words of SimHash bits of the distinct shingles, and their number."""
+    import xxhash
+
+    tokens = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    if not tokens:
+        return [0] * (2 + SKETCH)
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
+    shingles = {joined[a : b - 1] for a, b in zip([0, *ends], ends[words - 1 :], strict=False)} or {joined}
+    own = np.fromiter((digest(t, SEED) for t in set(tokens)), np.uint64)
+    hashes = np.fromiter(map(digest, shingles), np.uint64)
+    rounds = [own]
+    for i in range(SKETCH):
+        mixed = (hashes + np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        rounds.append((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93))
+    out = []
+    for values in rounds:
+        counts = np.zeros(64, np.int64)
+        for i in range(0, len(values), 4096):
+            counts += np.unpackbits(values[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(values), bitorder="little").view(np.uint64)[0]))
+    return [*out, len(shingles)]
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+    """id, component_id of every row: near copies by estimated Jaccard similarity of word shingles, through any chain."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["fp", *[f"s{i}" for i in range(SKETCH + 1)]]
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([copy_marks(t, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))]], names=[id_col, *names])
+
+    marked = stored(doc_columns(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names)), "marks").withColumn(id_col, F.col(f"`{id_col}`").cast("long"))
+    return _components(marked, id_col, names, distance=NEAR_DISTANCE, similarity=similarity - SLACK, hot=hot).select(id_col, "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents whose id is their component's smallest, all columns; of repeated ids one row stays.
 
     Rows with a null id are kept: no decision can name them."""
-    keep = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    keep = near_copies(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     with_id = docs.where(F.col(f"`{id_col}`").isNotNull())
     same = with_id.join(keep, with_id[id_col] == keep["_kept"], "left_semi")
     return same.dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
