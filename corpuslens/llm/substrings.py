@@ -266,13 +266,9 @@ def chunked(docs: DataFrame, *, text_col: str, chunk_bytes: int, parts: int) ->
     return docs.mapInArrow(run, f"chunk_id string, docs binary, blobs {BLOBS}")
 
 
-def _answers(*matches: DataFrame) -> DataFrame:
-    """chunk_id and one array of (part, bits) for each match."""
-    out = None
-    for i, m in enumerate(matches):
-        own = m.groupBy("chunk_id").agg(F.collect_list(F.struct("part", "bits")).alias(f"bits{i}"))
-        out = own if out is None else out.join(own, "chunk_id", "left")
-    return out
+def _answers(match: DataFrame, name: str) -> DataFrame:
+    """chunk_id and one array of (part, bits)."""
+    return match.groupBy("chunk_id").agg(F.collect_list(F.struct("part", "bits")).alias(name))
 
 
 def _unpacked(answers: list[dict] | None, blobs: list[dict], width: int = 1) -> np.ndarray:
@@ -314,7 +310,7 @@ def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fa
     index = FingerprintIndex(spark, fan_in)
     for i in range(batches):
         index.add(blobs.where(F.pmod(F.xxhash64("chunk_id"), F.lit(batches)) == i))
-    anchors = stored(index.match(blobs, added=True), "anchors")
+    anchors = stored(_answers(index.match(blobs, added=True), "bits0"), "anchors")
 
     def verify(arrow):
         for batch in arrow:
@@ -326,8 +322,8 @@ def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fa
                 found = _sliced(first, twice, windows, second)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk_id] * len(found), pa.string()), *[pa.array([b[n] for b in found], t) for n, t in (("part", pa.int32()), ("hashes", pa.binary()), ("multi", pa.binary()))]], names=["chunk_id", "part", "hashes", "multi"])
 
-    candidates = chunks.select("chunk_id", "docs").join(_answers(anchors), "chunk_id").mapInArrow(verify, "chunk_id string, part int, hashes binary, multi binary")
-    repeated = stored(_verified(candidates), "windows")
+    candidates = chunks.select("chunk_id", "docs").join(anchors, "chunk_id").mapInArrow(verify, "chunk_id string, part int, hashes binary, multi binary")
+    repeated = anchors.join(_answers(_verified(candidates), "bits1"), "chunk_id", "left")
     others = [f for f in docs.schema if f.name != text_col]
 
     def finish(arrow):
@@ -364,4 +360,4 @@ def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fa
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "n_words long, n_removed long", *["kept_text string"] * keep_text, *["kept_sha256 string"] * keep_sha])
-    return chunks.select("chunk_id", "docs").join(_answers(anchors, repeated), "chunk_id", "left").select("docs", "bits0", "bits1").mapInArrow(finish, schema)
+    return chunks.select("chunk_id", "docs").join(repeated, "chunk_id", "left").select("docs", "bits0", "bits1").mapInArrow(finish, schema)
