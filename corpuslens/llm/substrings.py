@@ -322,7 +322,8 @@ def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fa
                 found = _sliced(first, twice, windows, second)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk_id] * len(found), pa.string()), *[pa.array([b[n] for b in found], t) for n, t in (("part", pa.int32()), ("hashes", pa.binary()), ("multi", pa.binary()))]], names=["chunk_id", "part", "hashes", "multi"])
 
-    candidates = chunks.select("chunk_id", "docs").join(anchors, "chunk_id").mapInArrow(verify, "chunk_id string, part int, hashes binary, multi binary")
+    # the answers are the small side of each partition: hashed, so that chunks pass by without being sorted
+    candidates = chunks.select("chunk_id", "docs").join(anchors.hint("shuffle_hash"), "chunk_id").mapInArrow(verify, "chunk_id string, part int, hashes binary, multi binary")
     repeated = anchors.join(_answers(_verified(candidates), "bits1"), "chunk_id", "left")
     others = [f for f in docs.schema if f.name != text_col]
 
@@ -360,4 +361,4 @@ def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fa
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "n_words long, n_removed long", *["kept_text string"] * keep_text, *["kept_sha256 string"] * keep_sha])
-    return chunks.select("chunk_id", "docs").join(repeated, "chunk_id", "left").select("docs", "bits0", "bits1").mapInArrow(finish, schema)
+    return chunks.select("chunk_id", "docs").join(repeated.hint("shuffle_hash"), "chunk_id", "left").select("docs", "bits0", "bits1").mapInArrow(finish, schema)
