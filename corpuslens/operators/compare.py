@@ -28,8 +28,9 @@ GROUPS = {
 
 
 def _hits(text: Column, terms: list[str]) -> Column:
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(low, t))
+    """The terms that occur. The text is lower-cased once: inside a lambda it would be for every term."""
+    table = F.array(*[F.lit(t) for t in terms])
+    return F.flatten(F.transform(F.array(F.lower(text)), lambda low: F.filter(table, lambda t: F.contains(low, t))))
 
 
 def _spaced(terms: list[str], spaced: bool) -> list[str]:
@@ -82,8 +83,8 @@ def power_shares() -> dict[str, Column]:
 
 def themes(text: Column, table: list[tuple[str, list[str]]], most: int | None = 10) -> Column:
     """Distinct themes with any term in the text, sorted, at most ``most`` (part of the definition)."""
-    low = F.lower(text)
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(T.has_any(low, ts), F.lit(n)) for n, ts in table]))))
+    found = F.flatten(F.transform(F.array(F.lower(text)), lambda low: F.array_compact(F.array(*[F.when(T.has_any(low, ts), F.lit(n)) for n, ts in table]))))
+    found = F.array_sort(F.array_distinct(found))
     return F.slice(found, 1, most) if most else found
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compare, history, text  # noqa: F401
+from . import compare, history, models, text  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
