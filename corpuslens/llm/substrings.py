@@ -96,11 +96,11 @@ class Words:
             span *= 2
         if span < want:
             least = np.minimum(least[: len(grams) - want + 1], least[want - span :][: len(grams) - want + 1])
-        own = least[self.valid]
+        own = _mix(least[self.valid])  # minima crowd at low values: mixed again, ranges of hashes are even
         distinct = np.unique(own)
         starts = np.arange(len(grams))
         inside = np.repeat(self.ends, self.counts)[starts] >= starts + self.gram
-        there, counts = np.unique(grams[inside], return_counts=True)
+        there, counts = np.unique(_mix(grams[inside]), return_counts=True)
         return own, distinct, counts[np.searchsorted(there, distinct)] > 1
 
     def candidates(self, repeated: np.ndarray, own: np.ndarray, distinct: np.ndarray):
