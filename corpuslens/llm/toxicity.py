@@ -11,7 +11,7 @@ shuffle, one broadcast of at most ``FEATURES`` weights a category.
 
 Null and empty texts have no words and score what the intercepts say. Labels that are null are not learned from; a
 label without a document is ignored. Without labelled rows, or with one class only, a category's probability is its
-share among the labelled rows (0 without any). Repeated rows and equal texts get equal scores; texts are read whole.
+share among the labelled rows (about 0 without any). Repeated rows and equal texts get equal scores; texts are read whole.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train_link(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, *, steps: int = 80, l2: float = 3e-3) -> Link:
+def train_link(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, *, steps: int = 120, l2: float = 3e-5) -> Link:
     """Logistic regression by full gradients with momentum per weight (Adam)."""
     n = len(y)
     share = float((y * weight).sum() / weight.sum()) if n else 0.0
@@ -112,7 +112,7 @@ def train_link(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np.ndar
         z = np.bincount(r, weights=w[:k][c], minlength=n) + earlier @ w[k:-1] + w[-1]
         error = (_sigmoid(z) - y) * scaled
         grad = np.concatenate([np.bincount(c, weights=error[r], minlength=k) if k else np.empty(0), earlier.T @ error, [error.sum()]])
-        grad[:-1] += l2 * w[:-1] / 10
+        grad[:-1] += l2 * w[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         w -= 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, ma
     return train_chain(names, features, y, weight, np.asarray(rows.column("fold")))
 
 
-def predict(docs: DataFrame, chain: Chain, *, main: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, chain: Chain, *, main: str = "toxic", threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, main (boolean), p_<category> of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = chain.names

@@ -208,7 +208,7 @@ def export(bundles: DataFrame, uri: str) -> DataFrame:
         for batch in batches:
             names, sizes = [], []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_output_stream(f"{base}/{key}.warc.zst") as f:
+                with store.open_output_stream(f"{base}/{key}.warc.zst", compression=None) as f:
                     f.write(data)
                 names.append(f"{key}.warc.zst")
                 sizes.append(len(data))
