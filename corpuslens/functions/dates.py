@@ -40,7 +40,7 @@ def month_number(name: Column) -> Column:
 def _date(year: Column, month: Column | str, day: Column | str) -> Column:
     part = lambda c, n: F.lpad(c if isinstance(c, Column) else F.lit(c), n, "0")
     text = F.concat(part(year, 4), F.lit("-"), part(month, 2), F.lit("-"), part(day, 2))
-    return F.when(F.length(text) == 10, F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when((F.length(text) == 10) & (F.length(year) <= 4), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def parse_date(text: Column) -> Column:

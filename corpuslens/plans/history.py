@@ -15,7 +15,7 @@ from .text import q, sql_any
 
 def _date_sql(y: str, m: str, d: str) -> str:
     t = f"concat(lpad({y}, 4, '0'), '-', lpad({m}, 2, '0'), '-', lpad({d}, 2, '0'))"
-    return f"CASE WHEN length({t}) = 10 THEN try_cast({t} AS DATE) END"
+    return f"CASE WHEN length({t}) = 10 AND length({y}) <= 4 THEN try_cast({t} AS DATE) END"
 
 
 def _g(s: str, i: int, n: int) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import cleaning
 from ..operators import features as X
 from . import corpora as C
 from .registry import query, table
@@ -295,3 +296,8 @@ def embedding_cosine_topk(spark, sf_dir):
 @query("WITH d AS (SELECT a.vec_id AS i, a.label AS l, b.label AS m, avg(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL), p AS (SELECT i, l, min(d) FILTER (l = m) AS a, min(d) FILTER (l <> m) AS b FROM d GROUP BY ALL) SELECT l AS label, count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM p GROUP BY l")
 def silhouette_by_label(spark, sf_dir):
     return X.silhouette(table(spark, sf_dir, "embeddings")).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query()
+def clean_protected(spark, sf_dir):
+    return cleaning.cleaned(C.history(spark, sf_dir))
