@@ -12,7 +12,7 @@ LONG = "The Treaty of Paris was signed in 1783 and ended the war. " * 4
 
 
 def folder(path):
-    (path / "bar-1980.txt").write_text("By John Smith\n" + LONG)
+    (path / "bar-1980.txt").write_text("By John Smith.\n" + LONG)
     (path / "latin.txt").write_bytes(("é " + LONG).encode("latin-1"))
     (path / "short.txt").write_text("too short")
     (path / "page.html").write_text(f"<html><head><style>x</style></head><body><nav>menu</nav><p>First &amp; only</p><script>y</script><p> {LONG} </p></body></html>")
