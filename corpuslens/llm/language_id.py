@@ -15,8 +15,6 @@ alphabetically first language wins. Texts of any length are read whole.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,13 +28,12 @@ ORDERS = (3, 5)
 MAX_LANGUAGES = 64
 PIECE = 1 << 20  # bytes looked up at once
 
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def normalized(text: str | None) -> bytes | None:
     """Lower-case letters as UTF-8, other ASCII as single spaces; None if there is no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_KEEP).split()) + b" "
 
