@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..sources.scratch import stored
+from .graph import connected_components
 
 REACH = 200
 
@@ -81,71 +83,100 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
-def similarity_pairs(e: DataFrame, *, threshold: float = 0.7) -> DataFrame:
-    """a, b, similarity of events at or above the threshold: .4, .2 or .1 for years within 1, 5 or 10, .4 Jaccard of words, .2 of entities.
+def _distinct_events(e: DataFrame, id_col: str) -> DataFrame:
+    """One row for equal events (year, date, precision, description, entities), with their number, sources and confidence."""
+    names = F.array_sort(F.array_distinct(F.transform("entities", lambda x: F.lower(x["entity"]))))
+    date = F.coalesce("date", F.to_date(F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-06-15"))))
+    d = e.where("year != 0").select("year", date.alias("date"), "precision", "description", F.array_sort(word_set(F.col("description"))).alias("words"), names.alias("names"), "confidence", F.col(id_col).cast("string").alias("source"), "event_id")
+    return d.groupBy("year", "date", "precision", "description", "words", "names").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.sum("confidence").alias("confidence"))
+
 
-    Without the year part at most .6 is possible, so pairs are within 10 years: each event looks into its own decade's
-    bucket and the next. Equal (year, description, entities) are collapsed first; a group of copies has one row here."""
+def _candidates(one: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of rows (year, words, names, event_id) at or above the threshold, each pair once.
+
+    Years give at most .4 and entities .2, so word sets must reach a Jaccard of t = (threshold - .6) / .4. Two such sets
+    share a word among the first n - ceil(t * n) + 1 of each, with rare words first: the join is on that word and the
+    decade, so what all events have in common brings no pairs together."""
     if threshold <= 0.6:
-        raise ValueError("pairs without near years can reach .6")
-    names = F.array_sort(F.array_distinct(F.transform("entities", lambda x: F.lower(x["entity"]))))
-    base = e.where("year != 0").select("year", word_set(F.col("description")).alias("words"), names.alias("names"), "event_id")
-    one = base.groupBy("year", F.array_sort("words").alias("words"), "names").agg(F.min("event_id").alias("event_id"))
+        raise ValueError("pairs without shared words can reach .6")
+    least = (threshold - 0.6) / 0.4
+    often = one.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    ordered = one.select("event_id", F.explode("words").alias("w")).join(often, "w").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("o"))
+    size = F.size("words")
+    first = F.slice(F.transform("o", lambda x: x["w"]), 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
+    keyed = one.join(ordered, "event_id").select("event_id", "year", "words", "names", F.explode(first).alias("key"))
     bucket = F.floor(F.col("year") / 11)
-    a = one.select(F.col("year").alias("y1"), F.col("words").alias("w1"), F.col("names").alias("n1"), F.col("event_id").alias("a"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    b = one.select(F.col("year").alias("y2"), F.col("words").alias("w2"), F.col("names").alias("n2"), F.col("event_id").alias("b"), bucket.alias("bucket"))
+    a = keyed.select("key", F.col("event_id").alias("a"), F.col("year").alias("y1"), F.col("words").alias("w1"), F.col("names").alias("n1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    b = keyed.select("key", F.col("event_id").alias("b"), F.col("year").alias("y2"), F.col("words").alias("w2"), F.col("names").alias("n2"), bucket.alias("bucket"))
     gap = F.abs(F.col("y1") - F.col("y2"))
     years = F.when(gap <= 1, 0.4).when(gap <= 5, 0.2).when(gap <= 10, 0.1).otherwise(0.0)
     both = (F.size("n1") > 0) & (F.size("n2") > 0)
     score = years + 0.4 * jaccard(F.col("w1"), F.col("w2")) + F.when(both, 0.2 * jaccard(F.col("n1"), F.col("n2"))).otherwise(0.0)
     # a cheap bound first: word sets whose sizes alone rule the threshold out never get compared
     bound = years + 0.4 * F.least(F.size("w1"), F.size("w2")) / F.greatest(F.size("w1"), F.size("w2"), F.lit(1)) + F.when(both, 0.2).otherwise(0.0)
-    pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (gap <= 10) & (bound >= threshold))
-    return pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = a.join(b, ["key", "bucket"]).where((F.col("a") < F.col("b")) & (gap <= 10) & (bound >= threshold))
+    return pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12).distinct()
 
 
-def merged(e: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
-    """Leader clustering in timeline order, then one event per leader: earliest event of the best precision, sources, mean confidence, merged_from.
+def similarity_pairs(e: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+    """a, b, similarity of events at or above the threshold: .4, .2 or .1 for years within 1, 5 or 10, .4 Jaccard of words, .2 of entities.
 
-    A leader takes events within 10 years only, so the pass runs per component of years: runs of years without a gap of
-    more than 10. Equal events are collapsed before and counted after, so a group holds distinct events only."""
+    Equal (year, words, entities) are collapsed first and named by their smallest id: a group of copies has one row here."""
     names = F.array_sort(F.array_distinct(F.transform("entities", lambda x: F.lower(x["entity"]))))
-    d = e.where("year != 0").select("year", F.coalesce("date", F.to_date(F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-06-15")))).alias("date"), "precision", "description", F.array_sort(word_set(F.col("description"))).alias("words"), names.alias("names"), "confidence", F.col(id_col).cast("string").alias("source"), "event_id")
-    one = d.groupBy("year", "date", "precision", "description", "words", "names").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.sum("confidence").alias("confidence"))
-    years = one.select("year").distinct()
-    breaks = years.withColumn("new", (F.col("year") - F.lag("year", 1, -10_000).over(Window.orderBy("year")) > 10).cast("int"))
-    runs = breaks.select("year", F.sum("new").over(Window.orderBy("year")).alias("run"))  # at most one row a year
+    base = e.where("year != 0").select("year", F.array_sort(word_set(F.col("description"))).alias("words"), names.alias("names"), "event_id")
+    return _candidates(base.groupBy("year", "words", "names").agg(F.min("event_id").alias("event_id")), threshold)
+
+
+def _led(frame: pd.DataFrame, threshold: float) -> list[tuple]:
+    """Leader clustering of one component's events in timeline order."""
+    frame = frame.sort_values(["date", "event_id"], kind="stable").reset_index(drop=True)
+    words, people = [frozenset(w) for w in frame["words"]], [frozenset(n) for n in frame["names"]]
+    rank = frame["precision"].map(D.RANK).fillna(0).astype(int).tolist()
+    year, open_, leader = frame["year"].tolist(), [], []
+    for i in range(len(frame)):
+        open_ = [j for j in open_ if year[i] - year[j] <= 10]  # later events are later in time
+        found = i
+        for j in open_:
+            gap = abs(year[i] - year[j])
+            union = len(words[i] | words[j])
+            score = (0.4 if gap <= 1 else 0.2 if gap <= 5 else 0.1) + (0.4 * len(words[i] & words[j]) / union if union else 0)
+            if people[i] and people[j]:
+                score += 0.2 * len(people[i] & people[j]) / len(people[i] | people[j])
+            if score >= threshold - 1e-12:
+                found = j
+                break
+        leader.append(found)
+        if found == i:
+            open_.append(i)
+    out = []
+    for j in sorted(set(leader)):
+        own = [i for i in range(len(frame)) if leader[i] == j]
+        best = max(own, key=lambda i: (rank[i], -i))
+        kept: list[int] = []
+        for i in own:
+            if all(not (words[i] & words[k]) for k in kept):
+                kept.append(i)
+        n = int(frame["n"][own].sum())
+        out.append((frame["event_id"][best], int(year[best]), frame["precision"][best], "; ".join(frame["description"][k] for k in kept[:3]), n, int(frame["n_sources"][own].sum()), float(frame["confidence"][own].sum() / n)))
+    return out
+
+
+def merged(e: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
+    """Leader clustering in timeline order, then one event per leader: earliest event of the best precision, descriptions without a shared word, number of merged events and sources, mean confidence.
+
+    A leader only takes events that are similar to it, so the pass over all events equals passes over the connected
+    components of the similarity graph; events similar to none pass by without a group. Equal events are one row."""
+    one = stored(_distinct_events(e, id_col), "events")
+    pairs = _candidates(one.select("year", "words", "names", "event_id"), threshold)
+    ids = one.select("event_id", F.xxhash64("event_id").alias("node"))
+    links = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    parts = connected_components(links)
+    linked = one.join(ids.join(parts, "node"), "event_id").drop("node")
+    names = ["event_id", "year", "precision", "description", "merged_from", "n_sources", "confidence"]
 
     def leaders(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["date", "event_id"], kind="stable").reset_index(drop=True)
-        words, people = [frozenset(w) for w in frame["words"]], [frozenset(n) for n in frame["names"]]
-        rank = frame["precision"].map(D.RANK).fillna(0).astype(int).tolist()
-        year, open_, leader = frame["year"].tolist(), [], []
-        for i in range(len(frame)):
-            open_ = [j for j in open_ if year[i] - year[j] <= 10]  # later events are later in time
-            found = i
-            for j in open_:
-                gap = abs(year[i] - year[j])
-                union = len(words[i] | words[j])
-                score = (0.4 if gap <= 1 else 0.2 if gap <= 5 else 0.1) + (0.4 * len(words[i] & words[j]) / union if union else 0)
-                if people[i] and people[j]:
-                    score += 0.2 * len(people[i] & people[j]) / len(people[i] | people[j])
-                if score >= threshold:
-                    found = j
-                    break
-            leader.append(found)
-            if found == i:
-                open_.append(i)
-        out = []
-        for j in sorted(set(leader)):
-            own = [i for i in range(len(frame)) if leader[i] == j]
-            best = max(own, key=lambda i: (rank[i], -i))
-            kept: list[str] = []
-            for i in own:
-                if all(not (words[i] & words[k]) for k in own if frame["description"][k] in kept):
-                    kept.append(frame["description"][i])
-            n = int(frame["n"][own].sum())
-            out.append((frame["event_id"][best], int(year[best]), frame["precision"][best], "; ".join(kept[:3]), n, int(frame["n_sources"][own].sum()), float(frame["confidence"][own].sum() / n)))
-        return pd.DataFrame(out, columns=["event_id", "year", "precision", "description", "merged_from", "n_sources", "confidence"])
-
-    return one.join(runs, "year").groupBy("run").applyInPandas(leaders, "event_id string, year int, precision string, description string, merged_from long, n_sources long, confidence double")
+        return pd.DataFrame(_led(frame, threshold), columns=names)
+
+    grouped = linked.groupBy("component").applyInPandas(leaders, "event_id string, year int, precision string, description string, merged_from long, n_sources long, confidence double")
+    alone = one.join(linked.select("event_id"), "event_id", "left_anti")
+    return grouped.union(alone.select("event_id", "year", "precision", "description", F.col("n").alias("merged_from"), "n_sources", (F.col("confidence") / F.col("n")).alias("confidence")))

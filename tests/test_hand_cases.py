@@ -180,3 +180,13 @@ def test_kmeans_of_few(spark):
     v = ml.as_vectors(spark.createDataFrame([(1, [0.0, 1.0])], "i long, a array<double>"), "i", "a")
     made, score = ml.kmeans(v, id_col="i")
     assert [tuple(r) for r in made.collect()] == [(1, 0)] and score is None
+
+
+def test_merge_equals_one_pass_over_all(spark):
+    rng = np.random.default_rng(5)
+    words = "war peace treaty king queen europe began ended long short".split()
+    rows = [(int(1900 + rng.integers(0, 40)), " ".join(rng.choice(words, rng.integers(2, 6)))) for _ in range(120)]
+    e = events(spark, rows)
+    frame = timeline._distinct_events(e, "doc_id").toPandas()
+    want = sorted((r[0], r[1], r[4]) for r in timeline._led(frame, 0.7))
+    assert sorted((r.event_id, r.year, r.merged_from) for r in timeline.merged(e).collect()) == want
