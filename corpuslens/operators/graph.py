@@ -12,20 +12,18 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     """node, component (its smallest node) for every node of ``edges`` (a, b: long).
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each is a minimum per node, pre-aggregated before
-    the shuffle, written, and joined back to the edges: as both sides of that join are shuffled for it alone, adaptive
-    execution splits a hub's edges. The driver sees one count and one checksum per round. Each round is written to the shared folder.
-    Self loops, repeated edges and nulls are dropped; an empty list gives no rows.
+    the shuffle and joined back to the edges. The driver sees one count and one checksum per round, and each round is
+    written to the shared folder. Self loops, repeated edges and nulls are dropped; an empty list gives no rows.
     """
     now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         # large star: each node's larger neighbours go to the smallest node around it
         both = now.union(now.select("b", "a"))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # small star: each node's smaller neighbours, and itself, go to the smallest of them
-        large = stored(large, "large")
-        least = stored(large.groupBy("b").agg(F.min("a").alias("m")), "least")
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         now = stored(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")).distinct(), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
