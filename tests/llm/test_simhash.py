@@ -100,6 +100,42 @@ def test_near_copies_at_similarity(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_appended_cut_and_replaced_copies(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(5000)]
+    pick = lambda n: [words[i] for i in rng.integers(0, 5000, n)]
+    rows, pairs = [], {}
+    for i in range(300):
+        n = int(rng.integers(60, 600))
+        base, k = pick(n), n // 10
+        at = int(rng.integers(0, n - k))
+        copy = [base + pick(2 * k - 1), base[: n - 2 * k + 4], base[:at] + pick(max(1, k - 3)) + base[at + max(1, k - 3) :]][i % 3]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        pairs[2 * i + 1] = jaccard(rows[-2][1], rows[-1][1])
+    got = {r.doc_id: r.component_id for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike = [i for i, j in pairs.items() if j >= 0.8]
+    assert len(alike) > 200
+    assert all(got[i] == (i - 1 if j >= 0.8 else i) for i, j in pairs.items())
+
+
+def test_large_bucket_of_near_copies():
+    rng = np.random.default_rng(4)
+    groups = [[f"g{g}w{i}" for i in rng.integers(0, 5000, 300)] for g in range(3)]
+    texts = [(g, " ".join([*w[: 300 - int(rng.integers(0, 20))], *(f"e{i}" for i in rng.integers(0, 9999, 5))])) for g, w in enumerate(groups) for _ in range(60)]
+    sketches = np.array([S.copy_marks(t, 5)[S.BANDS :] for _, t in texts], np.uint64)
+    pairs = {(int(x), int(y)) for a, b in S.large_bucket_pairs(sketches, 0.8) for x, y in zip(a, b, strict=True)}
+    part = list(range(len(texts)))
+    for a, b in sorted(pairs):
+        if jaccard(texts[a][1], texts[b][1]) >= 0.8:
+            part = [min(part[a], part[b]) if p in (part[a], part[b]) else p for p in part]
+    assert part == [g * 60 for g, _ in texts] and len(pairs) < 1000
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
