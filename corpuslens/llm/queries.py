@@ -68,7 +68,7 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     turns = chat.formatted_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
-    return chat.read_back(turns)
+    return chat.read_back(turns, chat.prefix_targets(turns))
 
 
 def op8_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
