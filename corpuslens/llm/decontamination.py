@@ -29,9 +29,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 1_000_000  # about 40 bytes each
 
 
-def _words(text: Column, exact: bool) -> Column:
-    """exact: A-Z lower-cased only. Else all letters, which is faster and equal wherever the exact words are equal."""
-    plain = F.translate(text, UPPER, LOWER) if exact else F.lower(text)
+def _words(text: Column) -> Column:
+    """A-Z lower-cased only: what becomes of other letters may depend on their neighbours (a capital sigma does)."""
+    plain = F.translate(text, UPPER, LOWER)
     # a separator at either end makes the first and the last piece empty, always
     pieces = F.split(F.concat(F.lit(" "), F.coalesce(plain, F.lit("")), F.lit(" ")), SEPARATORS)
     return F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
@@ -72,15 +72,14 @@ def _lengths(w: int) -> tuple[int, int]:
 
 def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """cls, item_words, n_item, item_ids: equal word sequences are one class."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), _words(F.col(f"`{text_col}`"), True).alias("item_words")).where(F.size("item_words") > 0)
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), _words(F.col(f"`{text_col}`")).alias("item_words")).where(F.size("item_words") > 0)
     grouped = rows.groupBy("item_words").agg(F.collect_list("item_id").alias("item_ids"))
     return grouped.select(F.xxhash64(F.array_join("item_words", " ")).alias("cls"), "item_words", F.size("item_words").alias("n_item"), "item_ids")
 
 
 def _matched(texts: DataFrame, items: DataFrame, k: int, w: int, broadcast_rows: int) -> DataFrame:
     """doc, mark, cls, shift of every shared fingerprint."""
-    lower = items.select("cls", F.transform("item_words", lambda x: F.lower(x)).alias("words"))
-    index = stored(fingerprints(lower, k, w).withColumnRenamed("place", "item_place"), "benchmark")
+    index = stored(fingerprints(items.select("cls", F.col("item_words").alias("words")), k, w).withColumnRenamed("place", "item_place"), "benchmark")
     small = index.count() <= broadcast_rows
     found = fingerprints(texts, k, w).join(F.broadcast(index) if small else index, "h")
     return found.select("doc", "mark", "cls", (F.col("place") - F.col("item_place")).alias("shift"))
@@ -104,8 +103,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = stored(items_of(benchmark, item_col, item_text_col), "items")
     # a row is known by its id (null included) and a hash of its text
     own = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.col(f"`{text_col}`").alias("text"))
-    counted = own.select("doc", "mark", F.size(_words(F.col("text"), False)).cast("long").alias("n_words"))
-    texts = own.select("doc", "mark", _words(F.col("text"), False).alias("words"))
+    counted = own.select("doc", "mark", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
+    texts = own.select("doc", "mark", _words(F.col("text")).alias("words"))
     bounds = items.agg(F.count("*").alias("n"), F.min(F.when(F.col("n_item") < window, F.col("n_item"))).alias("short"), F.count(F.when(F.col("n_item") >= window, 1)).alias("long")).first()
     matches = []
     if bounds["long"]:
@@ -124,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     of_row = named.groupBy("doc", "mark").agg(F.collect_list(F.struct("shift", "item_words", "n_item", "item_ids")).alias("hits"))
     wanted = hits.select("doc", "mark").distinct()
     # words are made between two joins, so once for all of a row's alignments
-    read = own.join(wanted, row_is(own, wanted), "left_semi").dropDuplicates(["doc", "mark"]).select("doc", "mark", _words(F.col("text"), True).alias("words"))
+    read = own.join(wanted, row_is(own, wanted), "left_semi").dropDuplicates(["doc", "mark"]).select("doc", "mark", _words(F.col("text")).alias("words"))
     checked = read.join(of_row, row_is(read, of_row)).select(read["doc"], read["mark"], F.transform("hits", lambda x: F.struct(_same_words(F.col("words"), x).alias("same"), x["shift"].alias("shift"), x["n_item"].alias("n_item"), x["item_ids"].alias("item_ids"))).alias("hits"))
     checked = checked.select("doc", "mark", F.filter(F.transform("hits", lambda x: F.struct(_covered(x, window).alias("places"), x["item_ids"].alias("item_ids"))), lambda x: F.size(x["places"]) > 0).alias("hits"))
     done = stored(checked.select("doc", "mark", F.size(F.array_distinct(F.flatten(F.col("hits.places")))).cast("long").alias("n_hit"), F.array_sort(F.flatten(F.array_distinct(F.col("hits.item_ids")))).alias("item_ids")).where("n_hit > 0"), "contaminated")

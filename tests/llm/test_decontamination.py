@@ -53,6 +53,15 @@ def test_against_brute_force(spark, broadcast_rows):
     assert run(spark, docs, items, broadcast_rows=broadcast_rows) == brute(docs, items)
 
 
+def test_words_whose_lower_case_depends_on_neighbours(spark):
+    rng = random.Random(6)
+    pick = lambda n: ["".join(rng.choices("ΑΒΓΔΕΟΣ", k=4)) for _ in range(n)]
+    items = [(i, " ".join([*pick(5), "Α.Σ", *pick(5)])) for i in range(200)]
+    docs = [(i, ".".join([*pick(3), *text.split(" "), *pick(3)])) for i, text in items]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items) and all(str(doc) in found for doc, _, _, found in got)
+
+
 def test_only_short_or_no_items(spark):
     docs = [(1, "one two three four"), (2, "three"), (3, "")]
     for items in ([(1, "two three"), (2, "four")], [(1, "")], []):
