@@ -46,15 +46,16 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(tokenizer_path: str, ranks_path: str | None):
-    """text -> ids, as the tokenizer file gives them (no special tokens added; their strings are ordinary text).
+def encoder(tokenizer_path: str, ranks_path: str | None, *, added: bool = False):
+    """text -> ids, as the tokenizer file gives them (no special tokens added). added: strings of the file's added tokens are those tokens, as in the file as loaded; else they are ordinary text.
 
     With a ranks file of the same vocabulary the faster library is used for all but texts with extremely long runs,
-    where its merging is quadratic. One encoder a process.
+    where its merging is quadratic, and (with added) texts that hold such a string. One encoder a process.
     """
+    import json
     import sys
 
-    made = sys.__dict__.setdefault("_corpuslens_encoders", {}).setdefault((tokenizer_path, ranks_path), {})
+    made = sys.__dict__.setdefault("_corpuslens_encoders", {}).setdefault((tokenizer_path, ranks_path, added), {})
     if "encode" in made:
         return made["encode"]
 
@@ -63,7 +64,7 @@ def encoder(tokenizer_path: str, ranks_path: str | None):
             from tokenizers import Tokenizer
 
             made["whole"] = Tokenizer.from_file(tokenizer_path)
-            made["whole"].encode_special_tokens = True
+            made["whole"].encode_special_tokens = not added
         return made["whole"].encode(text, add_special_tokens=False).ids
 
     if ranks_path is None:
@@ -76,8 +77,12 @@ def encoder(tokenizer_path: str, ranks_path: str | None):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(tokenizer_path, encoding="utf-8") as f:
+        marks = [t["content"] for t in json.load(f).get("added_tokens") or []] if added else []
 
     def encode(text: str) -> list[int]:
+        if any(m in text for m in marks):
+            return whole(text)
         if len(text) > LONG_RUN and (max(map(len, text.split()), default=0) > LONG_RUN or _SPACES.search(text)):
             return whole(text)
         return fast.encode_ordinary(text)
@@ -94,7 +99,7 @@ def tokenized_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
-        encode = encoder(tokenizer_path, ranks_path)
+        encode = encoder(tokenizer_path, ranks_path, added=True)
         ids, rows, held = [], [], 0
 
         def chunk():

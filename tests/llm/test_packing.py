@@ -96,6 +96,14 @@ def test_fast_encoder_agrees(tokenizer):
         assert encode(text) == slow(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_in_the_file(spark):
+    plain = Tokenizer.from_file(P.default_paths()[0])
+    texts = {1: "a<|endoftext|>b", 2: "<|endoftext|>", 3: "no mark", 4: "x" * 5000 + " <|endoftext|><|endoftext|> é", 5: "<|endoftext| >"}
+    assert plain.encode(texts[1], add_special_tokens=False).ids == [64, 50256, 65]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in texts.items()], "doc_id long, text string, source string")
+    check(P.pack(docs).collect(), texts, plain)
+
+
 def test_edges(spark, tokenizer):
     rows = [(1, None, "a"), (2, "", None), (3, "text", None), (None, "null id", "b"), (5, "long " * 30_000, "a")]
     docs = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, source string, start string, grp int")
