@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import sql
@@ -107,14 +108,16 @@ def test_streaming(spark, tmp_path, small):
     assert S.sessions(events).agg(F.sum("n")).first()[0] == events.count()
 
 
-def test_engine_works_without_the_llm_package(tmp_path):
+@pytest.mark.parametrize("gone", [("corpuslens/llm", "tests/llm"), ("corpuslens/llm", "tests/llm", "corpus_pipeline.py")])
+def test_engine_works_without_the_llm_package(tmp_path, gone):
     import os
     import shutil
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(f"{root}/corpuslens", tmp_path / "corpuslens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": ""})
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for name in gone:
+        (shutil.rmtree if os.path.isdir(tmp_path / "repo" / name) else os.remove)(tmp_path / "repo" / name)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=os.environ | {"PYTHONPATH": ""})
