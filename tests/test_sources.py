@@ -121,3 +121,21 @@ def test_engine_works_without_the_llm_package(tmp_path, gone):
         (shutil.rmtree if os.path.isdir(tmp_path / "repo" / name) else os.remove)(tmp_path / "repo" / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=os.environ | {"PYTHONPATH": ""})
+
+
+def test_shared_folder(spark, tmp_path):
+    from corpuslens.sources import scratch
+
+    path = f"file://{tmp_path}/notes/1.json"
+    scratch.write_text(spark, path, '{"é": 1}')
+    assert scratch.read_text(spark, path) == '{"é": 1}' and scratch.names_in(spark, f"file://{tmp_path}/notes") == ["1.json"]
+    with pytest.raises(FileExistsError):
+        scratch.write_text(spark, path, "again")
+    assert scratch.names_in(spark, f"file://{tmp_path}/none") == []
+
+    class Cluster:
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Cluster)
