@@ -1,46 +1,13 @@
-"""What the operators share: scratch space all executors see, and small helpers."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, scratch, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary one."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir is None:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="corpuslens-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/corpuslens/{name}-{uuid.uuid4().hex}"
-    hadoop_path, fs = _path(spark, path)
-    fs.deleteOnExit(hadoop_path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop_path, fs = _path(spark, path)
-    fs.delete(hadoop_path, True)
-
-
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["doc_columns", "remove", "scratch", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import doc_columns, stored
-from .components import connected_components
 
 DISTANCE = 3
 SEED = 42

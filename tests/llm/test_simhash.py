@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from corpuslens.llm import simhash as S
-from corpuslens.llm.components import connected_components
+from corpuslens.operators.graph import connected_components
 from corpuslens.llm.queries import op3_simhash_gray
 
 
