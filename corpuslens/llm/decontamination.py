@@ -3,35 +3,40 @@
 1. Winnowing: of every ``w`` neighbouring k-word hashes the smallest is a fingerprint (all places of it, where it stands
    more than once). With k + w - 1 = the window's length, any shared window holds a shared fingerprint at the same
    place in both texts: the guarantee of Schleimer, Wilkerson and Aiken (2003).
-2. Fingerprints of documents and items are joined; a hit names an item and an alignment (place in the document less
-   place in the item). Documents' fingerprints stream past the items' if those are few enough to be broadcast
-   (``broadcast_rows``, counted); beyond that both sides are shuffled and skewed hashes may be split.
-3. Extension: documents with hits are read again, and the item's words are compared with the document's along each
-   alignment. Every run of a whole window of equal words counts; words, not hashes, decide.
-
-Items of fewer words than the window are one window each; they get fingerprints with a shorter k + w - 1, the shortest
-of their lengths, in a second pass that is planned only where such items exist. Null and empty texts have no words and
-no hits; an item without words never matches. Equal items are compared once and reported each. Rows that repeat
-an id are judged each by its own text; a null id is an id like any other.
+2. Documents' fingerprints are semi-joined with the distinct ones of the items, so a hit is a place in a document, however
+   many items hold it. A fingerprint of the index is one long, so counting them (``broadcast_rows``) bounds the bytes of
+   its broadcast; beyond that both sides are shuffled and skewed hashes may be split.
+3. Extension: documents with hits are read again; around each hit the whole windows that hold it are spelled out and
+   joined with the items' distinct windows. Words, not hashes, decide.
+4. A document's matched windows are merged into covered words by a running maximum, streamed per document: its windows
+   are at most as many as its words, whatever repeats in it or in the items.
+
+Items of fewer words than the window are one window each; every length that occurs among them has a pass of its own with
+a k and w of its own, planned only where such items exist.
+
+Null and empty texts have no words and no hits; an item without words never matches. An item is what its id names: rows
+that share an id are one item, found if any of their texts is; a null id is an item named by the empty string. Rows of
+documents that repeat an id are judged each by its own text; a null id is an id like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 WINDOW = 10
-# What separates words once A-Z is lower case.
+# What separates words once A-Z is lower case, and what words are made of before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 1_000_000  # about 40 bytes each
+BROADCAST_ROWS = 1_000_000  # of one long each, about 40 bytes when hashed
 
 
 def _words(text: Column) -> Column:
     """A-Z lower-cased only: what becomes of other letters may depend on their neighbours (a capital sigma does)."""
-    plain = F.translate(text, UPPER, LOWER)
+    plain = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
     # a separator at either end makes the first and the last piece empty, always
     pieces = F.split(F.concat(F.lit(" "), F.coalesce(plain, F.lit("")), F.lit(" ")), SEPARATORS)
     return F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
@@ -64,75 +69,94 @@ def fingerprints(texts: DataFrame, k: int, w: int) -> DataFrame:
     return marks.select(*keys, "place", F.col("x.gram").alias("h"))
 
 
-def _lengths(w: int) -> tuple[int, int]:
-    """k and w of a guarantee for windows of this many words."""
-    k = max(1, w // 2)
-    return k, w - k + 1
+def _lengths(n: int) -> tuple[int, int]:
+    """k and w of a guarantee for windows of n words."""
+    k = max(1, n // 2)
+    return k, n - k + 1
 
 
-def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """cls, item_words, n_item, item_ids: equal word sequences are one class."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), _words(F.col(f"`{text_col}`")).alias("item_words")).where(F.size("item_words") > 0)
-    grouped = rows.groupBy("item_words").agg(F.collect_list("item_id").alias("item_ids"))
-    return grouped.select(F.xxhash64(F.array_join("item_words", " ")).alias("cls"), "item_words", F.size("item_words").alias("n_item"), "item_ids")
+def items_of(benchmark: DataFrame, item_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
+    """cls, words, n (of its windows), item_ids: equal word sequences are one class."""
+    rows = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item_id"), _words(F.col(f"`{text_col}`")).alias("words")).where(F.size("words") > 0)
+    return rows.groupBy("words").agg(F.collect_set("item_id").alias("item_ids")).select(F.md5(F.array_join("words", " ")).alias("cls"), "words", F.least(F.size("words"), F.lit(window)).alias("n"), "item_ids")
 
 
-def _matched(texts: DataFrame, items: DataFrame, k: int, w: int, broadcast_rows: int) -> DataFrame:
-    """doc, mark, cls, shift of every shared fingerprint."""
-    index = stored(fingerprints(items.select("cls", F.col("item_words").alias("words")), k, w).withColumnRenamed("place", "item_place"), "benchmark")
-    small = index.count() <= broadcast_rows
-    found = fingerprints(texts, k, w).join(F.broadcast(index) if small else index, "h")
-    return found.select("doc", "mark", "cls", (F.col("place") - F.col("item_place")).alias("shift"))
-
+def _spelled(words: Column, start: Column, n: int) -> Column:
+    """n words from a place (from 0) as text; no word holds a space."""
+    return F.array_join(F.slice(words, start + 1, n), " ")
 
-def _same_words(words: Column, hit: Column) -> Column:
-    """A digit for each word of the item: 1 where the document has it at this alignment."""
-    same = F.transform(F.sequence(F.lit(0), hit["n_item"] - 1), lambda j: F.when(F.get(words, hit["shift"] + j) == F.get(hit["item_words"], j), "1").otherwise("0"))
-    return F.array_join(same, "")
 
-
-def _covered(hit: Column, window: int) -> Column:
-    """Places of the document's words under whole equal windows."""
-    size = F.least(hit["n_item"], F.lit(window))
-    starts = F.filter(F.sequence(F.lit(1), hit["n_item"] - size + 1), lambda s: F.substring(hit["same"], s, size) == F.repeat(F.lit("1"), size))
-    return F.flatten(F.transform(starts, lambda s: F.sequence(hit["shift"] + s - 1, hit["shift"] + s + size - 2)))
+def _extended(texts: DataFrame, items: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
+    """doc, mark, start, n, win: windows of n words that documents share with items. texts: doc, mark, text."""
+    k, w = _lengths(n)
+    index = stored(fingerprints(items.select("words"), k, w).select("h").distinct(), "benchmark")
+    small = index.count() <= broadcast_rows
+    marks = fingerprints(texts.select("doc", "mark", _words(F.col("text")).alias("words")), k, w)
+    hits = stored(marks.join(F.broadcast(index) if small else index, "h", "left_semi").select("doc", "mark", "place"), "hits")
+    places = hits.groupBy("doc", "mark").agg(F.collect_set("place").alias("places"))  # no more than the document has words
+    wanted = stored(hits.select("doc", "mark").distinct(), "wanted")
+    read = texts.join(wanted, _same_row(texts, wanted), "left_semi").dropDuplicates(["doc", "mark"])
+    read = read.join(places, _same_row(read, places)).select(read["doc"], read["mark"], _words(F.col("text")).alias("words"), "places")
+    # the windows that hold a place; a text with a hit has n words
+    around = F.transform("places", lambda p: F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.least(p, F.size("words") - n)))
+    read = read.select("doc", "mark", "words", F.array_distinct(F.flatten(around)).alias("starts"))
+    spelled = F.transform("starts", lambda s: F.struct(s.alias("start"), _spelled(F.col("words"), s, n).alias("win")))
+    found = read.select("doc", "mark", F.explode(spelled).alias("x")).select("doc", "mark", "x.start", F.lit(n).alias("n"), "x.win")
+    return found.join(_windows(items, n).select("win").distinct(), "win", "left_semi").select("doc", "mark", "start", "n", "win")
+
+
+def _windows(items: DataFrame, n: int) -> DataFrame:
+    """win, cls: the windows of n words of every class."""
+    each = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda s: _spelled(F.col("words"), s, n))
+    return items.select("cls", F.explode(F.array_distinct(each)).alias("win"))
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Rows are known by their id (null included) and a hash of their text."""
+    return a["doc"].eqNullSafe(b["doc"]) & (a["mark"] == b["mark"])
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.col(f"`{text_col}`").alias("text"))
+
+
+def _contaminated(own: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, broadcast_rows: int) -> DataFrame | None:
+    """doc, mark, n_hit, item_ids (sorted) of the rows (doc, mark, text) with hits; None if no item has words."""
+    items = stored(items_of(benchmark, item_col, item_text_col, window), "items")
+    matched, windows = None, None
+    for n in sorted(r["n"] for r in items.select("n").distinct().collect()):  # at most ``window`` lengths
+        of_length = items.where(F.col("n") == n)
+        more, own_windows = _extended(own, of_length, n, broadcast_rows), _windows(of_length, n)
+        matched = more if matched is None else matched.union(more)
+        windows = own_windows if windows is None else windows.union(own_windows)
+    if matched is None:
+        return None
+    matched = stored(matched, "matched")
+    order = Window.partitionBy("doc", "mark").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("n")
+    fresh = matched.select("doc", "mark", F.greatest(end - F.greatest("start", F.coalesce(F.max(end).over(order), F.lit(0))), F.lit(0)).alias("fresh"))
+    hit = fresh.groupBy("doc", "mark").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    classes = matched.select("doc", "mark", "win").distinct().join(windows, "win").select("doc", "mark", "cls").distinct()
+    named = classes.join(items.select("cls", "item_ids"), "cls").groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return stored(hit.join(named, _same_row(hit, named)).select(hit["doc"], hit["mark"], "n_hit", "item_ids"), "contaminated")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated of every row."""
-    items = stored(items_of(benchmark, item_col, item_text_col), "items")
-    # a row is known by its id (null included) and a hash of its text
-    own = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.col(f"`{text_col}`").alias("text"))
-    counted = own.select("doc", "mark", F.size(_words(F.col("text"))).cast("long").alias("n_words"))
-    texts = own.select("doc", "mark", _words(F.col("text")).alias("words"))
-    bounds = items.agg(F.count("*").alias("n"), F.min(F.when(F.col("n_item") < window, F.col("n_item"))).alias("short"), F.count(F.when(F.col("n_item") >= window, 1)).alias("long")).first()
-    matches = []
-    if bounds["long"]:
-        matches.append(_matched(texts, items.where(F.col("n_item") >= window), *_lengths(window), broadcast_rows))
-    if bounds["short"]:
-        matches.append(_matched(texts, items.where(F.col("n_item") < window), *_lengths(bounds["short"]), broadcast_rows))
-    none = F.array().cast("array<string>")
-    if not matches:
-        return counted.select(F.col("doc").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
-    hits = stored((matches[0].union(matches[1]) if len(matches) > 1 else matches[0]).distinct(), "hits")
-
-    def row_is(a: DataFrame, b: DataFrame) -> Column:
-        return a["doc"].eqNullSafe(b["doc"]) & (a["mark"] == b["mark"])
-
-    named = hits.join(F.broadcast(items) if bounds["n"] <= broadcast_rows // 10 else items, "cls")
-    of_row = named.groupBy("doc", "mark").agg(F.collect_list(F.struct("shift", "item_words", "n_item", "item_ids")).alias("hits"))
-    wanted = hits.select("doc", "mark").distinct()
-    # words are made between two joins, so once for all of a row's alignments
-    read = own.join(wanted, row_is(own, wanted), "left_semi").dropDuplicates(["doc", "mark"]).select("doc", "mark", _words(F.col("text")).alias("words"))
-    checked = read.join(of_row, row_is(read, of_row)).select(read["doc"], read["mark"], F.transform("hits", lambda x: F.struct(_same_words(F.col("words"), x).alias("same"), x["shift"].alias("shift"), x["n_item"].alias("n_item"), x["item_ids"].alias("item_ids"))).alias("hits"))
-    checked = checked.select("doc", "mark", F.filter(F.transform("hits", lambda x: F.struct(_covered(x, window).alias("places"), x["item_ids"].alias("item_ids"))), lambda x: F.size(x["places"]) > 0).alias("hits"))
-    done = stored(checked.select("doc", "mark", F.size(F.array_distinct(F.flatten(F.col("hits.places")))).cast("long").alias("n_hit"), F.array_sort(F.flatten(F.array_distinct(F.col("hits.item_ids")))).alias("item_ids")).where("n_hit > 0"), "contaminated")
-    joined = counted.join(done, row_is(counted, done), "left")
-    return joined.select(counted["doc"].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """id, n_words, n_hit, n_items, item_ids (distinct, sorted as strings), contaminated of every row."""
+    own = _rows(docs, id_col, text_col)
+    counted = own.select("doc", "mark", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    done = _contaminated(own, benchmark, item_col, item_text_col, window, broadcast_rows)
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    if done is None:
+        return counted.select(F.col("doc").alias(id_col), "n_words", zero.alias("n_hit"), zero.alias("n_items"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
+    joined = counted.join(done, _same_row(counted, done), "left")
+    return joined.select(counted["doc"].alias(id_col), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs (all columns) without any hit."""
-    id_col = how.get("id_col", "doc_id")
-    bad = decontaminate(docs, benchmark, **how).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    done = _contaminated(_rows(docs, id_col, text_col), benchmark, item_col, item_text_col, window, broadcast_rows)
+    if done is None:
+        return docs
+    bad = stored(done.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")), "bad")  # its size is known when the join is planned
+    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs[f"`{text_col}`"]) == bad["_mark"]), "left_anti")

@@ -16,7 +16,7 @@ def brute(docs, items, window=10):
         w = words(text)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if w else 0):
-            places.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            places.setdefault(tuple(w[i : i + n]), set()).add("" if item is None else str(item))
     out = []
     for doc, text in docs:
         w, hit, found = words(text), set(), set()
@@ -68,6 +68,31 @@ def test_only_short_or_no_items(spark):
         assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_items_that_repeat_an_id_or_have_none(spark):
+    items = [(5, "one two"), (5, "one two"), (6, "two"), (6, "one"), (None, "one two"), (None, "nowhere"), (7, "three four five")]
+    docs = [(1, "zero one two"), (2, "two"), (3, "none"), (1, "three four five"), (1, None)]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items)
+    assert ([r for r in got if r[0] == 1 and r[1] == 3 and "5" in r[3]][0]) == (1, 3, 2, ["", "5", "6"])
+
+
+def test_clean_judges_rows_that_share_an_id(spark):
+    d = spark.createDataFrame([(1, "a b c"), (1, "fine"), (1, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    assert sorted(r.text or "" for r in D.clean(d, b).collect()) == ["", "fine"]
+    assert D.clean(d, b.limit(0)).count() == 3
+
+
+def test_repetition_stays_linear(spark):
+    import time
+
+    docs = [(1, "again " * 50_000), (2, "again and " * 25_000)]
+    items = [(1, "again " * 500), (2, "and again " * 250), (3, "again")]
+    began = time.time()
+    assert run(spark, docs, items) == [(1, 50_000, 50_000, ["1", "3"]), (2, 50_000, 50_000, ["2", "3"])]
+    assert time.time() - began < 60
+
+
 def test_clean_keeps_columns(spark):
     d = spark.createDataFrame([(1, "a b c", 5), (2, "z", 6), (None, "q", 7)], "doc_id long, text string, n_hit int")
     b = spark.createDataFrame([(1, "b c")], "item_id long, text string")
