@@ -5,8 +5,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from corpuslens.llm import substrings as S
 
 
@@ -55,35 +53,68 @@ def test_empty(spark):
     assert S.deduplicate(df, keep_sha=True).count() == 0
 
 
-def test_index_is_incremental(spark):
-    def blobs(groups):
-        rows = []
-        for name, values in groups.items():
-            hashes = np.unique(np.array(values, np.uint64))
-            multi = np.array([values.count(int(h)) > 1 for h in hashes])
-            rows += [(name, b["part"], b["hashes"], b["multi"]) for b in S._sliced(hashes, multi, 8)]
-        return spark.createDataFrame(rows, "chunk_id string, part int, hashes binary, multi binary")
-
-    def flagged(groups, matched):
-        answers = {(r.chunk_id, r.part): r.bits for r in matched.collect()}
-        out = {}
-        for name, values in groups.items():
-            hashes = np.unique(np.array(values, np.uint64))
-            flags = np.concatenate([S._flags(answers[name, b["part"]], len(b["hashes"]) // 8) for b in S._sliced(hashes, np.zeros(len(hashes), bool), 8)])
-            out[name] = set(hashes[flags].tolist())
-        return out
+def rows(df):
+    return sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()], key=str)
+
+
+def test_batches_meet_an_index_of_another_session(spark, tmp_path, monkeypatch):
+    import os
+    import subprocess
+    import sys
+
+    docs, schema = [(k, t) for k, (_, t) in enumerate(made(2))], "doc_id long, text string"
+    parts = [docs[i::4] for i in range(4)]
+    code = f"""
+from pyspark.sql import SparkSession
+from corpuslens.llm import substrings as S
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/other").getOrCreate()
+S.SubstringIndex(spark, "file://{tmp_path}/index", fan_in=2).add(spark.createDataFrame({parts[0]!r}, "{schema}"), chunk_bytes=900)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": root})
+    for i in (1, 2, 3):
+        monkeypatch.setattr(S, "RANGE_BYTES", 4000 // i)  # the number of ranges grows from batch to batch
+        index = S.SubstringIndex(spark, f"file://{tmp_path}/index", fan_in=2)
+        assert index.add(spark.createDataFrame(parts[i], schema), chunk_bytes=900) == i
+        want = brute(sum(parts[: i + 1], []))
+        new = {r[0] for r in parts[i]}
+        assert rows(index.results(i, keep_sha=True)) == [r for r in want if r[0] in new]
+        assert rows(index.results(keep_sha=True)) == want
+    assert len({b["parts"] for b in index.state["batches"]}) > 1
+    assert len(index.runs) < 4
+    index.compact()
+    new = {r[0] for p in parts[2:] for r in p}
+    assert len(index.runs) == 1 and rows(S.SubstringIndex(spark, f"file://{tmp_path}/index").results(2, keep_sha=True)) == [r for r in want if r[0] in new]
+
+
+def test_two_sessions_at_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a " * 40)], "doc_id long, text string")
+    one, two = (S.SubstringIndex(spark, f"file://{tmp_path}/index") for _ in range(2))
+    one.add(docs)
+    with pytest.raises(FileExistsError):
+        two.add(docs)
+    again = S.SubstringIndex(spark, f"file://{tmp_path}/index")
+    assert len(again.state["batches"]) == 1 and again.results().first().n_removed == 40
+
+
+def test_merge_of_an_arriving_batch():
+    import pyarrow as pa
 
     rng = random.Random(3)
-    value = lambda: rng.randrange(40) * 0x0666_6666_6666_6661 % (1 << 64)
-    index, history = S.FingerprintIndex(spark, fan_in=2), collections.Counter()
-    for step in range(5):
-        groups = {f"{step}-{i}": [value() for _ in range(6)] for i in range(2)}
-        own = collections.Counter(v for vs in groups.values() for v in vs)
-        assert flagged(groups, index.match(blobs(groups), added=False)) == {n: {v for v in vs if history[v] or own[v] > 1} for n, vs in groups.items()}
-        index.add(blobs(groups))
+    index, history, known_ever = [], collections.Counter(), {}
+    for step in range(4):
+        groups = [[rng.randrange(60) * 7 for _ in range(9)] for _ in range(3)]
+        own = collections.Counter(v for vs in groups for v in vs)
+        rows = [(step * 10 + i, step, h, np.array([g.count(int(x)) > 1 for x in h])) for i, g in enumerate(groups) for h in [np.unique(np.array(g, np.uint64))]]
+        rows += [(None, None, h, m) for h, m in index]
+        t = pa.table({"chunk_id": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([r[1] for r in rows], pa.int32()), "part": pa.array([0] * len(rows), pa.int32()), "hashes": pa.array([r[2].tobytes() for r in rows], pa.binary()), "multi": pa.array([np.packbits(r[3]).tobytes() for r in rows], pa.binary())})
+        out = S._merge(t).to_pylist()
+        for i, g in enumerate(groups):
+            (bits,) = [S._flags(r["multi"], r["n"]) for r in out if r["kind"] == S.BITS and r["chunk_id"] == step * 10 + i]
+            assert bits.tolist() == [history[v] > 0 or own[v] > 1 for v in sorted(set(g))]
+        (known,) = [np.frombuffer(r["hashes"], np.uint64).tolist() for r in out if r["kind"] == S.KNOWN]
+        assert known == sorted(v for v in own if history[v])
+        (run,) = [r for r in out if r["kind"] == S.RUN]
+        index.append((np.frombuffer(run["hashes"], np.uint64), S._flags(run["multi"], run["n"])))
         history.update(own)
-        assert flagged(groups, index.match(blobs(groups), added=True)) == {n: {v for v in vs if history[v] > 1} for n, vs in groups.items()}
-    assert len(index.runs) < 5
-    index.compact()
-    assert len(index.runs) == 1
-    assert index._read(index.runs).agg(F.count("*")).first()[0] <= 8
+    assert S.ranges(0) == 8 and S.ranges(S.RANGE_BYTES * 9) == 16 and S.ranges(S.RANGE_BYTES << 16) == 1 << 16
