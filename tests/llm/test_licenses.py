@@ -47,3 +47,93 @@ def test_malformed(text):
 
 def test_precedence():
     assert L.to_postfix("A OR B AND C WITH D") == ["A", "B", "C", "D", "WITH", "AND", "OR"]
+
+
+def brute_score(text):
+    """Labels and score by plain search and a recursive parser."""
+    base_hits, labels, more, extra, good = 0, set(), set(), 0, 0
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    for phrases, is_base in ((L.BASE_PHRASES, True), (L.MORE_PHRASES, False)):
+        for phrase, label in phrases.items():
+            p = phrase.split()
+            n = sum(w[i : i + len(p)] == p for i in range(len(w)))
+            if n:
+                (labels if is_base else more).add(label)
+            base_hits, extra = base_hits + n * is_base, extra + n * (not is_base)
+    for line in (text or "").split("\n"):
+        for piece in re.split(r"(?i)spdx-license-identifier:", line)[1:]:
+            piece = re.split(r"\*/|-->|#|//|\"|'", piece)[0]
+            tokens = re.findall(r"[()]|[A-Za-z0-9.\-]+(?::[A-Za-z0-9.\-]+)?\+?|\S", piece)
+
+            def simple():
+                token = tokens.pop(0) if tokens else ")"
+                if token == "(":
+                    inner = either()
+                    if not tokens or tokens.pop(0) != ")":
+                        raise ValueError
+                    return inner
+                if not re.match(r"[A-Za-z0-9.\-]", token) or token.upper() in L.PRECEDENCE:
+                    raise ValueError
+                return [token.lower()], True
+
+            def combined():
+                names, plain = simple()
+                while tokens and tokens[0].upper() == "WITH":
+                    tokens.pop(0)
+                    (exception, single) = simple()
+                    if not plain or not single:
+                        raise ValueError
+                    names, plain = [f"{names[0]} with {exception[0]}"], False
+                return names, plain
+
+            def both():
+                names, plain = combined()
+                while tokens and tokens[0].upper() == "AND":
+                    tokens.pop(0)
+                    names, plain = names + combined()[0], False
+                return names, plain
+
+            def either():
+                names, plain = both()
+                while tokens and tokens[0].upper() == "OR":
+                    tokens.pop(0)
+                    names, plain = names + both()[0], False
+                return names, plain
+
+            try:
+                names, _ = either()
+                if tokens:
+                    raise ValueError
+                more.update(names)
+                good += 1
+            except ValueError:
+                pass
+    doubt = (1 - L.TAG_WEIGHT) ** min(good, 64) * (1 - L.BASE_WEIGHT) ** min(base_hits, 64) * (1 - L.MORE_WEIGHT) ** min(extra, 64)
+    return ",".join(sorted(labels | more)), 1 - doubt
+
+
+def test_labels_and_score_against_brute_force(spark, small):
+    import random
+
+    rng = random.Random(5)
+    parts = ["MIT", "Apache-2.0", "(", ")", "AND", "or", "WITH", "GPL-2.0+", "x:y", " ", "  ", "#", "*/", "?", "\n", "SPDX-License-Identifier:", "spdx-license-identifier: ", "all rights reserved", "cc by nc", "Mozilla Public License, Version 2", "'"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(400)]
+    texts += ["SPDX-License-Identifier: " + " ".join(rng.choices(["A", "B", "(", ")", "AND", "OR", "WITH"], k=rng.randrange(1, 8))) for _ in range(600)]
+    texts += [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    scanner = L.Scanner(L.BASE_PHRASES, L.MORE_PHRASES, {"mit"})
+    for t in texts:
+        got, (labels, score) = scanner.scan(t), brute_score(t)
+        assert got["labels"] == labels and abs(got["score"] - score) < 1e-12, t
+    assert sum(bool(scanner.scan(t)["expressions"]) for t in texts) >= 40
+
+
+def test_very_long_lines_take_linear_time():
+    import time
+
+    scanner = L.Scanner(L.BASE_PHRASES, L.MORE_PHRASES, {"mit"})
+    tag = "SPDX-License-Identifier: "
+    for text in ((tag + "MIT ") * 35_000, tag + " " * 1_000_000, tag + "MIT" + " " * 1_000_000 + "?", tag + " AND ".join(["MIT"] * 120_000), tag + " WITH ".join(["a"] * 120_000), tag + "(" * 500_000, tag + "a AND (" * 120_000 + "b" + ")" * 120_000):
+        began = time.process_time()
+        scanner.scan(text)
+        assert time.process_time() - began < 3, text[:60]
+    assert scanner.scan((tag + "MIT ") * 35_000)["n_malformed"] == 0
