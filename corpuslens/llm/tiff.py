@@ -1,11 +1,15 @@
 """TIFF columns: a writer and a reader that walks image directories, one row per page.
 
 The reader takes classic TIFF in either byte order: strips or tiles, no compression, PackBits, LZW or deflate,
-predictors none, horizontal differencing and floating point, chunky or planar samples of 8, 16, 32 or 64 bits.
-
-A null or empty file gives no page. A broken one gives one row with ``error`` set and null samples, never an
-exception. Repeated rows give repeated pages. Every row is decoded on its own: no shuffle, nothing is gathered; a page
-must fit in one task's memory.
+predictors none, horizontal differencing and floating point, chunky or planar samples of 1, 2, 4, 8, 16, 32 or 64 bits
+(those of fewer than 8 come out as one byte each), both fill orders.
+
+A null or empty file gives no page. A broken page gives one row with ``error`` set and null samples, and the walk goes on;
+a broken directory ends it with such a row. Never an exception: what a file says of itself is checked against its length
+(directories and their values may not add up to more than the file, sizes to no more than ``MAX_PAGE`` bytes or than its
+compression could hold) before anything is made of that size. Repeated rows give repeated pages. Every row is decoded on
+its own: no shuffle, nothing is gathered; pages leave the task one by one, so one page must fit in its memory. Extra
+columns ride along where they are asked for; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import doc_columns
 
@@ -24,10 +29,15 @@ from .common import doc_columns
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT, FILL_ORDER = 322, 323, 324, 325, 339, 266
+KNOWN_TAGS = {WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT, FILL_ORDER}
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
 CLEAR, END, FIRST_CODE, MAX_BITS = 256, 257, 258, 12
 
+MAX_PAGE = 1 << 28  # bytes of samples
+MOST_PER_BYTE = 1 << 13  # no compression makes more of a byte
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
 
 def pack_bits(data: bytes) -> bytes:
     """PackBits: runs of 3 and more are repeated, all else is literal."""
@@ -129,12 +139,13 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
         else:
             if code < len(table):
                 entry = table[code]
-                table.append(last + entry[:1])
+                fresh = last + entry[:1]
             elif code == len(table):
-                entry = last + last[:1]
-                table.append(entry)
+                entry = fresh = last + last[:1]
             else:
                 raise ValueError("LZW code out of range")
+            if len(table) < 1 << MAX_BITS:
+                table.append(fresh)
             if len(table) + 1 == 1 << width and width < MAX_BITS:
                 width += 1
         out.append(entry)
@@ -166,7 +177,8 @@ def _undo_predictor(block: np.ndarray, predictor: int, order: str) -> np.ndarray
     if predictor == 1:
         return block
     if predictor == 2:
-        return np.cumsum(block, axis=1, dtype=block.dtype)
+        whole = block.view(block.dtype.str.replace("f", "u"))
+        return np.cumsum(whole, axis=1, dtype=whole.dtype).astype(whole.dtype, copy=False).view(block.dtype)
     if predictor == 3 and block.dtype.kind == "f":
         rows, size = block.shape[0], block.dtype.itemsize
         planes = np.cumsum(np.ascontiguousarray(block).view(np.uint8).reshape(rows, -1, block.shape[2]), axis=1, dtype=np.uint8)
@@ -219,46 +231,72 @@ def _directories(data: bytes):
     if order is None or len(data) < 8 or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     at, seen = struct.unpack_from(f"{order}I", data, 4)[0], set()
+    walked = valued = 0
     while at and at not in seen:
         seen.add(at)
         n, tags = struct.unpack_from(f"{order}H", data, at)[0], {}
+        walked += 6 + 12 * n
+        if walked > len(data):
+            raise ValueError("directories overlap or go beyond the file")
         for i in range(n):
             tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
-            one = order + TYPES.get(kind, "B")
-            size = struct.calcsize(one) * count
+            if tag not in KNOWN_TAGS or tag in tags or kind not in TYPES or not count:
+                continue
+            size = struct.calcsize(order + TYPES[kind]) * count
             place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(f"{order}I", data, at + 10 + 12 * i)[0]
-            tags[tag] = struct.unpack_from(order + TYPES.get(kind, "B") * count, data, place)
+            valued += size
+            if place + size > len(data) or valued > 4 * len(data):
+                raise ValueError(f"values of tag {tag} go beyond the file")
+            tags[tag] = struct.unpack_from(f"{order}{count * len(TYPES[kind])}{TYPES[kind][0]}", data, place)
         yield order, tags
         at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
 
 
-def read_page(data: bytes, order: str, tags: dict) -> np.ndarray:
+def _whole(tags: dict, tag: int, default: int) -> int:
+    value = tags.get(tag, (default,))[0]
+    if not isinstance(value, int):
+        raise ValueError(f"tag {tag} is no number")
+    return value
+
+
+def read_page(data: bytes, order: str, tags: dict, max_page: int = MAX_PAGE) -> np.ndarray:
     """One directory's samples, rows x columns x samples."""
-    get = lambda tag, default: tags.get(tag, (default,))[0]
-    width, height, samples = get(WIDTH, 0), get(HEIGHT, 0), get(SAMPLES, 1)
-    how, predictor, planar = get(COMPRESSION, NONE), get(PREDICTOR, 1), get(PLANAR, 1)
-    bits, kind = get(BITS, 8), {1: "u", 2: "i", 3: "f"}.get(get(SAMPLE_FORMAT, 1), "u")
-    if bits not in (8, 16, 32, 64) or not width or not height:
-        raise ValueError(f"{width} x {height} samples of {bits} bits")
-    dtype = np.dtype(f"{order if bits > 8 else '|'}{kind}{bits // 8}")
+    width, height, samples = (_whole(tags, t, d) for t, d in ((WIDTH, 0), (HEIGHT, 0), (SAMPLES, 1)))
+    how, predictor, planar = (_whole(tags, t, 1) for t in (COMPRESSION, PREDICTOR, PLANAR))
+    bits, form = _whole(tags, BITS, 1), _whole(tags, SAMPLE_FORMAT, 1)
+    if min(width, height, samples) <= 0 or len(set(tags.get(BITS, (bits,)))) > 1 or len(set(tags.get(SAMPLE_FORMAT, (form,)))) > 1:
+        raise ValueError(f"{width} x {height} x {samples} samples of {tags.get(BITS)} bits")
+    kind = {1: "u", 2: "i", 3: "f", 4: "u"}.get(form)
+    if kind is None or bits not in ((16, 32, 64) if kind == "f" else (8, 16, 32, 64) if kind == "i" else (1, 2, 4, 8, 16, 32, 64)):
+        raise ValueError(f"samples of {bits} bits in format {form}")
+    if bits < 8 and predictor != 1:
+        raise ValueError(f"predictor {predictor} on {bits} bits")
+    dtype = np.dtype(f"{order if bits > 8 else '|'}{kind}{max(bits, 8) // 8}")
     tiled = TILE_OFFSETS in tags
-    block_w, block_h = (get(TILE_WIDTH, 0), get(TILE_HEIGHT, 0)) if tiled else (width, min(get(ROWS_PER_STRIP, height), height))
+    block_w, block_h = (_whole(tags, TILE_WIDTH, 0), _whole(tags, TILE_HEIGHT, 0)) if tiled else (width, min(_whole(tags, ROWS_PER_STRIP, height), height))
+    if min(block_w, block_h) <= 0 or planar not in (1, 2):
+        raise ValueError(f"blocks of {block_w} x {block_h}, planar {planar}")
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     planes, per_block = (samples, 1) if planar == 2 else (1, samples)
     across, down = -(-width // block_w), -(-height // block_h)
+    whole, one = width * height * samples * dtype.itemsize, block_w * block_h * per_block * dtype.itemsize
+    if max(whole, one) > min(max_page, MOST_PER_BYTE * len(data)):
+        raise ValueError(f"a page of {whole} bytes, blocks of {one}, in a file of {len(data)}")
+    n = planes * across * down
+    if min(len(offsets), len(counts)) < n:
+        raise ValueError("strips or tiles are missing")
     page = np.zeros((height, width, samples), dtype)
-    for i, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
+    row = -(-block_w * per_block * bits // 8)  # rows begin at whole bytes
+    for i in range(n):
         plane, place = divmod(i, across * down)
-        if plane >= planes:
-            break
         y, x = place // across * block_h, place % across * block_w
         rows = block_h if tiled else min(block_h, height - y)
-        size = rows * block_w * per_block * dtype.itemsize
-        raw = _decompress(data[offset : offset + count], how, size)
-        if len(raw) < size:
+        raw = data[offsets[i] : offsets[i] + counts[i]]
+        raw = _decompress(raw.translate(_REVERSED) if _whole(tags, FILL_ORDER, 1) == 2 else raw, how, rows * row)
+        if len(raw) < rows * row:
             raise ValueError("a strip or tile is too short")
-        block = _undo_predictor(np.frombuffer(raw[:size], dtype).reshape(rows, block_w, per_block), predictor, order)
-        part = block[: height - y, : width - x]
+        block = _unpacked(raw[: rows * row], rows, block_w * per_block, bits) if bits < 8 else np.frombuffer(raw[: rows * row], dtype)
+        part = _undo_predictor(block.reshape(rows, block_w, per_block), predictor, order)[: height - y, : width - x]
         target = page[y : y + part.shape[0], x : x + part.shape[1]]
         if planes == 1:
             target[:] = part
@@ -267,34 +305,71 @@ def read_page(data: bytes, order: str, tags: dict) -> np.ndarray:
     return page
 
 
-def read_tiff(data: bytes | None) -> list[dict]:
-    """A row per page: page, width, height, samples (bytes), error."""
-    pages: list[dict] = []
-    if not data:
-        return pages
-    try:
-        for order, tags in _directories(data):
-            page = read_page(data, order, tags)
-            pages.append({"page": len(pages), "width": page.shape[1], "height": page.shape[0], "channels": page.shape[2], "samples": page, "error": None})
-    except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
-        pages.append({"page": len(pages), "width": None, "height": None, "channels": None, "samples": None, "error": f"{type(e).__name__}: {e}"})
-    return pages
+def _unpacked(raw: bytes, rows: int, n: int, bits: int) -> np.ndarray:
+    """n samples of 1, 2 or 4 bits a row as bytes."""
+    single = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : n * bits].reshape(rows, n, bits)
+    return (single << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.uint8)
 
 
-def tiff_pages(df: DataFrame, content: str, id_col: str) -> DataFrame:
-    """id, page, width, height, channels, samples (binary, as stored after decoding), error: one row per page."""
-    kind = df.schema[id_col].dataType.simpleString()
+def read_pages(data: bytes | None, max_page: int = MAX_PAGE):
+    """A row per page, one after another: page, width, height, channels, samples (array), error."""
+    if not data:
+        return
+    at, walk = 0, _directories(data)
+    while True:
+        row = {"page": at, "width": None, "height": None, "channels": None, "samples": None, "error": None}
+        going = False
+        try:
+            found = next(walk, None)
+            if found is None:
+                return
+            going = True  # whatever is wrong with this page, the next directory may be sound
+            page = read_page(data, *found, max_page)
+            row |= {"height": page.shape[0], "width": page.shape[1], "channels": page.shape[2], "samples": page}
+        except Exception as e:  # noqa: BLE001  whatever a file holds, its row says so
+            row["error"] = f"{type(e).__name__}: {e}"
+        yield row
+        if not going:
+            return
+        at += 1
+
+
+def read_tiff(data: bytes | None, max_page: int = MAX_PAGE) -> list[dict]:
+    return list(read_pages(data, max_page))
+
+
+def tiff_pages(df: DataFrame, content: str, *keep: str, max_page: int = MAX_PAGE) -> DataFrame:
+    """The kept columns, page, width, height, channels, samples (binary, as stored after decoding), error: one row per page, pages of a file one after another."""
+    kinds = [df.schema[k].dataType.simpleString() for k in keep]
+    names = [*keep, "page", "width", "height", "channels", "samples", "error"]
+    own = (("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("samples", pa.binary()), ("error", pa.string()))
 
     def run(batches):
         for batch in batches:
-            rows = [(key, p) for key, data in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for p in read_tiff(data)]
-            own = pa.array([k.as_py() for k, _ in rows], batch.schema.field(0).type)
-            column = lambda n, t: pa.array([p[n] for _, p in rows], t)
-            yield pa.RecordBatch.from_arrays([own, column("page", pa.int32()), column("width", pa.int32()), column("height", pa.int32()), column("channels", pa.int32()), pa.array([None if p["samples"] is None else p["samples"].tobytes() for _, p in rows], pa.binary()), column("error", pa.string())], names=[id_col, "page", "width", "height", "channels", "samples", "error"])
+            at, rows, size = [], [], 0
+
+            def made(at, rows):
+                place = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([*[batch.column(1 + k).take(place) for k in range(len(keep))], *[pa.array([r[n] for r in rows], t) for n, t in own]], names=names)
+
+            for i in range(batch.num_rows):
+                for page in read_pages(batch.column(0)[i].as_py(), max_page):
+                    if page["samples"] is not None:
+                        page["samples"] = page["samples"].tobytes()
+                        size += len(page["samples"])
+                    at.append(i)
+                    rows.append(page)
+                    if size >= PAGES_BYTES:
+                        yield made(at, rows)
+                        at, rows, size = [], [], 0
+            yield made(at, rows)
 
-    return doc_columns(df, id_col, content).mapInArrow(run, f"`{id_col}` {kind}, page int, width int, height int, channels int, samples binary, error string")
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in zip(keep, kinds, strict=True)], "page int, width int, height int, channels int, samples binary, error string"])
+    return doc_columns(df, content, *keep).mapInArrow(run, schema)
 
 
+PAGES_BYTES = 8 << 20  # of samples that leave the task at once
+
 # How payloads are stored: the payload's own digest picks one, so that equal texts are stored alike.
 LAYOUTS = ({"compression": DEFLATE, "predictor": 2, "rows_per_strip": 256}, {"compression": PACKBITS, "rows_per_strip": 64}, {"compression": DEFLATE, "predictor": 1, "tile": 64}, {"compression": LZW, "rows_per_strip": 128})
 
@@ -304,10 +379,14 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % 64 if raw else 64), len(raw)
 
 
+PAGE_ROWS = 1024
+
+
 def store(payload: bytes) -> bytes:
-    """The payload as one grey page, 64 samples wide."""
+    """The payload as grey pages of PAGE_ROWS rows (the last of fewer), 64 samples wide."""
     layout = LAYOUTS[hashlib.sha256(payload).digest()[0] % len(LAYOUTS)]
-    return write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, 64)], **layout)
+    grey = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+    return write_tiff([grey[i : i + PAGE_ROWS] for i in range(0, len(grey), PAGE_ROWS)], **layout)
 
 
 def feature(page: np.ndarray) -> str:
@@ -322,8 +401,8 @@ def feature(page: np.ndarray) -> str:
     return f"{page.shape[1]}x{page.shape[0]} mean={grey.mean():.4f} std={grey.std():.4f} ahash={int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
-def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as a TIFF file, reads the file back and describes what was read; narrow."""
+def text_files(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, media (every text as a TIFF file), n_bytes, media_bytes, media_sha256; narrow."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -332,13 +411,45 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             for text in batch.column(1).to_pylist():
                 payload, n = payload_of(text)
                 media = store(payload)
-                (page,) = read_tiff(media)
-                if page["error"]:
-                    raise ValueError(page["error"])
-                back = page["samples"].tobytes()
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(page["samples"])))
+                rows.append((media, n, len(media), hashlib.sha256(media).hexdigest()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)]], names=[id_col, "media", "n_bytes", "media_bytes", "media_sha256"])
+
+    return doc_columns(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary, n_bytes long, media_bytes long, media_sha256 string")
+
+
+def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every text as a TIFF file, reads its pages back and describes what was read; narrow. The pages of a file follow one another, so they are put together as they stream by."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        last = None
+
+        def described(key, n, size, digest, pages):
+            grey = np.concatenate(pages)
+            back = grey.tobytes()
+            values = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), size, digest, feature(grey))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            return [key, *[pa.array([v], k) for v, k in zip(values, kinds, strict=True)]]
 
-    return doc_columns(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for batch in batches:
+            done = []
+            n, size, digest, page, width, height, samples, error = (batch.column(c).to_pylist() for c in range(1, 9))
+            for i in range(batch.num_rows):
+                if error[i]:
+                    raise ValueError(error[i])
+                if page[i] == 0:
+                    if held:
+                        done.append(described(*last, held))
+                    held, last = [], (batch.column(0).slice(i, 1), n[i], size[i], digest[i])
+                held.append(np.frombuffer(samples[i], np.uint8).reshape(height[i], width[i], 1))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([d[c] for d in done]) for c in range(len(names))], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays(described(*last, held), names=names)
+
+    pages = tiff_pages(text_files(docs, id_col=id_col, text_col=text_col), "media", id_col, "n_bytes", "media_bytes", "media_sha256")
+    pages = pages.select(F.col(f"`{id_col}`"), "n_bytes", "media_bytes", "media_sha256", "page", "width", "height", "samples", "error")
+    return pages.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

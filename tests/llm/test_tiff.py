@@ -75,4 +75,69 @@ def test_edges(spark):
     assert T.text_media(df.limit(0)).count() == 0
     files = spark.createDataFrame([(1, None, 0), (2, b"", 0), (3, b"junk", 0), (4, bytearray(T.write_tiff([np.zeros((2, 2), np.uint8)] * 3)), 0), (5, bytearray(T.write_tiff([np.zeros((9, 9), np.uint8)])[:40]), 0)], "id long, content binary, page int")
     rows = T.tiff_pages(files, "content", "id").collect()
+    assert T.tiff_pages(files.limit(0), "content", "id").count() == 0
     assert sorted((r.id, r.page, r.error is None) for r in rows) == [(3, 0, False), (4, 0, True), (4, 1, True), (4, 2, True), (5, 0, False)]
+
+
+def test_long_texts_have_several_pages(spark):
+    df = spark.createDataFrame([(1, "ab" * 100_000), (1, "ab" * 100_000), (2, "x")], "doc_id long, text string")
+    files = T.text_files(df)
+    pages = T.tiff_pages(files, "media", "doc_id", "n_bytes").collect()
+    assert sorted((r.doc_id, r.page, r.height, r.n_bytes) for r in pages) == sorted([(1, i, 1024 if i < 3 else 3125 - 3 * 1024, 200_000) for i in range(4)] * 2 + [(2, 0, 1, 1)])
+    out = T.text_media(df).collect()
+    assert sorted((r.doc_id, r.payload_sha256) for r in out) == sorted([(1, hashlib.sha256(b"ab" * 100_000).hexdigest())] * 2 + [(2, hashlib.sha256(b"x" + b"\0" * 63).hexdigest())])
+
+
+def _file(tags: list[tuple[int, int, int]], data: bytes = b"") -> bytes:
+    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, n, v) for t, n, v in tags) + b"\0\0\0\0"
+
+
+def test_few_bits(spark):
+    rng = np.random.default_rng(3)
+    for bits in (1, 2, 4):
+        page = rng.integers(0, 1 << bits, (5, 13), dtype=np.uint8)
+        single = (page[:, :, None] >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(5, -1)
+        raw = np.packbits(single, axis=1).tobytes()
+        tags = [(256, 1, 13), (257, 1, 5), (258, 1, bits), (259, 1, 8), (273, 1, 8), (278, 1, 5), (279, 1, 0)]
+        for fill in (1, 2):
+            data = zlib.compress(raw)
+            data = bytes(int(f"{b:08b}"[::-1], 2) for b in data) if fill == 2 else data
+            own = [*tags[:-1], (279, 1, len(data)), (266, 1, fill)]
+            (got,) = T.read_tiff(_file(sorted(own), data))
+            assert got["error"] is None and (got["samples"][:, :, 0] == page).all()
+
+
+def test_what_a_file_says_is_checked():
+    base = {256: (1, 4), 257: (1, 4), 258: (1, 8), 259: (1, 1), 273: (1, 8), 278: (1, 4), 279: (1, 16)}
+    good = _file([(t, *v) for t, v in base.items()], bytes(16))
+    assert T.read_tiff(good)[0]["error"] is None
+    broken = [{339: (1, 3)}, {278: (1, 0)}, {256: (2**32 - 1, 8)}, {256: (1, 2**31), 257: (1, 2**31)}, {277: (1, 0)}, {258: (1, 7)}, {258: (1, 1), 317: (1, 2)}, {322: (1, 0), 323: (1, 0), 324: (1, 8), 325: (1, 16)}, {322: (1, 65535), 323: (1, 65535), 324: (1, 8), 325: (1, 16)}, {273: (1, 2**32 - 1)}, {259: (1, 99)}, {284: (1, 3)}, {339: (1, 9)}, {278: (1, 2)}]
+    for change in broken:
+        rows = T.read_tiff(_file(sorted((t, *v) for t, v in (base | change).items()), bytes(16)))
+        assert rows[-1]["error"] and rows[-1]["samples"] is None, change
+    two = bytearray(T.write_tiff([np.zeros((4, 4), np.uint8)] * 2, compression=T.NONE))
+    first = struct.unpack_from("<I", two, 4)[0]
+    two[first + 2 + 12 * 2 + 8] = 7  # the first page's bits
+    assert [r["error"] is None for r in T.read_tiff(bytes(two))] == [False, True]
+
+
+def test_mutated_files_never_raise():
+    import random
+    import time
+
+    rng, noise = random.Random(7), np.random.default_rng(7)
+    pages = [noise.integers(0, 9, (40, 33), dtype=np.uint8), noise.integers(0, 256, (7, 64), dtype=np.uint8)]
+    files = [T.write_tiff(pages, compression=c, predictor=q, **layout) for c in (T.NONE, T.LZW, T.DEFLATE, T.PACKBITS) for q in (1, 2) for layout in ({}, {"rows_per_strip": 3}, {"tile": 16})]
+    began, errors = time.process_time(), 0
+    for i in range(6000):
+        data = bytearray(files[i % len(files)])
+        heads = [struct.unpack_from("<I", data, 4)[0], len(data) - 200]
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.choice([rng.randrange(len(data)), min(len(data) - 1, rng.choice(heads) + rng.randrange(180)), rng.randrange(8)])
+            data[at] = rng.choice([0, 1, 255, rng.randrange(256)])
+        if rng.random() < 0.2:
+            del data[rng.randrange(len(data)) :]
+        rows = T.read_tiff(bytes(data), max_page=1 << 22)
+        errors += any(r["error"] for r in rows)
+        assert all((r["samples"] is None) == (r["error"] is not None) for r in rows)
+    assert errors > 1000 and time.process_time() - began < 120
