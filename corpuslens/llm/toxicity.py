@@ -9,8 +9,14 @@ Training reads a bounded sample of labelled rows: about ``max_positive`` and ``m
 last category, picked by a hash of the id; the intercepts are corrected for the picked shares. Prediction is narrow: no
 shuffle, one broadcast of at most ``FEATURES`` weights a category.
 
-Null and empty texts have no words and score what the intercepts say. Labels that are null are not learned from; a
-label without a document is ignored. Without labelled rows, or with one class only, a category's probability is its
+What categories there are follows from the labels: ``fit`` takes any boolean columns, in the chain's order.
+``label_columns`` makes the most of a table that has one label of toxicity and one of quality: low quality, toxic, and
+toxic text of low quality. The last two are about toxicity, the first is not, and the third is the conjunction of the
+others: the chain has little to add to it beyond what the earlier links say.
+
+Null and empty texts have no words and score what the intercepts say. A document's label rows are one: a category holds
+if any of them says so, however many disagree; rows with a null label are not learned from, and a label without a
+document is ignored. Extra columns are left out, whatever their names. Without labelled rows, or with one class only, a category's probability is its
 share among the labelled rows (about 0 without any). Repeated rows and equal texts get equal scores; texts are read whole.
 """
 
@@ -161,19 +167,20 @@ def train_chain(names: list[str], features: list[np.ndarray], labels: np.ndarray
 
 
 def label_columns(labels: DataFrame) -> dict[str, Column]:
-    """The labels table's categories in the chain's order: quality problems first, then toxicity, then both at once."""
+    """The labels table's categories in the chain's order: low quality (no toxicity, but what follows depends on it), toxic, and both at once."""
     low, toxic = F.col("quality") == 0, F.col("toxic") == 1
-    return {"low_quality": low, "toxic": toxic, "severe": low & toxic}
+    return {"low_quality": low, "toxic": toxic, "toxic_low_quality": low & toxic}
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, main: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Chain:
     names = list(categories)
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for n, c in categories.items()]).dropna()
+    rows = labels.select(F.col(f"`{id_col}`").alias("id"), *[c.alias(n) for n, c in categories.items()]).dropna()
+    known = rows.groupBy("id").agg(*[F.max(n).alias(n) for n in names])
     sizes = {r[main]: r["n"] for r in known.groupBy(main).agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col(main), F.lit(min(1.0, max_positive / sizes.get(True, 1)))).otherwise(F.lit(min(1.0, max_negative / sizes.get(False, 1))))
     place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # about max_positive + max_negative thin rows, whatever the number of labels: small enough to broadcast
-    sample = known.where(place < share).dropDuplicates(["id"])
+    sample = known.where(place < share)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     picked = texts.join(F.broadcast(sample), "id")
 
