@@ -6,7 +6,11 @@ popcount of its bit over all n-grams, corrected for the filter's false positives
 language's own training texts reach.
 
 Fitting reads a bounded sample: about ``per_language`` texts of each language, picked by a hash of the id. Prediction
-is narrow: no shuffle, one broadcast of ``ROWS`` x 8 bytes whatever the input.
+is narrow: no shuffle, one broadcast of ``ROWS`` x 8 bytes for every 64 languages, whatever the input.
+
+``known_language`` filters by it: a text whose best score ratio is below ``least`` by more than so few n-grams leave open
+(1 / sqrt(n)) is in none of the languages, and goes. Texts that mix learned languages stay (0.53 and more of every clean
+text of the check tables; random letters and other scripts reach 0.1).
 
 Null or letterless text: ``und`` with score 0. Rows whose language is null are never learned from. An empty training
 set makes every text ``und``. Repeated rows and ties: equal texts get equal results; between equal scores the
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +30,7 @@ from .common import doc_columns
 ROWS = 1 << 19
 HASHES = 2
 ORDERS = (3, 5)
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 1024
 PIECE = 1 << 20  # bytes looked up at once
 
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -77,7 +82,7 @@ class LanguageFilter:
 
     def __init__(self, by_language: dict[str, tuple[np.ndarray, np.ndarray]], keep_ratio: float):
         self.languages = sorted(by_language)
-        self.rows = np.zeros(ROWS, np.uint64)
+        self.rows = np.zeros((max(1, -(-len(self.languages) // 64)), ROWS), np.uint64)
         self.coverage = np.ones(len(self.languages))
         best: dict[int, float] = {}
         for hashes, rates in by_language.values():
@@ -88,8 +93,8 @@ class LanguageFilter:
             keep = hashes[rates >= keep_ratio * np.array([best[h] for h in hashes.tolist()])] if len(hashes) else hashes
             self.coverage[bit] = max(rates[rates >= keep_ratio * np.array([best[h] for h in hashes.tolist()])].sum() / len(ORDERS), 1e-3) if len(hashes) else 1.0
             for slot in _slots(keep):
-                self.rows[slot] |= np.uint64(1 << bit)
-        ones = [((self.rows >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(self.languages))]
+                self.rows[bit // 64, slot] |= np.uint64(1 << bit % 64)
+        ones = [((self.rows[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(self.languages))]
         self.false_rate = np.minimum(np.array(ones) ** HASHES, 0.99)
 
     def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,34 +115,42 @@ class LanguageFilter:
                 if not len(hashed):
                     continue
                 first, second = _slots(hashed)
-                mask = self.rows[first] & self.rows[second]
                 n = np.maximum(sizes - order + 1, 0)
-                inside = np.zeros(len(mask) + 1, np.int32)
+                inside = np.zeros(len(hashed) + 1, np.int32)
                 np.add.at(inside, starts[n > 0], 1)
                 np.add.at(inside, (starts + n)[n > 0], -1)
-                mask[np.cumsum(inside[:-1]) == 0] = 0
-                for bit in range(len(self.languages)):
-                    ones = np.concatenate([[0], np.cumsum((mask >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-                    counts[at:end, bit] += ones[np.minimum(starts + n, len(mask))] - ones[np.minimum(starts, len(mask))]
+                outside = np.cumsum(inside[:-1]) == 0
+                for word, bits in enumerate(self.rows):
+                    mask = bits[first] & bits[second]
+                    mask[outside] = 0
+                    for bit in range(64 * word, min(64 * word + 64, len(self.languages))):
+                        ones = np.concatenate([[0], np.cumsum((mask >> np.uint64(bit % 64)) & np.uint64(1), dtype=np.int64)])
+                        counts[at:end, bit] += ones[np.minimum(starts + n, len(mask))] - ones[np.minimum(starts, len(mask))]
                 totals[at:end] += n
             at = end
         return counts, totals
 
-    def ratios(self, texts: list[bytes]) -> np.ndarray:
+    def ratios(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: the corrected share of its n-grams that each language has, by that language's coverage; and their number."""
         counts, totals = self.hits(texts)
         corrected = (counts - totals[:, None] * self.false_rate) / (1 - self.false_rate)
-        return np.maximum(corrected, 0) / np.maximum(totals, 1)[:, None] / self.coverage
+        return np.maximum(corrected, 0) / np.maximum(totals, 1)[:, None] / self.coverage, totals
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def evidence(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Per text: the language, its share among the languages' scores, and its ratio with what so few n-grams leave open (0 without letters)."""
         plain = [normalized(t) for t in texts]
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        langs, scores, most = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         known = [i for i, p in enumerate(plain) if p is not None]
         if known and self.languages:
-            ratios = self.ratios([plain[i] for i in known])
+            ratios, totals = self.ratios([plain[i] for i in known])
             power = ratios**4
-            for i, k, share in zip(known, ratios.argmax(1).tolist(), (power.max(1) / np.maximum(power.sum(1), 1e-300)).tolist(), strict=True):
-                langs[i], scores[i] = self.languages[k], min(1.0, share)
-        return langs, scores
+            open_ = ratios.max(1) + 1 / np.sqrt(np.maximum(totals, 1))
+            for i, k, share, ratio in zip(known, ratios.argmax(1).tolist(), (power.max(1) / np.maximum(power.sum(1), 1e-300)).tolist(), open_.tolist(), strict=True):
+                langs[i], scores[i], most[i] = self.languages[k], min(1.0, share), ratio
+        return langs, scores, most
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.evidence(texts)[:2]
 
 
 def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, top: int = 20_000, least_rate: float = 2e-6, keep_ratio: float = 0.15) -> LanguageFilter:
@@ -178,17 +191,27 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
     return doc_columns(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text is not ``und``; narrow."""
+def known_language(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text", lang_col: str | None = "lang", least: float = 0.25) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a language that the model knows; a null lang_col (if there is one) becomes that language. Narrow.
+
+    Null, empty and letterless texts go. A model without languages can't tell: every text with a letter stays."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     place = docs.columns.index(text_col)
+    named = docs.columns.index(lang_col) if lang_col in docs.columns and docs.schema[lang_col].dataType.simpleString() == "string" else None
 
     def run(batches):
         own = LanguageFilter({}, 0)
         vars(own).update(shared.value)
         for batch in batches:
-            langs, _ = own.predict(batch.column(place).to_pylist())
-            yield batch.filter(pa.array([lang != "und" for lang in langs], pa.bool_()))
+            texts = batch.column(place).to_pylist()
+            langs, _, most = own.evidence(texts)
+            if not own.languages:
+                yield batch.filter(pa.array([normalized(t) is not None for t in texts], pa.bool_()))
+                continue
+            if named is not None:
+                filled = pc.coalesce(batch.column(named), pa.array([None if x == "und" else x for x in langs], batch.column(named).type))
+                batch = batch.set_column(named, batch.schema.field(named), filled)
+            yield batch.filter(pa.array([m >= least for m in most], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
