@@ -1,8 +1,8 @@
 import collections
 import struct
 import zlib
-from fractions import Fraction
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -11,9 +11,7 @@ from corpuslens.llm import packing as P
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(P.default_paths()[0])
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(P.default_paths()[0])
 
 
 def check(rows, texts, tokenizer, size=1024):
@@ -43,49 +41,74 @@ def test_query_round_trip(spark, small, tokenizer):
     check(P.pack(docs).collect(), {r.doc_id: r.text for r in docs.collect()}, tokenizer)
 
 
-def test_windows_hold_the_mixture(spark, tokenizer):
-    docs = spark.range(900).selectExpr("id AS doc_id", "repeat('word and more text ', CAST(1 + id % 37 AS INT)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 5) END AS source")
-    window = 4096
-    rows = P.pack(docs.repartition(5), window_tokens=window, group_windows=1, chunk_tokens=3000).collect()
-    sequences = check(rows, {r.doc_id: r.text for r in docs.collect()}, tokenizer)
-    totals = collections.Counter()
+def shares(rows, key):
+    groups, totals = collections.defaultdict(collections.Counter), collections.Counter()
     for r in rows:
+        groups[key(r)][r.source] += r.length
         totals[r.source] += r.length
+    return groups, totals
+
+
+def mixed(spark):
+    return spark.range(900).selectExpr("id AS doc_id", "repeat('word and more text ', CAST(1 + id % 37 AS INT)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 5) END AS source")
+
+
+def test_windows_hold_the_mixture(spark, tokenizer):
+    docs, window = mixed(spark), 4096
+    rows = P.pack(docs.repartition(5), window_tokens=window, group_windows=1, quantum=1, chunk_tokens=3000).collect()
+    check(rows, {r.doc_id: r.text for r in docs.collect()}, tokenizer)
+    groups, totals = shares(rows, lambda r: r.sequence_id >> 32)
     everything = sum(totals.values())
-    most = window // 1024 + 12
-    groups = collections.defaultdict(collections.Counter)
-    for i, own in sequences.items():
-        for r in own:
-            groups[i // most][r.source] += r.length
     for g in sorted(groups)[:-1]:
         for s, n in totals.items():
             assert abs(groups[g][s] - window * n / everything) <= 1
 
 
-def test_windows_in_closed_form():
-    credit, sent = Fraction(7 * 100, 31), [0]
-    place = 0
-    for length in [1, 5, 90, 3, 250, 22, 23, 24]:
-        for window, start, end in P.window_pieces(place, length, credit):
-            assert 0 <= start < end <= length
-            while len(sent) <= window:
-                sent.append(0)
-            sent[window] += end - start
+def test_every_sequence_holds_the_mixture(spark, tokenizer):
+    docs = mixed(spark)
+    rows = P.pack(docs.repartition(5), chunk_tokens=3000).collect()
+    check(rows, {r.doc_id: r.text for r in docs.collect()}, tokenizer)
+    groups, totals = shares(rows, lambda r: r.sequence_id)
+    everything = sum(totals.values())
+    whole = [g for g in sorted(groups) if sum(groups[g].values()) == 1024][:-1]
+    assert len(whole) > 30
+    for g in whole:
+        for s, n in totals.items():
+            assert abs(groups[g][s] - 1024 * n / everything) <= 3 * 32  # a quantum from the schedule, two from where windows end
+
+
+@pytest.mark.parametrize("quantum", [1, 32])
+def test_windows_in_closed_form(quantum):
+    """Against deficit round-robin done window by window, with the queue cut into chunks at odd places."""
+    rate, n = int(22.7 * P.RATE), 3000
+    want, window = [], 0
+    while len(want) < n:
+        ready = (window + 1) * rate // P.RATE // quantum * quantum  # whole quanta that all credit so far pays for
+        want += [window] * (ready - len(want))
+        window += 1
+    want = want[:n]
+    got, place = [], 0
+    for length in [1, 5, 90, 3, 250, 22, 23, 24, 700, 1, 1881]:
+        cuts, windows = P.schedule(place, length, rate, quantum)
+        assert cuts[0] == 0 and (np.diff(cuts) > 0).all()
+        for a, b, w in zip(cuts.tolist(), [*cuts[1:].tolist(), length], windows.tolist(), strict=True):
+            got += [w] * (b - a)
         place += length
-    total = 0
-    for t, n in enumerate(sent[:-1]):
-        total += n
-        assert total == int((t + 1) * credit)
+    assert got == want
+    # far along a long queue: the same schedule, from exact numbers
+    far = 10**13 // quantum * quantum
+    cuts, windows = P.schedule(far, 500, rate, quantum)
+    for a, w in zip(cuts.tolist(), windows.tolist(), strict=True):
+        k = (far + a) // quantum
+        assert (w + 1) * rate >= (k + 1) * quantum * P.RATE > w * rate
 
 
 def test_targets_and_ids(spark):
     docs = spark.range(400).selectExpr("id AS doc_id", "repeat('alpha beta ', 20) AS text", "IF(id % 2 = 0, 'a', 'b') AS source")
-    rows = P.pack(docs, targets={"a": 3.0, "b": 1.0}, window_tokens=2048, group_windows=1, with_ids=True).collect()
-    first = [r for r in rows if r.sequence_id < 2048 // 1024 + 12]
-    shares = collections.Counter()
-    for r in first:
-        shares[r.source] += r.length
-    assert abs(shares["a"] / sum(shares.values()) - 0.75) < 0.01
+    rows = P.pack(docs, targets={"a": 3.0, "b": 1.0}, with_ids=True).collect()
+    groups, _ = shares(rows, lambda r: r.sequence_id)
+    for g in sorted(groups)[:4]:  # until a queue is empty
+        assert abs(groups[g]["a"] / sum(groups[g].values()) - 0.75) <= 0.04
     assert all(zlib.crc32(b"".join(struct.pack("<I", x) for x in struct.unpack(f"<{r.length}H", r.ids))) == r.ids_crc32 for r in rows)
 
 
