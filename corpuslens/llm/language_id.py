@@ -25,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, lean
 
 ROWS = 1 << 19
 HASHES = 2
 ORDERS = (3, 5)
 MAX_LANGUAGES = 1024
-PIECE = 1 << 20  # bytes looked up at once
+PIECE = 1 << 18  # bytes looked up at once
 
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *, id_col: str = "doc_id", t
     def run(batches):
         own = LanguageFilter({}, 0)
         vars(own).update(shared.value)
-        for batch in batches:
+        for batch in lean(batches):
             langs, scores = own.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
@@ -202,7 +202,7 @@ def known_language(docs: DataFrame, model: LanguageFilter, *, text_col: str = "t
     def run(batches):
         own = LanguageFilter({}, 0)
         vars(own).update(shared.value)
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column(place).to_pylist()
             langs, _, most = own.evidence(texts)
             if not own.languages:

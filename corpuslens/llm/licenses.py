@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_columns
+from .common import doc_columns, lean
 
 # The base phrases with their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -190,7 +190,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         scanner = Scanner(base, more, set(allowed))
-        for batch in batches:
+        for batch in lean(batches):
             rows = [scanner.scan(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[n] for r in rows], t) for n, t, _ in COLUMNS]], names=[id_col, *[n for n, _, _ in COLUMNS]])
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 END_ID = 0
 CHUNK = "chunk_id long, task int, n_tokens long, ids binary, docs array<struct<doc_id: bigint, source: string, length: int>>, totals array<struct<source: string, tokens: bigint>>"
@@ -110,7 +110,7 @@ def tokenized_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.struct([("doc_id", pa.int64()), ("source", pa.string()), ("length", pa.int32())])), pa.list_(pa.struct([("source", pa.string()), ("tokens", pa.int64())]))]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk_id", "task", "n_tokens", "ids", "docs", "totals"])
 
-        for batch in batches:
+        for batch in lean(batches):
             for i in range(batch.num_rows):
                 doc_id, text, source = (batch.column(c)[i].as_py() for c in range(3))
                 own = np.array([*encode(text or ""), end_id], np.uint32)
@@ -212,7 +212,7 @@ def _dealt(chunks: DataFrame, queues: DataFrame, window_tokens: int, group_windo
         return pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]], pa.int64()), *columns, every, pa.array([moved[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["grp", "win", "source", "place", "doc_id", "start", "length", "doc_tokens", "names", "ids"])
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for i in range(batch.num_rows):
                 yield rows(batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(2)[i].as_py())
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import doc_columns, stored
+from .common import doc_columns, lean, stored
 
 DISTANCE = 3
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=[id_col, "fp"])
 
@@ -295,18 +295,26 @@ SMALL_BUCKET = 32  # members of which all pairs are proposed
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64)) for i in range(64)]
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted; of a shorter text, of all its words; none without words."""
+    """64-bit hashes of the distinct shingles, sorted: sums of their words' hashes by place. Of a shorter text, of all its words; none without words."""
     import xxhash
 
     tokens = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not tokens:
         return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
-    shingles = {joined[a : b - 1] for a, b in zip([0, *ends], ends[words - 1 :], strict=False)} or {joined}
-    return np.unique(np.fromiter((digest(x) for x in shingles), np.uint64))
+    own = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    width = min(words, len(own))
+    n = len(own) - width + 1
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out += own[i : i + n] * _POWERS[i]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return np.unique(out)
 
 
 def copy_marks(text: str | None, words: int) -> list[int]:
@@ -446,10 +454,11 @@ def _proposed(marked: DataFrame, bands: list[str], sketch: list[str], similarity
             yield from search([np.concatenate(x) for x in zip(*held, strict=True)])
 
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(bands)])
-    keys = marked.select(F.explode(kinds).alias("b")).select("b.kind", "b.key")
-    shared = stored(keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").select("kind", "key"), "buckets")
-    dealt = marked.select("node", *sketch, F.explode(kinds).alias("b")).select("b.kind", "b.key", "node", *sketch)
-    rows = dealt.join(shared, ["kind", "key"], "left_semi").select("kind", "key", "node", *sketch)
+    # thin rows first: most nodes share no band with any other, and their sketches need not move
+    dealt = marked.select("node", F.explode(kinds).alias("b")).select("b.kind", "b.key", "node")
+    shared = stored(dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").select("kind", "key"), "buckets")
+    met = stored(dealt.join(shared, ["kind", "key"], "left_semi"), "met")
+    rows = met.join(marked.select("node", *sketch), "node").select("kind", "key", "node", *sketch)
     return rows.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -457,12 +466,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
     """The pairs whose texts' sets of shingles have the similarity, exactly. docs: node, text."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in lean(batches):
             found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     def compare(batches):
-        for batch in batches:
+        for batch in lean(batches):
             x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(i)] for i in (2, 3))
             both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)], np.int64)
             total = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)], np.int64) - both
@@ -482,7 +491,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = [*bands, *sketch]
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             found = np.array([copy_marks(t, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names))]], names=[id_col, *names])
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.scratch import names_in, read_text, write_text
-from .common import remove, scratch, stored
+from .common import lean, remove, scratch, stored
 
 WINDOW, GRAM = 35, 10
 RANGE_BYTES = 8 << 20  # of hashes that meet in one range
@@ -169,7 +169,7 @@ def _cut(blobs: DataFrame, parts: int) -> DataFrame:
     """blobs (chunk_id, batch, hashes sorted, multi) with their hashes dealt to ranges: chunk_id, batch, part, hashes, multi. Narrow."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             for i in range(batch.num_rows):
                 hashes = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
                 found = _sliced(hashes, _flags(batch.column(3)[i].as_py(), len(hashes)), parts)
@@ -247,7 +247,7 @@ class SubstringIndex:
     def runs(self) -> list[dict]:
         return [r for tier in self.state["tiers"] for r in tier]
 
-    def add(self, docs: DataFrame, *, text_col: str = "text", batches: int = 1, chunk_bytes: int = 4 << 20) -> int:
+    def add(self, docs: DataFrame, *, text_col: str = "text", batches: int = 1, chunk_bytes: int = 2 << 20) -> int:
         """Adds documents as one batch or, chunk by chunk, several that arrive one after another; the number of the first."""
         number, first = len(self.state["folders"]), len(self.state["batches"])
         docs = docs.select(F.col(f"`{text_col}`"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
@@ -356,7 +356,7 @@ class SubstringIndex:
         parts = ranges(16 * sum(b["words"] for b in self.state["batches"]))
 
         def verify(arrow):
-            for batch in arrow:
+            for batch in lean(arrow):
                 for i in range(batch.num_rows):
                     chunk_id, data, known = (batch.column(c)[i].as_py() for c in range(3))
                     words = Words(_texts(_rows(data)))
@@ -371,7 +371,7 @@ class SubstringIndex:
         others = [f for f in schema if f.name != schema[0].name]
 
         def finish(arrow):
-            for batch in arrow:
+            for batch in lean(arrow):
                 for i in range(batch.num_rows):
                     data, known, checked = (batch.column(c)[i].as_py() for c in range(3))
                     table = _rows(data)
@@ -444,7 +444,7 @@ def chunked(docs: DataFrame, *, number: int, chunk_bytes: int) -> DataFrame:
             values = [chunk_id, len(words.tokens), len(distinct), _packed_rows(held), distinct.tobytes(), np.packbits(multi).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64()] * 3 + [pa.binary()] * 3, strict=True)], names=["chunk_id", "n_words", "n_anchors", "docs", "hashes", "multi"])
 
-        for batch in batches:
+        for batch in lean(batches):
             sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0)).astype(np.int64)
             at, total = 0, np.concatenate([[0], np.cumsum(sizes)])
             while at < batch.num_rows:
@@ -494,7 +494,7 @@ def _verified(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("part").applyInArrow(run, "chunk_id long, part int, bits binary")
 
 
-def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fan_in: int = 4, chunk_bytes: int = 4 << 20, path: str | None = None, keep_text: bool = True, keep_sha: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fan_in: int = 4, chunk_bytes: int = 2 << 20, path: str | None = None, keep_text: bool = True, keep_sha: bool = False) -> DataFrame:
     """The results of documents that arrive at an index (a new one, or that in ``path``) in some batches."""
     index = SubstringIndex(docs.sparkSession, path, fan_in=fan_in)
     first = index.add(docs, text_col=text_col, batches=batches, chunk_bytes=chunk_bytes)

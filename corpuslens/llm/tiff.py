@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, lean
 
 # Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -345,7 +345,7 @@ def tiff_pages(df: DataFrame, content: str, *keep: str, max_page: int = MAX_PAGE
     own = (("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("samples", pa.binary()), ("error", pa.string()))
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             at, rows, size = [], [], 0
 
             def made(at, rows):
@@ -406,7 +406,7 @@ def text_files(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 payload, n = payload_of(text)
@@ -434,7 +434,7 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             return [key, *[pa.array([v], k) for v, k in zip(values, kinds, strict=True)]]
 
-        for batch in batches:
+        for batch in lean(batches):
             done = []
             n, size, digest, page, width, height, samples, error = (batch.column(c).to_pylist() for c in range(1, 9))
             for i in range(batch.num_rows):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, lean
 
 BUCKETS = 1 << 22
 FEATURES = 4096
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, ma
 
     def run(batches):
         hasher = Hasher()
-        for batch in batches:
+        for batch in lean(batches):
             data = [hasher.features(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), *[batch.column(2 + i) for i in range(len(names))]], names=["fold", "features", *names])
 
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, chain: Chain, *, main: str = "toxic", threshold: fl
 
     def run(batches):
         own, hasher = Chain(names, [Link(*x) for x in shared.value]), Hasher()
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column(1).to_pylist()
             out = np.concatenate([own.predict([hasher.features(t) for t in texts[i : i + 256]]) for i in range(0, len(texts), 256)] or [np.zeros((0, len(names)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, names.index(main)] >= threshold), *[pa.array(out[:, i]) for i in range(len(names))]], names=[id_col, main, *[f"p_{n}" for n in names]])

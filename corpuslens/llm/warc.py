@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import lean, scratch, stored
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, "<III", "<IBI"
@@ -160,7 +160,7 @@ def write_bundles(records: DataFrame, *, frame_bytes: int = 1 << 20, bundle_byte
             data = bundle.close()
             return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(data).hexdigest()]), pa.array([data], pa.binary()), pa.array([bundle.index], pa.list_(pa.struct([("page_id", pa.int64()), ("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])))], names=["bundle_id", "data", "records"])
 
-        for batch in batches:
+        for batch in lean(batches):
             for i in range(batch.num_rows):
                 page_id, url, html, digest, refers_to, known = (batch.column(c)[i].as_py() for c in range(6))
                 own = record_id(response_name(page_id, digest) if known and refers_to is None else f"{salt}:{task}:{place}")
@@ -184,7 +184,7 @@ RECORDS = "record_id string, page_id long, url string, payload_bytes long, paylo
 
 def _records(batches, with_record: bool):
     """Rows (data, wanted entries of the map) to FIELDS: every frame that holds a wanted record is decompressed once."""
-    for batch in batches:
+    for batch in lean(batches):
         for i in range(batch.num_rows):
             data, entries = batch.column(0)[i].as_py(), sorted(batch.column(1)[i].as_py(), key=lambda e: (e["frame"], e["offset"]))
             table, frame, rows, raw = seek_table(data), -1, [], b""
