@@ -12,11 +12,19 @@
 5. Components over those edges; every document gets the smallest id it can reach.
 
 ``near_duplicates`` is that, over repeated 3-word shingles. ``near_copies`` serves filtering at a Jaccard similarity of
-0.8 of 5-word shingles, which a 64-bit fingerprint would mostly miss: pairs that share one of BANDS keys of ROWS MinHash
-values are proposed (a pair at 0.8 is missed once in 38,000 times, one more alike less often), unless set sizes or 256
-SimHash bits of the shingles rule them out by a wide margin, and linked if their sets of shingles, made again from the
-texts, have the similarity exactly. In a bucket of more than SMALL_BUCKET nodes, pairs within a part that is certain
-already are not proposed again.
+0.8 of 5-word shingles, which a 64-bit fingerprint would mostly miss. Texts that share one of BANDS keys of ROWS MinHash
+values meet in a bucket (a pair at 0.8 misses them all once in 38,000 times, one more alike less often); set sizes and
+64 * SKETCH SimHash bits of the shingles estimate their similarity. Only exact similarity, of shingle sets made again from
+the texts, makes a link:
+
+a. Each bucket proposes a spanning forest of its members, the most alike first (fewer pairs than members), and the
+   proposals are confirmed. A bucket of more than ``hot`` members is dealt into parts by a hash, and the trees' roots meet
+   again, until they fit.
+b. Where a bucket still holds several components, the members outside its largest one are compared with all, in blocks of
+   ``hot``, and every pair across components that may be similar (four standard errors of the estimate) is confirmed too.
+
+So a group of copies costs about as many confirmations as it has members, no task holds more than a few times ``hot``
+members, and no pair that the buckets propose is left unexamined unless it is connected already.
 
 Null and empty texts have fingerprint zero and are linked like any other. Null ids get a fingerprint; they take part
 in no minimum, and a component of null ids only has a null id. Texts are read whole; repeated rows stay repeated.
@@ -288,9 +296,9 @@ def _components(marked: DataFrame, id_col: str, key: list[str], **how) -> DataFr
 
 
 BANDS, ROWS = 20, 4  # a pair at 0.8 misses all bands once in 38,000 times
-SKETCH = 4  # words of 64 bits
-SLACK = 0.16  # four standard errors of the estimate, either way
-SMALL_BUCKET = 32  # members of which all pairs are proposed
+SKETCH = 8  # words of 64 bits
+SLACK = 0.11  # four standard errors of the estimate
+_BLOCK = 1 << 16  # members compared at once
 
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -340,126 +348,138 @@ def copy_marks(text: str | None, words: int) -> list[int]:
     return [*out, len(hashes)]
 
 
-def _estimate(sketches: np.ndarray, a, b) -> np.ndarray:
-    """Jaccard similarity by SimHash bits and set sizes (the last column)."""
-    differ = np.bitwise_count(sketches[a, :-1] ^ sketches[b, :-1]).sum(-1, dtype=np.int64)
-    n, m = sketches[a, -1].astype(np.float64), sketches[b, -1].astype(np.float64)
-    shared = np.cos(np.pi * differ / (64 * (sketches.shape[1] - 1))) * np.sqrt(n * m)
-    return shared / np.maximum(n + m - shared, 1)
-
-
-def _possible(sketches: np.ndarray, a, b, similarity: float) -> np.ndarray:
-    n, m = sketches[a, -1].astype(np.float64), sketches[b, -1].astype(np.float64)
-    return np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
-
-
-def large_bucket_pairs(sketches: np.ndarray, similarity: float):
-    """Pairs of a bucket to be confirmed: of links that are certain a spanning forest, and every pair in doubt across its parts."""
-    n = len(sketches)
-    order = np.argsort(gray_rank(sketches[:, 0]), kind="stable")
-    sketches = sketches[order]
-    above = list(range(n))
-    certain = 1 - (1 - similarity) * 0.4  # three standard errors
-
-    def root(x: int) -> int:
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    def joined(a: np.ndarray, b: np.ndarray):
-        kept = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                above[max(p, q)] = min(p, q)
-                kept.append((x, y))
-        found = np.array(kept, np.int64).reshape(-1, 2)
-        return order[found[:, 0]], order[found[:, 1]]
-
-    def compared(rows: np.ndarray, parts: np.ndarray, least: float):
-        a, b = np.nonzero(parts[rows][:, None] != parts[None, :])
-        a = rows[a]
-        keep = _possible(sketches, a, b, similarity)
-        a, b = a[keep], b[keep]
-        keep = _estimate(sketches, a, b) >= least
-        return a[keep], b[keep]
-
-    def parts_of() -> np.ndarray:
-        return np.array([root(i) for i in range(n)], np.int64)
-
-    near = np.arange(n - 1)
-    good = _possible(sketches, near, near + 1, similarity) & (_estimate(sketches, near, near + 1) >= certain)
-    yield joined(near[good], near[good] + 1)
-    # rows of the largest part meet the others as those are compared with all
-    step = max(1, (1 << 20) // n)
-    for least in (certain, similarity - SLACK):
-        done = np.zeros(n, bool)
-        if least == certain:
-            for i in np.unique(np.linspace(0, n - 1, 16).astype(np.int64)):
-                yield joined(*compared(np.array([i]), parts_of(), certain))
-        while True:
-            parts = parts_of()
-            rows = np.flatnonzero((parts != np.bincount(parts).argmax()) & ~done)[:step]
-            if not len(rows):
-                break
-            a, b = compared(rows, parts, least)
-            done[rows] = True
-            yield joined(a, b) if least == certain else (order[a], order[b])
-
-
-def _proposed(marked: DataFrame, bands: list[str], sketch: list[str], similarity: float) -> DataFrame:
-    """a, b: pairs of nodes that share a band and may be as similar as asked."""
-
-    def pairs(node, a, b):
-        x, y = node[a], node[b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    def search(columns: list[np.ndarray]):
-        kind, key, node, *further = columns
-        sketches = np.stack([x.view(np.uint64) for x in further], 1)
-        first = np.r_[True, (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])]
-        bucket = np.cumsum(first) - 1
-        size = np.bincount(bucket)[bucket]
-        for d in range(1, SMALL_BUCKET):
-            a = np.flatnonzero((bucket[d:] == bucket[:-d]) & (size[d:] <= SMALL_BUCKET)) if d < len(node) else np.empty(0, np.int64)
-            if not len(a):
-                break
-            a = a[_possible(sketches, a, a + d, similarity) & (_estimate(sketches, a, a + d) >= similarity - SLACK)]
-            yield pairs(node, a, a + d)
-        starts = np.flatnonzero(first)
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-            if e - s > SMALL_BUCKET:
-                for a, b in large_bucket_pairs(sketches[s:e], similarity):
-                    yield pairs(node, a + s, b + s)
-
-    def run(batches):
-        held: list[list[np.ndarray]] = []  # the rows of the bucket that may go on in the next batch
-        for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(sketch))]
-            if not len(columns[0]):
-                continue
-            kind, key = columns[:2]
-            cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (key[1:] != key[:-1])) + 1
-            if held and (held[0][0][-1] != kind[0] or held[0][1][-1] != key[0]):
-                yield from search([np.concatenate(x) for x in zip(*held, strict=True)])
-                held = []
-            if not len(cuts):
-                held.append([c.copy() for c in columns])
-                continue
-            held.append([c[: cuts[-1]] for c in columns])
-            yield from search([np.concatenate(x) for x in zip(*held, strict=True)])
-            held = [[c[cuts[-1] :].copy() for c in columns]]
-        if held:
-            yield from search([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(bands)])
-    # thin rows first: most nodes share no band with any other, and their sketches need not move
-    dealt = marked.select("node", F.explode(kinds).alias("b")).select("b.kind", "b.key", "node")
-    shared = stored(dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1").select("kind", "key"), "buckets")
-    met = stored(dealt.join(shared, ["kind", "key"], "left_semi"), "met")
-    rows = met.join(marked.select("node", *sketch), "node").select("kind", "key", "node", *sketch)
-    return rows.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def estimate(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Jaccard similarity by SimHash bits and set sizes (last in the last axis); -1 where the sizes alone rule ``similarity`` out."""
+    differ = np.bitwise_count(x[..., :-1] ^ y[..., :-1]).sum(-1, dtype=np.int64)
+    n, m = x[..., -1].astype(np.float64), y[..., -1].astype(np.float64)
+    shared = np.cos(np.pi * differ / (64 * (x.shape[-1] - 1))) * np.sqrt(n * m)
+    return np.where(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9, shared / np.maximum(n + m - shared, 1), -1)
+
+
+def forests(sketches: np.ndarray, starts: np.ndarray, similarity: float):
+    """Yields (a, b), places of the pairs of a maximum spanning forest of each bucket: Prim's algorithm, all buckets of one size side by side. starts: of the buckets, and the end."""
+    sizes = np.diff(starts)
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        own = starts[:-1][sizes == m]
+        for i in range(0, len(own), max(1, _BLOCK // m)):
+            place = own[i : i + max(1, _BLOCK // m), None] + np.arange(m)
+            x, row = sketches[place], np.arange(len(place))
+            best, before = estimate(x[:, :1], x, similarity), np.zeros(place.shape, np.int64)
+            best[:, 0] = -2  # in the tree
+            for _ in range(m - 1):
+                pick = best.argmax(1)
+                good = np.flatnonzero(best[row, pick] >= similarity - SLACK)
+                yield place[good, before[good, pick[good]]], place[good, pick[good]]
+                near = estimate(x[row, pick][:, None], x, similarity)
+                best[row, pick] = -2
+                closer = (near > best) & (best > -2)
+                best[closer] = near[closer]
+                before = np.where(closer, pick[:, None], before)
+
+
+def across(members: np.ndarray, parts: np.ndarray, outside: np.ndarray, own: np.ndarray, similarity: float):
+    """Yields (i, j): outside row i and member j of another part that may be similar."""
+    step = max(1, _BLOCK // max(1, len(members)))
+    for i in range(0, len(outside), step):
+        near = estimate(outside[i : i + step, None], members[None], similarity)
+        a, b = np.nonzero((near >= similarity - SLACK) & (own[i : i + step, None] != parts[None]))
+        yield a + i, b
+
+
+def _buckets(batches, n: int):
+    """Whole buckets from sorted batches, as lists of n + 1 columns and the places where buckets begin (and the end). The first n columns are the bucket's key."""
+
+    def begun(columns):
+        new = np.zeros(len(columns[0]), bool)
+        new[:1] = True
+        for c in columns[:n]:
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    held: list[list[np.ndarray]] = []  # the rows of the bucket that may go on in the next batch
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if not len(columns[0]):
+            continue
+        if held and any(h[-1] != c[0] for h, c in zip(held[0][:n], columns, strict=False)):
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield whole, np.array([0, len(whole[0])])
+            held = []
+        cuts = begun(columns)
+        last = int(cuts[-1])
+        if last:
+            whole = [np.concatenate([*[h[k] for h in held], c[:last]]) for k, c in enumerate(columns)]
+            yield whole, np.append(begun(whole), len(whole[0]))
+            held = []
+        held.append([c[last:].copy() for c in columns])
+    if held:
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield whole, np.array([0, len(whole[0])])
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _sub(n: str, hot: int):
+    """How many blocks of ``hot`` rows so many make."""
+    return F.ceil(F.col(n) / hot).cast("int")
+
+
+def _forest_pairs(met: DataFrame, sizes: DataFrame, sketches: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """a, b: proposals of step a. met: kind, key, node; sizes: kind, key, n; sketches: node, s0 ..."""
+    names, out = [c for c in sketches.columns if c != "node"], None
+
+    def search(batches):
+        for columns, starts in _buckets(batches, 3):
+            node, large = columns[3], columns[4]
+            x = np.stack([c.view(np.uint64) for c in columns[5:]], 1)
+            root = np.ones(len(node), bool)
+            for a, b in forests(x, starts, similarity):
+                root[b] = False  # Prim's trees grow from their roots: each later member is a pair's second
+                empty = np.zeros(len(a), np.int32)
+                yield pa.RecordBatch.from_arrays([*_pairs_of(node[a], node[b]).columns, pa.array(empty - 1, pa.int32()), pa.array(empty, pa.int64())], names=["a", "b", "kind", "key"])
+            again = root & large
+            yield pa.RecordBatch.from_arrays([pa.array(node[again]), pa.array(node[again]), pa.array(columns[0][again], pa.int32()), pa.array(columns[1][again], pa.int64())], names=["a", "b", "kind", "key"])
+
+    while True:
+        parts = _sub("n", hot)
+        dealt = met.join(sizes.select("kind", "key", parts.alias("parts")), ["kind", "key"]).select("kind", "key", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("sub"), "node", (F.col("parts") > 1).alias("large"))
+        rows = dealt.join(sketches, "node").select("kind", "key", "sub", "node", "large", *names).repartition("kind", "key", "sub").sortWithinPartitions("kind", "key", "sub")
+        found = stored(rows.mapInArrow(search, "a long, b long, kind int, key long"), "forest")
+        pairs = found.where("kind = -1").select("a", "b")
+        out = pairs if out is None else out.union(pairs)
+        roots = found.where("kind >= 0").select("kind", "key", F.col("a").alias("node"))
+        fewer = stored(roots.groupBy("kind", "key").agg(F.count("*").alias("n")).join(sizes.withColumnRenamed("n", "before"), ["kind", "key"]).where("n > 1 AND n < before").select("kind", "key", "n"), "roots")
+        if fewer.isEmpty():  # none was dealt, or what is left of it has nothing in common
+            return out
+        met, sizes = roots, fewer
+
+
+def _rest_pairs(met: DataFrame, parts: DataFrame, sketches: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """a, b: proposals of step b. parts: node, component of linked nodes."""
+    names = [c for c in sketches.columns if c != "node"]
+    own = met.join(parts, "node", "left").select("kind", "key", "node", F.coalesce("component", "node").alias("component"))
+    counts = own.groupBy("kind", "key", "component").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("kind", "key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = stored(mixed.select("kind", "key", F.col("most.component").alias("main"), _sub("n", hot).alias("subs"), F.ceil((F.col("n") - F.col("most.c")) / hot).cast("int").alias("blocks")), "mixed")
+    rows = own.join(mixed, ["kind", "key"])
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select("kind", "key", "node", "component", number("subs").alias("sub"), "blocks").select("kind", "key", "sub", every("blocks").alias("block"), F.lit(False).alias("out"), "node", "component")
+    outside = rows.where(F.col("component") != F.col("main")).select("kind", "key", "node", "component", number("blocks").alias("block"), "subs").select("kind", "key", every("subs").alias("sub"), "block", F.lit(True).alias("out"), "node", "component")
+
+    def search(batches):
+        for columns, starts in _buckets(batches, 4):
+            out, node, part = columns[4:7]
+            x = np.stack([c.view(np.uint64) for c in columns[7:]], 1)
+            for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                m, o = s + np.flatnonzero(~out[s:e]), s + np.flatnonzero(out[s:e])
+                for a, b in across(x[m], part[m], x[o], part[o], similarity):
+                    yield _pairs_of(node[o[a]], node[m[b]])
+
+    found = members.unionByName(outside).join(sketches, "node").select("kind", "key", "sub", "block", "out", "node", "component", *names)
+    return found.repartition("kind", "key", "sub", "block").sortWithinPartitions("kind", "key", "sub", "block").mapInArrow(search, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -484,7 +504,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
     """id, component_id of every row: near copies by Jaccard similarity of word shingles, through any chain."""
     kind = docs.schema[id_col].dataType.simpleString()
     bands, sketch = [f"k{i}" for i in range(BANDS)], [f"s{i}" for i in range(SKETCH + 1)]
@@ -501,20 +521,36 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     mark = [F.xxhash64(*names).alias("mark"), F.hash(*names).alias("mark2")]
     marked = stored(made.select(F.col(f"`{id_col}`").cast("long").alias(id_col), *mark, *names), "marks")
     nodes = stored(marked.groupBy("mark", "mark2").agg(F.min(id_col).alias("node"), *[F.first(n).alias(n) for n in names]), "nodes")
-    pairs = stored(_proposed(nodes.where("node is not null"), bands, sketch, similarity), "pairs")
+    known = nodes.where("node is not null")
     texts = own.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    parts = connected_components(stored(_confirmed(pairs, texts, words, similarity), "links"))
+    # thin rows first: most nodes share no band with any other, and their sketches need not move
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("key")) for i, c in enumerate(bands)])
+    dealt = known.select("node", F.explode(kinds).alias("b")).select("b.kind", "b.key", "node")
+    sizes = stored(dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = stored(dealt.join(sizes, ["kind", "key"], "left_semi"), "met")
+    sketches = known.select("node", *sketch)
+    pairs = stored(_forest_pairs(met, sizes, sketches, similarity, hot).distinct(), "pairs")
+    links = stored(_confirmed(pairs, texts, words, similarity), "links")
+    parts = stored(connected_components(links), "parts")
+    more = stored(_rest_pairs(met, parts, sketches, similarity, hot).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        further = _confirmed(more, texts, words, similarity)
+        parts = stored(connected_components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(further)), "parts")
     named = stored(nodes.select("mark", "mark2", "node").join(parts, "node", "left").select("mark", "mark2", F.coalesce("component", "node").alias("component_id")), "components")
     return marked.select(id_col, "mark", "mark2").join(named, ["mark", "mark2"]).select(id_col, "component_id")
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents whose id is their component's smallest, all columns; of repeated ids one row stays.
+    """The documents whose id is their component's smallest, all columns; of rows that repeat an id one stays, the first by a hash of all columns.
 
     Rows with a null id are kept: no decision can name them."""
-    keep = near_copies(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    with_id = docs.where(F.col(f"`{id_col}`").isNotNull())
-    same = with_id.join(keep, with_id[id_col] == keep["_kept"], "left_semi")
-    return same.dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
-
-
+    found = near_copies(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    ids = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("kept"), F.count("*").alias("rows")).where("_id is not null")
+    ids = stored(ids.where("NOT kept OR rows > 1"), "decisions")
+    # the fewer ids: those that go or repeat. Small enough, they are broadcast, and no text is shuffled
+    own = F.col(f"`{id_col}`").cast("long")
+    single = docs.join(ids.select("_id"), own == F.col("_id"), "left_anti")
+    again = docs.join(ids.where("kept AND rows > 1").select("_id"), own == F.col("_id"), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = again.groupBy(own.alias("_id")).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return single.unionByName(one.select("_row.*"))

@@ -123,17 +123,98 @@ def test_appended_cut_and_replaced_copies(spark):
     assert all(got[i] == (i - 1 if j >= 0.8 else i) for i, j in pairs.items())
 
 
-def test_large_bucket_of_near_copies():
-    rng = np.random.default_rng(4)
-    groups = [[f"g{g}w{i}" for i in rng.integers(0, 5000, 300)] for g in range(3)]
-    texts = [(g, " ".join([*w[: 300 - int(rng.integers(0, 20))], *(f"e{i}" for i in rng.integers(0, 9999, 5))])) for g, w in enumerate(groups) for _ in range(60)]
-    sketches = np.array([S.copy_marks(t, 5)[S.BANDS :] for _, t in texts], np.uint64)
-    pairs = {(int(x), int(y)) for a, b in S.large_bucket_pairs(sketches, 0.8) for x, y in zip(a, b, strict=True)}
+def plain_components(texts, similarity=0.8):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
     part = list(range(len(texts)))
-    for a, b in sorted(pairs):
-        if jaccard(texts[a][1], texts[b][1]) >= 0.8:
-            part = [min(part[a], part[b]) if p in (part[a], part[b]) else p for p in part]
-    assert part == [g * 60 for g, _ in texts] and len(pairs) < 1000
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if part[a] != part[b] and both >= similarity * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                low, high = sorted((part[a], part[b]))
+                part = [low if p == high else p for p in part]
+    return part
+
+
+@pytest.mark.parametrize("hot", [4096, 7])
+def test_groups_of_near_copies_against_brute_force(spark, hot):
+    """Chains of edits, so that members are similar to some of their group only; strays between 0.6 and 0.8."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(4):
+        chain = [[f"g{g}w{i}" for i in rng.integers(0, 5000, 200)]]
+        for _ in range(40):
+            w = list(chain[int(rng.integers(max(0, len(chain) - 6), len(chain)))])
+            at, k = int(rng.integers(0, 190)), int(rng.integers(1, 30))
+            w[at : at + k] = [f"e{x}" for x in rng.integers(0, 9999, k)]
+            chain.append(w)
+        texts += [" ".join(w) for w in chain]
+    want = plain_components(texts)
+    assert 10 < len(set(want)) < len(texts) - 40
+    got = {r.doc_id: r.component_id for r in S.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_forests_are_maximal():
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 1 << 63, (12, S.SKETCH), dtype=np.uint64)
+    x = np.concatenate([centres[rng.integers(0, 12, 90)] ^ (np.uint64(1) << rng.integers(0, 63, (90, S.SKETCH), dtype=np.uint64)), rng.integers(90, 110, (90, 1), dtype=np.uint64)], 1)
+    starts = np.array([0, 1, 3, 6, 9, 40, 90])
+    got = [(int(a), int(b)) for p, q in S.forests(x, starts, 0.8) for a, b in zip(p, q, strict=True)]
+    for s, e in zip(starts, starts[1:], strict=False):
+        def components(pairs):
+            part = {i: i for i in range(s, e)}
+            for a, b in pairs:
+                low, high = sorted((part[a], part[b]))
+                part = {i: low if p == high else p for i, p in part.items()}
+            return part
+
+        own = [(a, b) for a, b in got if s <= a < e]
+        every = [(a, b) for a in range(s, e) for b in range(s, a) if S.estimate(x[a], x[b], 0.8) >= 0.8 - S.SLACK]
+        assert components(own) == components(every) and len(own) == (e - s) - len(set(components(every).values()))
+
+
+def test_many_permutations_of_one_word_set(spark):
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(60)])
+    rows = [(i, " ".join(rng.permutation(words))) for i in range(20_000)]
+    out = S.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert out.where("component_id <> doc_id").count() == 0
+
+
+def test_recall_on_copies_in_the_tables(spark):
+    """All pairs of documents with a 5-word similarity of 0.8 or more, found by an exact join of shingles, are linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: set(S.shingle_set(t, 5).tolist()) for i, t in texts.items()}
+    # a pair at 0.8 shares one of the rarest fifth (and one more) of either's shingles
+    counts = {}
+    for own in sets.values():
+        for h in own:
+            counts[h] = counts.get(h, 0) + 1
+    places, near = {}, set()
+    for i, own in sets.items():
+        first = sorted(own, key=lambda h: (counts[h], h))[: len(own) - -(-4 * len(own) // 5) + 1]
+        for j in {j for h in first for j in places.get(h, ())}:
+            both = len(own & sets[j])
+            if both >= 0.8 * (len(own) + len(sets[j]) - both) - 1e-9:
+                near.add((j, i))
+        for h in first:
+            places.setdefault(h, []).append(i)
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs).collect()}
+    part = {i: i for i in texts}
+
+    def root(i):
+        while part[i] != i:
+            part[i] = part[part[i]]
+            i = part[i]
+        return i
+
+    for a, b in near:
+        a, b = sorted((root(a), root(b)))
+        part[b] = a
+    assert len(near) > 500
+    assert sum(got[a] == got[b] for a, b in near) >= 0.999 * len(near)
+    assert all(root(i) == root(c) for i, c in got.items())  # and nothing else is
 
 
 def test_components(spark):
