@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import remove, scratch, shared_dir, stored
 
-__all__ = ["doc_columns", "lean", "remove", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["doc_columns", "lean", "remove", "scratch", "shared_dir", "stored", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def lean(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """A task's batches in slices of few rows, so that little of them is Python objects at a time; in the end, the memory
     that the allocators still hold goes back: the worker lives on beside those of other stages."""

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 WINDOW = 10
 # What separates words once A-Z is lower case, and what words are made of before.
@@ -158,5 +158,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     done = _contaminated(_rows(docs, id_col, text_col), benchmark, item_col, item_text_col, window, broadcast_rows)
     if done is None:
         return docs
-    bad = stored(done.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")), "bad")  # its size is known when the join is planned
-    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs[f"`{text_col}`"]) == bad["_mark"]), "left_anti")
+    doc, mark = unused("_doc", docs), unused("_mark", docs)
+    bad = stored(done.select(F.col("doc").alias(doc), F.col("mark").alias(mark)), "bad")  # its size is known when the join is planned
+    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad[doc]) & (F.xxhash64(docs[f"`{text_col}`"]) == bad[mark]), "left_anti")

@@ -26,7 +26,7 @@ b. Where a bucket still holds several components, the members outside its larges
 So a group of copies costs about as many confirmations as it has members, no task holds more than a few times ``hot``
 members, and no pair that the buckets propose is left unexamined unless it is connected already.
 
-Null and empty texts have fingerprint zero and are linked like any other. Null ids get a fingerprint; they take part
+Null and empty texts have fingerprint zero and are linked like any other. Ids are integers. Null ids get a fingerprint; they take part
 in no minimum, and a component of null ids only has a null id. Texts are read whole; repeated rows stay repeated.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import doc_columns, lean, stored
+from .common import doc_columns, lean, stored, unused
 
 DISTANCE = 3
 SEED = 42
@@ -545,12 +545,13 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Rows with a null id are kept: no decision can name them."""
     found = near_copies(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
-    ids = found.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(id_col) == F.col("component_id")).alias("kept"), F.count("*").alias("rows")).where("_id is not null")
+    key = unused("_id", docs)
+    ids = found.groupBy(F.col(id_col).alias(key)).agg(F.max(F.col(id_col) == F.col("component_id")).alias("kept"), F.count("*").alias("rows")).where(F.col(key).isNotNull())
     ids = stored(ids.where("NOT kept OR rows > 1"), "decisions")
     # the fewer ids: those that go or repeat. Small enough, they are broadcast, and no text is shuffled
     own = F.col(f"`{id_col}`").cast("long")
-    single = docs.join(ids.select("_id"), own == F.col("_id"), "left_anti")
-    again = docs.join(ids.where("kept AND rows > 1").select("_id"), own == F.col("_id"), "left_semi")
+    single = docs.join(ids.select(key), own == F.col(key), "left_anti")
+    again = docs.join(ids.where("kept AND rows > 1").select(key), own == F.col(key), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = again.groupBy(own.alias("_id")).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    one = again.groupBy(own.alias(key)).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
     return single.unionByName(one.select("_row.*"))

@@ -21,7 +21,8 @@ names) that any later session can open to add a batch and ask for the new docume
 add at the same time: one of them fails. ``deduplicate`` does it for one table in a few batches.
 
 Null and empty texts have no words. Texts of fewer than WINDOW words are kept whole. Repeated rows, and repeats inside
-one text, count as copies: all of them lose the passage. Extra columns ride along in the chunks, whatever their names.
+one text, count as copies: all of them lose the passage. Extra columns ride along in the chunks, whatever their names;
+in the results one that is named like a result gives way to it, unless ``prefix`` names the results differently.
 Texts are read whole; a single text longer than a chunk is a chunk of its own.
 """
 
@@ -345,7 +346,7 @@ class SubstringIndex:
             bits = bits.union(found.select("chunk_id", F.struct(F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("binary"), "hashes").cast(answers).alias("x")))
         return stored(bits.groupBy("chunk_id").agg(F.collect_list("x").alias("answers")), "anchors")
 
-    def results(self, since: int = 0, *, keep_text: bool = True, keep_sha: bool = False) -> DataFrame:
+    def results(self, since: int = 0, *, keep_text: bool = True, keep_sha: bool = False, prefix: str = "") -> DataFrame:
         """All columns but the text of the documents of batches from ``since`` on, judged against the whole index, then n_words, n_removed and, as asked, kept_text (the text itself where nothing is removed, else the kept words joined by one space; null stays null) and kept_sha256 (of the kept words joined by one space)."""
         wanted = [f for f in self.state["folders"] if f["first"] + f["of"] > since]
         if len({f["schema"] for f in wanted}) != 1:
@@ -368,7 +369,8 @@ class SubstringIndex:
         # the answers are the small side of each partition: hashed, so that chunks pass by without being sorted
         candidates = self._chunks().select("chunk_id", "docs").join(answers.hint("shuffle_hash"), "chunk_id").mapInArrow(verify, "chunk_id long, part int, hashes binary, multi binary")
         repeated = answers.join(_verified(candidates).groupBy("chunk_id").agg(F.collect_list(F.struct("part", "bits")).alias("checked")), "chunk_id", "left")
-        others = [f for f in schema if f.name != schema[0].name]
+        given = [f"{prefix}{n}" for n in ("n_words", "n_removed", *["kept_text"] * keep_text, *["kept_sha256"] * keep_sha)]
+        others = [f for f in schema if f.name not in (schema[0].name, *given)]
 
         def finish(arrow):
             for batch in lean(arrow):
@@ -391,21 +393,18 @@ class SubstringIndex:
                             covered = np.cumsum(edges[:-1]) > 0
                     removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[np.concatenate([[0], words.ends])])
                     out = [table.column(f.name).combine_chunks() for f in others] + [pa.array(words.counts), pa.array(removed.astype(np.int64))]
-                    names = [f.name for f in others] + ["n_words", "n_removed"]
                     kept = []
                     for k, (end, n, gone) in enumerate(zip(words.ends.tolist(), words.counts.tolist(), removed.tolist(), strict=True)):
                         own_words = words.tokens[end - n : end]
                         kept.append(b" ".join(own_words if not gone else [w for w, c in zip(own_words, covered[end - n : end].tolist(), strict=True) if not c]) if keep_sha or gone else texts[k])
                     if keep_text:
                         out.append(pc.cast(pa.array([k if gone else t for k, gone, t in zip(kept, removed.tolist(), texts, strict=True)], pa.binary()), pa.string()))
-                        names.append("kept_text")
                     if keep_sha:
                         out.append(pa.array([hashlib.sha256(k).hexdigest() for k in kept]))
-                        names.append("kept_sha256")
                     out = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in out]
-                    yield pa.RecordBatch.from_arrays(out, names=names)
+                    yield pa.RecordBatch.from_arrays(out, names=[*[f.name for f in others], *given])
 
-        kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], "n_words long, n_removed long", *["kept_text string"] * keep_text, *["kept_sha256 string"] * keep_sha])
+        kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in others], *[f"`{n}` {'long' if n.startswith(f'{prefix}n_') else 'string'}" for n in given]])
         chunks = self._chunks(since).select("chunk_id", "docs")
         return chunks.join(repeated.hint("shuffle_hash"), "chunk_id", "left").select("docs", "answers", "checked").mapInArrow(finish, kinds)
 
@@ -494,8 +493,8 @@ def _verified(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("part").applyInArrow(run, "chunk_id long, part int, bits binary")
 
 
-def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fan_in: int = 4, chunk_bytes: int = 2 << 20, path: str | None = None, keep_text: bool = True, keep_sha: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, text_col: str = "text", batches: int = 4, fan_in: int = 4, chunk_bytes: int = 2 << 20, path: str | None = None, keep_text: bool = True, keep_sha: bool = False, prefix: str = "") -> DataFrame:
     """The results of documents that arrive at an index (a new one, or that in ``path``) in some batches."""
     index = SubstringIndex(docs.sparkSession, path, fan_in=fan_in)
     first = index.add(docs, text_col=text_col, batches=batches, chunk_bytes=chunk_bytes)
-    return index.results(first, keep_text=keep_text, keep_sha=keep_sha)
+    return index.results(first, keep_text=keep_text, keep_sha=keep_sha, prefix=prefix)

@@ -40,3 +40,26 @@ def test_stages(spark, tmp_path):
 def test_small_table(spark, small):
     out = P.queries()["pipeline"](spark, small)
     assert out.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in every column, an id twice, very long texts, extra columns with names that operators use, no benchmark, no documents."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, place int, hits string, node long, kept_text string, _id long, cls string, _mark long, component_id long, n_removed int"
+    words = lambda seed, n: " ".join(f"{'abcdefghij'[(seed + i) % 10]}{'klmnopqrst'[(seed * 3 + i * i) % 10]}{'uvwxyz'[i % 6]}{'aeiou'[(i + seed) % 5]}n" for i in range(n))
+    own = [(1, words(1, 90), "xx", "a"), (2, words(1, 90), None, None), (None, words(5, 80), "xx", "b"), (None, None, None, None), (3, "", "xx", "a"), (4, words(4, 40_000), "xx", "a"), (5, words(7, 60), "xx", "c"), (5, words(9, 60), "xx", "c"), (6, "z", "xx", "c")]
+    docs = spark.createDataFrame([(*r, None, 1, "clash", 2, "clash", 3, "clash", 4, 5, 6) for r in own], schema)
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in P.STAGES:
+            now = stored(run(spark, now, folder), stage)
+            if stage != "packing":
+                assert now.columns == docs.columns and now.dtypes == docs.dtypes
+                kept = now.collect()
+            if name == "some" and stage == "language_id":
+                assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "4", "5", "5", "6", "None"] and {r.lang for r in kept} == {"xx"}
+            if name == "some" and stage == "near_duplicates":
+                assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "5", "6", "None"] and all(r.hits == r.cls == "clash" for r in kept)
+        assert (now.count() > 0) == (name == "some")
