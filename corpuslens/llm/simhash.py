@@ -21,10 +21,12 @@ a. Each bucket proposes a spanning forest of its members, the most alike first (
    proposals are confirmed. A bucket of more than ``hot`` members is dealt into parts by a hash, and the trees' roots meet
    again, until they fit.
 b. Where a bucket still holds several components, the members outside its largest one are compared with all, in blocks of
-   ``hot``, and every pair across components that may be similar (four standard errors of the estimate) is confirmed too.
+   ``hot``. Members that may be similar to one of another component (by four standard errors of the estimate) meet once
+   more, with their shingle sets: the exact similarity to all others of a block comes from an inverted list of shingles,
+   and only links that join two components leave the task.
 
-So a group of copies costs about as many confirmations as it has members, no task holds more than a few times ``hot``
-members, and no pair that the buckets propose is left unexamined unless it is connected already.
+So rows stay in proportion to members, however large a group of copies is, no task holds more than a few times ``hot``
+members or SET_BYTES of shingle sets, and no pair that may be similar is left unexamined unless it is connected already.
 
 Null and empty texts have fingerprint zero and are linked like any other. Ids are integers. Null ids get a fingerprint; they take part
 in no minimum, and a component of null ids only has a null id. Texts are read whole; repeated rows stay repeated.
@@ -298,6 +300,7 @@ def _components(marked: DataFrame, id_col: str, key: list[str], **how) -> DataFr
 BANDS, ROWS = 20, 4  # a pair at 0.8 misses all bands once in 38,000 times
 SKETCH = 8  # words of 64 bits
 SLACK = 0.11  # four standard errors of the estimate
+SET_BYTES = 16 << 20  # of shingle sets that meet in one task
 _BLOCK = 1 << 16  # members compared at once
 
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -377,13 +380,43 @@ def forests(sketches: np.ndarray, starts: np.ndarray, similarity: float):
                 before = np.where(closer, pick[:, None], before)
 
 
-def across(members: np.ndarray, parts: np.ndarray, outside: np.ndarray, own: np.ndarray, similarity: float):
-    """Yields (i, j): outside row i and member j of another part that may be similar."""
+def across(members: np.ndarray, parts: np.ndarray, outside: np.ndarray, own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which outside rows and which members may be similar to one of another part on the other side."""
+    left, right = np.zeros(len(outside), bool), np.zeros(len(members), bool)
     step = max(1, _BLOCK // max(1, len(members)))
     for i in range(0, len(outside), step):
-        near = estimate(outside[i : i + step, None], members[None], similarity)
-        a, b = np.nonzero((near >= similarity - SLACK) & (own[i : i + step, None] != parts[None]))
-        yield a + i, b
+        near = estimate(outside[i : i + step, None], members[None], similarity) >= similarity - SLACK
+        near &= own[i : i + step, None] != parts[None]
+        left[i : i + step] |= near.any(1)
+        right |= near.any(0)
+    return left, right
+
+
+def linking(sets: list[np.ndarray], parts: np.ndarray, outside: list[np.ndarray], own: np.ndarray, similarity: float):
+    """Yields (i, j): outside row i and member j whose sets have the similarity and whose parts nothing yielded before joins."""
+    shingles = np.concatenate([*sets, np.empty(0, np.uint64)])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for i, x in enumerate(outside):
+        low, high = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        both = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero((both >= similarity * (len(x) + sizes - both) - 1e-9) & (parts != own[i])).tolist():
+            a, b = root(int(own[i])), root(int(parts[j]))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                yield i, j
 
 
 def _buckets(batches, n: int):
@@ -456,40 +489,71 @@ def _forest_pairs(met: DataFrame, sizes: DataFrame, sketches: DataFrame, similar
         met, sizes = roots, fewer
 
 
-def _rest_pairs(met: DataFrame, parts: DataFrame, sketches: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """a, b: proposals of step b. parts: node, component of linked nodes."""
-    names = [c for c in sketches.columns if c != "node"]
-    own = met.join(parts, "node", "left").select("kind", "key", "node", F.coalesce("component", "node").alias("component"))
-    counts = own.groupBy("kind", "key", "component").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("kind", "key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = stored(mixed.select("kind", "key", F.col("most.component").alias("main"), _sub("n", hot).alias("subs"), F.ceil((F.col("n") - F.col("most.c")) / hot).cast("int").alias("blocks")), "mixed")
+def _in_blocks(own: DataFrame, weight: str, most: int, keep: list[str], hot: int) -> DataFrame:
+    """kind, key, sub, block, out, and the kept columns: in buckets (kind, key) of several components, each member in a part (sub) and, marked out, those outside of the largest component in a block; every part meets every block. weight: summed up, no more than about ``most`` in either."""
+    counts = own.groupBy("kind", "key", "component").agg(F.count("*").alias("c"), F.sum(weight).alias("w"))
+    mixed = counts.groupBy("kind", "key").agg(F.max(F.struct("c", "component", "w")).alias("main"), F.sum("c").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    pieces = lambda n, w: F.greatest(F.lit(1), F.ceil(n / hot), F.ceil(w / most)).cast("int")
+    mixed = stored(mixed.select("kind", "key", F.col("main.component").alias("main"), pieces(F.col("n"), F.col("w")).alias("subs"), pieces(F.col("n") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("blocks")), "mixed")
     rows = own.join(mixed, ["kind", "key"])
     number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.select("kind", "key", "node", "component", number("subs").alias("sub"), "blocks").select("kind", "key", "sub", every("blocks").alias("block"), F.lit(False).alias("out"), "node", "component")
-    outside = rows.where(F.col("component") != F.col("main")).select("kind", "key", "node", "component", number("blocks").alias("block"), "subs").select("kind", "key", every("subs").alias("sub"), "block", F.lit(True).alias("out"), "node", "component")
+    members = rows.select("kind", "key", *keep, number("subs").alias("sub"), "blocks").select("kind", "key", "sub", every("blocks").alias("block"), F.lit(False).alias("out"), *keep)
+    outside = rows.where(F.col("component") != F.col("main")).select("kind", "key", *keep, number("blocks").alias("block"), "subs").select("kind", "key", every("subs").alias("sub"), "block", F.lit(True).alias("out"), *keep)
+    return members.unionByName(outside)
+
+
+def _doubtful(met: DataFrame, parts: DataFrame, sketches: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """kind, key, node, component: members that may be similar to one of another component in the bucket. parts: node, component of linked nodes."""
+    names = [c for c in sketches.columns if c != "node"]
+    own = met.join(parts, "node", "left").select("kind", "key", "node", F.coalesce("component", "node").alias("component"), F.lit(0).alias("weight"))
 
     def search(batches):
         for columns, starts in _buckets(batches, 4):
             out, node, part = columns[4:7]
             x = np.stack([c.view(np.uint64) for c in columns[7:]], 1)
+            found = np.zeros(len(node), bool)
             for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
                 m, o = s + np.flatnonzero(~out[s:e]), s + np.flatnonzero(out[s:e])
-                for a, b in across(x[m], part[m], x[o], part[o], similarity):
-                    yield _pairs_of(node[o[a]], node[m[b]])
+                found[o], found[m] = across(x[m], part[m], x[o], part[o], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (columns[0], columns[1], node, part)], names=["kind", "key", "node", "component"])
 
-    found = members.unionByName(outside).join(sketches, "node").select("kind", "key", "sub", "block", "out", "node", "component", *names)
-    return found.repartition("kind", "key", "sub", "block").sortWithinPartitions("kind", "key", "sub", "block").mapInArrow(search, "a long, b long")
+    rows = _in_blocks(own, "weight", 1, ["node", "component"], hot).join(sketches, "node").select("kind", "key", "sub", "block", "out", "node", "component", *names)
+    return rows.repartition("kind", "key", "sub", "block").sortWithinPartitions("kind", "key", "sub", "block").mapInArrow(search, "kind int, key long, node long, component long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose texts' sets of shingles have the similarity, exactly. docs: node, text."""
+def _settled(doubtful: DataFrame, sets: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """a, b: exact links that join the components of doubtful members. sets: node, shingles."""
+
+    def search(batches):
+        for columns, starts in _buckets(batches, 4):
+            out, node, part, data = columns[4:8]
+            for s, e in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                m, o = s + np.flatnonzero(~out[s:e]), s + np.flatnonzero(out[s:e])
+                own = {i: np.frombuffer(data[i], np.uint64) for i in range(s, e)}
+                found = np.array([(o[i], m[j]) for i, j in linking([own[i] for i in m.tolist()], part[m], [own[i] for i in o.tolist()], part[o], similarity)], np.int64).reshape(-1, 2)
+                yield _pairs_of(node[found[:, 0]], node[found[:, 1]])
+
+    own = doubtful.join(sets.select("node", F.octet_length("shingles").cast("long").alias("weight")), "node")
+    rows = _in_blocks(own, "weight", SET_BYTES, ["node", "component"], hot).join(sets, "node").select("kind", "key", "sub", "block", "out", "node", "component", "shingles")
+    return rows.repartition("kind", "key", "sub", "block").sortWithinPartitions("kind", "key", "sub", "block").mapInArrow(search, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, shingles (the sorted 64-bit hashes) of the nodes' texts; stored. docs: node, text."""
 
-    def sets(batches):
+    def run(batches):
         for batch in lean(batches):
             found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
+    wanted = stored(nodes.select("node").distinct(), "wanted")
+    return stored(docs.join(wanted, "node", "left_semi").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node", "shingles"]), "shingles")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts' sets of shingles have the similarity, exactly. docs: node, text."""
+
     def compare(batches):
         for batch in lean(batches):
             x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(i)] for i in (2, 3))
@@ -497,8 +561,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
             total = np.array([len(a) + len(b) for a, b in zip(x, y, strict=True)], np.int64) - both
             yield batch.select([0, 1]).filter(pa.array(both >= similarity * total - 1e-9))
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = stored(docs.join(nodes, "node", "left_semi").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node", "shingles"]), "shingles")
+    own = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), words)
     left = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
@@ -532,10 +595,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pairs = stored(_forest_pairs(met, sizes, sketches, similarity, hot).distinct(), "pairs")
     links = stored(_confirmed(pairs, texts, words, similarity), "links")
     parts = stored(connected_components(links), "parts")
-    more = stored(_rest_pairs(met, parts, sketches, similarity, hot).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        further = _confirmed(more, texts, words, similarity)
-        parts = stored(connected_components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(further)), "parts")
+    doubtful = stored(_doubtful(met, parts, sketches, similarity, hot), "doubtful")
+    if not doubtful.isEmpty():
+        further = stored(_settled(doubtful, _sets(texts, doubtful, words), similarity, hot), "further")
+        if not further.isEmpty():
+            parts = stored(connected_components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(further)), "parts")
     named = stored(nodes.select("mark", "mark2", "node").join(parts, "node", "left").select("mark", "mark2", F.coalesce("component", "node").alias("component_id")), "components")
     return marked.select(id_col, "mark", "mark2").join(named, ["mark", "mark2"]).select(id_col, "component_id")
 
