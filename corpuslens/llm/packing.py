@@ -220,7 +220,7 @@ def _dealt(chunks: DataFrame, queues: DataFrame, window_tokens: int, group_windo
     return chunks.join(queues, "chunk_id").select("ids", "docs", "queues").mapInArrow(run, GROUPED)
 
 
-def pack(docs: DataFrame, *, size: int = 1024, window_tokens: int | None = None, group_windows: int = 1024, quantum: int = 32, targets: dict[str | None, float] | None = None, with_ids: bool = False, **how) -> DataFrame:
+def pack(docs: DataFrame, *, size: int = 1024, window_tokens: int | None = None, group_windows: int = 1024, quantum: int = 64, targets: dict[str | None, float] | None = None, with_ids: bool = False, **how) -> DataFrame:
     """PIECES, and with with_ids the piece's ids (binary, little-endian 16 bit). Windows are as long as sequences unless window_tokens says otherwise."""
     chunks = stored(tokenized_chunks(docs, **how), "tokens", compression="zstd")
     queues = stored(queue_places(chunks, targets), "queues")

@@ -66,7 +66,7 @@ def test_windows_hold_the_mixture(spark, tokenizer):
 
 def test_every_sequence_holds_the_mixture(spark, tokenizer):
     docs = mixed(spark)
-    rows = P.pack(docs.repartition(5), chunk_tokens=3000).collect()
+    rows = P.pack(docs.repartition(5), chunk_tokens=3000, quantum=32).collect()
     check(rows, {r.doc_id: r.text for r in docs.collect()}, tokenizer)
     groups, totals = shares(rows, lambda r: r.sequence_id)
     everything = sum(totals.values())
@@ -105,7 +105,7 @@ def test_windows_in_closed_form(quantum):
 
 def test_targets_and_ids(spark):
     docs = spark.range(400).selectExpr("id AS doc_id", "repeat('alpha beta ', 20) AS text", "IF(id % 2 = 0, 'a', 'b') AS source")
-    rows = P.pack(docs, targets={"a": 3.0, "b": 1.0}, with_ids=True).collect()
+    rows = P.pack(docs, targets={"a": 3.0, "b": 1.0}, quantum=32, with_ids=True).collect()
     groups, _ = shares(rows, lambda r: r.sequence_id)
     for g in sorted(groups)[:4]:  # until a queue is empty
         assert abs(groups[g]["a"] / sum(groups[g].values()) - 0.75) <= 0.04
