@@ -50,9 +50,14 @@ def remove_unwanted(text: Column, compat: bool = False) -> Column:
 
 
 def fix_ocr(text: Column) -> Column:
-    for pattern, to, times in OCR:
-        for _ in range(times):
-            text = F.regexp_replace(text, pattern, to)
+    """What the rules of OCR do, in one pass each: edges are looked at, not consumed, and only where the letters fit."""
+    inner = r"[\p{L}\p{N}_]"
+    for wrong, right in (("[l1]", "I"), ("0", "O"), ("5", "S")):
+        text = F.regexp_replace(text, rf"([A-Z]){wrong}(?!{inner})(?<!{inner}[A-Z]{wrong})", f"$1{right}")
+    words = "|".join(rf"({w})(?<!{inner}{w})" for w in ("the", "and", "of"))
+    text = F.regexp_replace(text, rf"(?:{words}){SPACE}*([A-Z])", "$1$2$3 $4")
+    for wrong, right in (("rn", "m"), ("cl", "d"), ("vv", "w")):
+        text = F.regexp_replace(text, rf"(?i:{wrong})(?!{inner})(?<!{inner}(?i:{wrong}))", right)
     return text
 
 
@@ -81,8 +86,8 @@ def sentences(text: Column) -> Column:
     guarded = text
     for a in L.ABBREVIATIONS:
         guarded = F.replace(guarded, F.lit(f" {a} "), F.lit(f" {a.replace('.', chr(2))} "))
-    marked = F.regexp_replace(guarded, rf"([.!?]+[\"')]*){SPACE}+", "$1\x1f")
-    parts = F.transform(F.split(marked, "\x1f"), lambda s: F.translate(F.trim(F.regexp_replace(s, rf"{SPACE}+", " ")), "\x02", "."))
+    marked = F.regexp_replace(F.regexp_replace(guarded, rf"{SPACE}+", " "), r"([.!?]+[\"')]*) ", "$1\x1f")
+    parts = F.transform(F.split(marked, "\x1f"), lambda s: F.replace(F.trim(s), F.lit("\x02"), F.lit(".")))
     return F.filter(parts, lambda s: s != "")
 
 

@@ -5,6 +5,7 @@ plugged in as a DataFrame of the same columns (id, entity, label, start, end, co
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +54,54 @@ def rule_entities(docs: DataFrame, rules: list[tuple[str, str]], confidence: flo
     return out.withColumn("confidence", F.lit(confidence)).withColumn("source", F.lit("rule"))
 
 
-def gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", confidence: float = 0.95, broadcast_rows: int = 500_000) -> DataFrame:
+def gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", confidence: float = 0.95, block: int = 200_000) -> DataFrame:
     """Case-insensitive occurrences of terms (term, category), anywhere in the text; of overlapping ones the first, then the longest, stays.
 
-    Small gazetteers (counted) are broadcast; larger ones meet texts by words: a term's first word is looked for among
-    the text's words, which leaves out matches inside words."""
-    terms = gazetteer.select("term", "category", F.lower("term").alias("low")).distinct()
-    t = docs.select(id_col, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
-    if terms.count() <= broadcast_rows:
-        hit = t.join(F.broadcast(terms), F.contains(F.col("_low"), F.col("low")))
-    else:
-        w = t.select(id_col, "_text", "_low", F.explode(F.array_distinct(F.split("_low", r"[^\p{L}\p{N}_]+"))).alias("_w"))
-        hit = w.join(terms.withColumn("_w", F.regexp_extract("low", r"^[\p{L}\p{N}_]+", 0)), "_w").where(F.contains("_low", "low"))
-    n = F.length("low")
-    starts = F.filter(F.sequence(F.lit(1), F.length("_low") - n + 1), lambda i: F.substring(F.col("_low"), i, n) == F.col("low"))
-    places = hit.select(id_col, "_text", "category", n.alias("n"), F.explode(starts).alias("at"))
-    e = places.select(id_col, F.substring("_text", F.col("at"), F.col("n")).alias("entity"), label_of(F.col("category")).alias("label"), (F.col("at") - 1).cast("int").alias("start"), (F.col("at") - 1 + F.col("n")).cast("int").alias("end"))
+    One automaton looks for all terms at once. A gazetteer of more than about ``block`` terms is dealt into blocks by a hash,
+    and each has a pass of its own: the driver and a task hold one block, and results are the same at every size. Null and
+    empty terms match nothing."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    terms = gazetteer.select(F.lower("term").alias("low"), "category").where("low <> ''").distinct()
+    blocks = max(1, -(-terms.count() // block))
+    texts = docs.select(id_col, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low")).where("_low IS NOT NULL")
+    found = None
+    for i in range(blocks):
+        own: dict[str, list[str]] = {}
+        for r in terms.where(F.pmod(F.xxhash64("low"), F.lit(blocks)) == i).collect():
+            own.setdefault(r["low"], []).append(r["category"])
+        rows = texts.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(own), id_col), f"`{id_col}` {kind}, entity string, category string, start int, end int")
+        found = rows if found is None else found.union(rows)
+    e = found.select(id_col, "entity", label_of(F.col("category")).alias("label"), "start", "end")
     return first_longest(e, id_col).withColumn("confidence", F.lit(confidence)).withColumn("source", F.lit("gazetteer"))
 
 
+def _matcher(terms, id_col: str):
+    """Batches of (id, text, lower-case text) to a row for every place of every term; offsets count characters."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for low, categories in terms.value.items():
+            automaton.add_word(low, (len(low), categories))
+        if terms.value:
+            automaton.make_automaton()
+        for batch in batches:
+            at, entities, names, starts, ends = [], [], [], [], []
+            if terms.value:
+                for i, (text, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    for end, (n, categories) in automaton.iter(low):
+                        for category in categories:
+                            at.append(i)
+                            entities.append(text[end - n + 1 : end + 1])
+                            names.append(category)
+                            starts.append(end - n + 1)
+                            ends.append(end + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(entities, pa.string()), pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[id_col, "entity", "category", "start", "end"])
+
+    return run
+
+
 def label_of(category: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in L.GAZETTEER_LABELS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, category), F.upper(category))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from .features import ngrams
 
 SEED = 42
@@ -35,7 +36,7 @@ def as_vectors(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
 
 def kmeans(vectors: DataFrame, *, id_col: str, k: int = 5) -> tuple[DataFrame, float | None]:
     """(id, cluster), silhouette with squared Euclidean distances; one cluster or as many as rows have none."""
-    vectors = vectors.persist()  # read by every round; the caller's session frees it with the result
+    vectors = stored(vectors, "vectors")  # read by every round
     n = vectors.count()
     k = max(1, min(k, n))
     if k == 1:
@@ -111,17 +112,65 @@ def nmf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
     return spark.createDataFrame(out, "topic int, rank int, word string, weight double")
 
 
-def coherence(docs: DataFrame, topics: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """topic, npmi: mean normalised pointwise mutual information of a topic's words over sentences. topics: (topic, word), a few words each."""
-    s = docs.select(F.monotonically_increasing_id().alias("d"), F.posexplode(T.sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("p", "s")).select("d", "p", F.array_distinct(T.words(F.col("s"))).alias("w"))
-    words = topics.select("word").distinct()
-    seen = s.select("d", "p", F.explode("w").alias("word")).join(F.broadcast(words), "word")
-    total = s.agg(F.count("*").alias("n"))
-    single = seen.groupBy("word").agg(F.count("*").alias("c"))
-    a, b = seen.withColumnRenamed("word", "a"), seen.withColumnRenamed("word", "b")
-    wanted = topics.select("topic", F.col("word").alias("a")).join(topics.select("topic", F.col("word").alias("b")), "topic").where("a < b")
-    pair = a.join(b, ["d", "p"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("ab"))
-    j = wanted.join(pair, ["a", "b"], "left").join(single.select(F.col("word").alias("a"), F.col("c").alias("ca")), "a").join(single.select(F.col("word").alias("b"), F.col("c").alias("cb")), "b").crossJoin(F.broadcast(total))
-    both = F.coalesce("ab", F.lit(0)) / F.col("n") + 1e-12
-    npmi = F.log(both / (F.col("ca") * F.col("cb") / (F.col("n") * F.col("n")))) / -F.log(both)
-    return j.groupBy("topic").agg(F.avg(npmi).alias("npmi"))
+def coherence(docs: DataFrame, topics: DataFrame, *, text_col: str = "text", window: int = 110) -> DataFrame:
+    """topic, npmi, c_v of topics (topic, word; a few words each, which the driver holds).
+
+    Words co-occur in a sliding window of so many words (a shorter text is one window). npmi is the mean over a topic's
+    pairs; c_v the mean cosine of each word's vector of npmi with its topic's words to the sum of those vectors. Windows
+    are counted where the texts are: only sums over pairs of topic words leave a task. Words that never occur have an
+    npmi of 0 with any other; a topic of one word has a c_v of 1 if it occurs, and no npmi."""
+    own: dict[int, list[str]] = {}
+    for r in topics.select("topic", "word").distinct().orderBy("topic", "word").collect():
+        own.setdefault(r["topic"], []).append(r["word"])
+    place = {w: i for i, w in enumerate(sorted({w for ws in own.values() for w in ws}))}
+    v = len(place)
+
+    def run(batches):
+        total, pairs = 0, np.zeros((v, v))
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                n = len(words)
+                if not n:
+                    continue
+                seen = np.zeros((n + 1, v), np.int32)
+                at = [(i + 1, place[w]) for i, w in enumerate(words) if w in place]
+                windows = max(1, n - window + 1)
+                total += windows
+                if at:
+                    rows, columns = zip(*at, strict=True)
+                    np.add.at(seen, (np.array(rows), np.array(columns)), 1)
+                    seen = np.cumsum(seen, 0)
+                    inside = (seen[np.minimum(np.arange(windows) + window, n)] > seen[:windows]).astype(np.float64)
+                    pairs += inside.T @ inside
+        flat = np.concatenate([[float(total)], pairs.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
+
+    rows = docs.select(T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    flat = np.zeros(1 + v * v)
+    flat[np.asarray(rows.column("i"))] = np.asarray(rows.column("x"))
+    total, both = max(flat[0], 1.0), flat[1:].reshape(v, v) / max(flat[0], 1.0)
+    alone = np.diag(both)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        npmi = np.where(np.outer(alone, alone) > 0, np.log((both + 1e-12) / np.outer(alone, alone)) / -np.log(both + 1e-12), 0.0)
+    out = []
+    for topic, words in own.items():
+        at = [place[w] for w in words]
+        m = npmi[np.ix_(at, at)]
+        whole = m.sum(0)
+        size = np.linalg.norm(m, axis=1) * np.linalg.norm(whole)
+        pair = m[np.triu_indices(len(at), 1)]
+        out.append((topic, float(pair.mean()) if len(pair) else None, float(np.mean(np.divide(m @ whole, size, out=np.zeros(len(at)), where=size > 0)))))
+    return docs.sparkSession.createDataFrame(out, f"topic {topics.schema['topic'].dataType.simpleString()}, npmi double, c_v double")
+
+
+def simplified_silhouette(vectors: DataFrame, *, id_col: str, label_col: str) -> DataFrame:
+    """label, n, silhouette by distances to the clusters' centres: linear in rows times clusters. vectors: id, label, vector (array of numbers). A single cluster scores 0."""
+    v = vectors.select(F.col(id_col).alias("_i"), F.col(label_col).alias("label"), F.col("vector").cast("array<double>").alias("x"))
+    size = v.select("label", F.posexplode("x").alias("p", "c")).groupBy("label", "p").agg(F.avg("c").alias("m"))
+    centres = size.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("m"))
+    every = centres.agg(F.collect_list(F.struct("label", "m")).alias("all"))  # one row: as many centres as there are clusters
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
+    far = v.crossJoin(F.broadcast(every)).select("label", F.transform("all", lambda c: F.struct(c["label"].alias("l"), gap(F.col("x"), c["m"]).alias("d"))).alias("d"))
+    a = F.array_min(F.transform(F.filter("d", lambda c: c["l"].eqNullSafe(F.col("label"))), lambda c: c["d"]))
+    b = F.array_min(F.transform(F.filter("d", lambda c: ~c["l"].eqNullSafe(F.col("label"))), lambda c: c["d"]))
+    return far.select("label", F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)).alias("s")).groupBy("label").agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"))

@@ -7,11 +7,13 @@ linear algebra run row by row without a shuffle. Empty texts give empty summarie
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,40 +23,58 @@ LEAST, MOST, RATIO = 3, 10, 0.3
 METHODS = ("textrank", "lexrank", "lsa", "kl")
 
 
-def wanted(n: Column) -> Column:
-    return F.when(n <= LEAST, n).otherwise(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.floor(n * RATIO).cast("int"))))
+def _tfidf(sentences: list[list[str]], features: int) -> list[float]:
+    """Of each sentence (its words), the sum of its normalised weights over 1- and 2-grams."""
+    counts = [Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]) for w in sentences]
+    total: Counter[str] = Counter()
+    df: Counter[str] = Counter()
+    for c in counts:
+        total.update(c)
+        df.update(c.keys())
+    if len(total) > features:
+        kept = set(sorted(total, key=lambda t: (-total[t], t))[:features])
+        counts = [{t: n for t, n in c.items() if t in kept} for c in counts]
+    n = len(sentences)
+    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
+    out = []
+    for c in counts:
+        raw = [k * idf[t] for t, k in c.items()]
+        out.append(sum(raw) / math.sqrt(sum(x * x for x in raw)) if raw else 0.0)
+    return out
+
 
+def _chosen(scores: list[float]) -> list[int]:
+    """The places of the best sentences, in text order."""
+    n = len(scores)
+    size = n if n <= LEAST else max(LEAST, min(MOST, int(n * RATIO)))
+    return sorted(sorted(range(n), key=lambda i: (-round(float(scores[i]), 9), i))[:size])
 
-def sentence_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pos, sentence, n (of the document)."""
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, features: int) -> DataFrame:
+    """id, s (sentences), scores, picks; a document's sentences stay in its row."""
+    kind = docs.schema[id_col].dataType.simpleString()
     s = docs.select(id_col, T.sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
-    return s.select(id_col, F.size("s").alias("n"), F.posexplode("s").alias("pos", "sentence"))
 
+    def run(batches):
+        for batch in batches:
+            scores = [_tfidf(w, features) for w in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.list_(pa.float64())), pa.array([_chosen(x) for x in scores], pa.list_(pa.int32()))], names=[id_col, "s", "scores", "picks"])
 
-def tfidf_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", features: int = 1000) -> DataFrame:
-    """id, pos, sentence, n, score: the sum of a sentence's normalised weights, with idf over the document's sentences and its ``features`` most frequent 1- and 2-grams."""
-    rows = sentence_rows(docs, id_col=id_col, text_col=text_col)
-    w = T.words(F.col("sentence"))
-    tf = rows.select(id_col, "pos", "n", F.explode(F.concat(w, ngrams(w, 2))).alias("term")).groupBy(id_col, "pos", "n", "term").agg(F.count("*").alias("tf"))
-    of_doc = Window.partitionBy(id_col, "term")
-    tf = tf.withColumn("df", F.count("*").over(of_doc)).withColumn("total", F.sum("tf").over(of_doc))
-    tf = tf.withColumn("r", F.dense_rank().over(Window.partitionBy(id_col).orderBy(F.desc("total"), "term"))).where(F.col("r") <= features)
-    raw = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    scores = tf.withColumn("raw", raw).groupBy(id_col, "pos").agg((F.sum("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")))).alias("score"))
-    return rows.join(scores, [id_col, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return s.withColumn("w", F.transform("s", T.words)).mapInArrow(run, f"`{id_col}` {kind}, s array<string>, scores array<double>, picks array<int>")
 
 
-def best(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """scored with chosen: whether the sentence is in the summary."""
-    order = Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "pos")
-    return scored.withColumn("chosen", F.row_number().over(order) <= wanted(F.col("n")))
+def tfidf_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", features: int = 1000) -> DataFrame:
+    """id, pos, sentence, n, score, chosen: the sum of a sentence's normalised weights, with idf over the document's sentences and its ``features`` most frequent 1- and 2-grams; whether it is in the summary."""
+    rows = _scored(docs, id_col, text_col, features)
+    each = rows.select(id_col, F.size("s").alias("n"), "picks", F.posexplode(F.arrays_zip(F.col("s").alias("sentence"), F.col("scores").alias("score"))).alias("pos", "x"))
+    return each.select(id_col, "pos", "x.sentence", "n", "x.score", F.array_contains("picks", F.col("pos")).alias("chosen"))
 
 
-def assembled(chosen: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, summary, n_sentences, n_chosen, ratio."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("chosen"), F.struct("pos", "sentence")))), lambda x: x["sentence"]), " ")
-    out = chosen.groupBy(id_col).agg(text.alias("summary"), F.first("n").alias("n_sentences"), F.count(F.when(F.col("chosen"), 1)).alias("n_chosen"))
-    return out.withColumn("ratio", F.try_divide("n_chosen", "n_sentences"))
+def tfidf_summaries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", features: int = 1000) -> DataFrame:
+    """id, summary, n_sentences, n_chosen, ratio; row by row, without a shuffle. Texts without a sentence have no row."""
+    rows = _scored(docs, id_col, text_col, features).where(F.size("s") > 0)
+    text = F.array_join(F.transform("picks", lambda i: F.get("s", i)), " ")
+    return rows.select(id_col, text.alias("summary"), F.size("s").alias("n_sentences"), F.size("picks").cast("long").alias("n_chosen"), (F.size("picks") / F.size("s")).alias("ratio"))
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -143,8 +163,7 @@ def ranked(docs: DataFrame, method: str, *, id_col: str = "doc_id", text_col: st
             for sentences in batch.column(1).to_pylist():
                 n = len(sentences)
                 scores = rank(sentences) if n > LEAST else np.ones(n)
-                size = n if n <= LEAST else max(LEAST, min(MOST, int(n * RATIO)))
-                picks = sorted(sorted(range(n), key=lambda i: (-round(float(scores[i]), 9), i))[:size])
+                picks = _chosen(scores)
                 out.append((" ".join(sentences[i] for i in picks), picks, [float(s) for s in scores], n))
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.int32()), strict=True)]], names=[id_col, "summary", "picks", "scores", "n_sentences"])
@@ -153,17 +172,17 @@ def ranked(docs: DataFrame, method: str, *, id_col: str = "doc_id", text_col: st
     return s.mapInArrow(run, f"`{id_col}` {kind}, summary string, picks array<int>, scores array<double>, n_sentences int")
 
 
-def rouge_n(pairs: DataFrame, n: int, *, id_col: str = "doc_id") -> DataFrame:
-    """id, precision, recall, f of (id, candidate, reference) by n-gram counts; 0 where there is no n-gram."""
+def rouge_n(pairs: DataFrame, n: int, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, precision, recall, f of (keys, candidate, reference) by n-gram counts; 0 where there is no n-gram."""
 
     def counts(column: str, name: str) -> DataFrame:
-        return pairs.select(id_col, F.explode(ngrams(T.words(F.col(column)), n)).alias("g")).groupBy(id_col, "g").agg(F.count("*").alias(name))
+        return pairs.select(*keys, F.explode(ngrams(T.words(F.col(column)), n)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias(name))
 
-    shared = counts("candidate", "c").join(counts("reference", "r"), [id_col, "g"]).groupBy(id_col).agg(F.sum(F.least("c", "r")).alias("shared"))
+    shared = counts("candidate", "c").join(counts("reference", "r"), [*keys, "g"]).groupBy(*keys).agg(F.sum(F.least("c", "r")).alias("shared"))
     size = lambda c: F.greatest(F.size(T.words(F.col(c))) - (n - 1), F.lit(0))
-    rows = pairs.select(id_col, size("candidate").alias("nc"), size("reference").alias("nr")).join(shared, id_col, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    rows = pairs.select(*keys, size("candidate").alias("nc"), size("reference").alias("nr")).join(shared, list(keys), "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     p, r = F.coalesce(F.try_divide("shared", "nc"), F.lit(0.0)), F.coalesce(F.try_divide("shared", "nr"), F.lit(0.0))
-    return rows.select(id_col, p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f"))
+    return rows.select(*keys, p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f"))
 
 
 def longest_common(a: list[str], b: list[str]) -> int:
@@ -178,17 +197,17 @@ def longest_common(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
-def rouge_l(pairs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    kind = pairs.schema[id_col].dataType.simpleString()
+def rouge_l(pairs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
         for batch in batches:
             out = []
-            for c, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for c, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = longest_common(c, r)
                 p, q = n / len(c) if c else 0.0, n / len(r) if r else 0.0
                 out.append((p, q, 2 * p * q / (p + q) if n else 0.0))
             columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.float64()) for c in columns]], names=[id_col, "precision", "recall", "f"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array(c, pa.float64()) for c in columns]], names=[*keys, "precision", "recall", "f"])
 
-    return pairs.select(id_col, T.words(F.col("candidate")).alias("c"), T.words(F.col("reference")).alias("r")).mapInArrow(run, f"`{id_col}` {kind}, precision double, recall double, f double")
+    return pairs.select(T.words(F.col("candidate")).alias("c"), T.words(F.col("reference")).alias("r"), *keys).mapInArrow(run, f"{kinds}, precision double, recall double, f double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,31 +91,44 @@ def _distinct_events(e: DataFrame, id_col: str) -> DataFrame:
     return d.groupBy("year", "date", "precision", "description", "words", "names").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.sum("confidence").alias("confidence"))
 
 
+CLOSE = ((1, 0.4), (5, 0.2), (10, 0.1))  # years apart, what that counts
+WORDS, NAMES = 0.4, 0.2  # what equal words and equal entities count
+
+
 def _candidates(one: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of rows (year, words, names, event_id) at or above the threshold, each pair once.
 
-    Years give at most .4 and entities .2, so word sets must reach a Jaccard of t = (threshold - .6) / .4. Two such sets
-    share a word among the first n - ceil(t * n) + 1 of each, with rare words first: the join is on that word and the
-    decade, so what all events have in common brings no pairs together."""
-    if threshold <= 0.6:
-        raise ValueError("pairs without shared words can reach .6")
-    least = (threshold - 0.6) / 0.4
+    How far apart the years are, and whether entities are shared at all, says what Jaccard t of the word sets is still
+    needed. Two such sets share a word among the first n - ceil(t * n) + 1 of each, with rare words first: for each case
+    the join is on that word (and a shared entity) and the time, so what all events have in common brings none together."""
+    if threshold <= CLOSE[0][1] + NAMES:
+        raise ValueError("pairs without shared words can reach the threshold")
     often = one.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    ordered = one.select("event_id", F.explode("words").alias("w")).join(often, "w").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("o"))
-    size = F.size("words")
-    first = F.slice(F.transform("o", lambda x: x["w"]), 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
-    keyed = one.join(ordered, "event_id").select("event_id", "year", "words", "names", F.explode(first).alias("key"))
-    bucket = F.floor(F.col("year") / 11)
-    a = keyed.select("key", F.col("event_id").alias("a"), F.col("year").alias("y1"), F.col("words").alias("w1"), F.col("names").alias("n1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    b = keyed.select("key", F.col("event_id").alias("b"), F.col("year").alias("y2"), F.col("words").alias("w2"), F.col("names").alias("n2"), bucket.alias("bucket"))
-    gap = F.abs(F.col("y1") - F.col("y2"))
-    years = F.when(gap <= 1, 0.4).when(gap <= 5, 0.2).when(gap <= 10, 0.1).otherwise(0.0)
-    both = (F.size("n1") > 0) & (F.size("n2") > 0)
-    score = years + 0.4 * jaccard(F.col("w1"), F.col("w2")) + F.when(both, 0.2 * jaccard(F.col("n1"), F.col("n2"))).otherwise(0.0)
-    # a cheap bound first: word sets whose sizes alone rule the threshold out never get compared
-    bound = years + 0.4 * F.least(F.size("w1"), F.size("w2")) / F.greatest(F.size("w1"), F.size("w2"), F.lit(1)) + F.when(both, 0.2).otherwise(0.0)
-    pairs = a.join(b, ["key", "bucket"]).where((F.col("a") < F.col("b")) & (gap <= 10) & (bound >= threshold))
-    return pairs.select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12).distinct()
+    ordered = one.select("event_id", F.explode("words").alias("w")).join(often, "w").groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"]).alias("rare"))
+    rows, found = stored(one.join(ordered, "event_id"), "rare"), None
+    for years, counts in CLOSE:
+        for shared in (False, True):
+            least = (threshold - counts - NAMES * shared) / WORDS
+            if least > 1 + 1e-9:
+                continue
+            word = F.explode(F.slice("rare", 1, (F.size("words") - F.ceil(F.size("words") * least - 1e-9) + 1).cast("int")))
+            keyed = rows.select("event_id", "year", "words", "names", word.alias("word"))
+            keyed = keyed.withColumn("name", F.explode("names") if shared else F.lit(""))
+            bucket = F.floor(F.col("year") / (years + 1))
+            a = keyed.select("word", "name", F.col("event_id").alias("a"), F.col("year").alias("y1"), F.col("words").alias("w1"), F.col("names").alias("n1"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+            b = keyed.select("word", "name", F.col("event_id").alias("b"), F.col("year").alias("y2"), F.col("words").alias("w2"), F.col("names").alias("n2"), bucket.alias("bucket"))
+            gap = F.abs(F.col("y1") - F.col("y2"))
+            pairs = a.join(b, ["word", "name", "bucket"]).where((F.col("a") < F.col("b")) & (gap <= years))
+            closeness = F.lit(0.0)
+            for limit, value in reversed(CLOSE):
+                closeness = F.when(gap <= limit, value).otherwise(closeness)
+            both = (F.size("n1") > 0) & (F.size("n2") > 0)
+            score = closeness + WORDS * jaccard(F.col("w1"), F.col("w2")) + F.when(both, NAMES * jaccard(F.col("n1"), F.col("n2"))).otherwise(0.0)
+            # a cheap bound first: word sets whose sizes alone rule the threshold out never get compared
+            bound = closeness + WORDS * F.least(F.size("w1"), F.size("w2")) / F.greatest(F.size("w1"), F.size("w2"), F.lit(1)) + F.when(both, NAMES).otherwise(0.0)
+            near = pairs.where(bound >= threshold - 1e-12).select("a", "b", score.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+            found = near if found is None else found.union(near)
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def similarity_pairs(e: DataFrame, *, threshold: float = 0.7) -> DataFrame:
@@ -127,56 +140,80 @@ def similarity_pairs(e: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     return _candidates(base.groupBy("year", "words", "names").agg(F.min("event_id").alias("event_id")), threshold)
 
 
-def _led(frame: pd.DataFrame, threshold: float) -> list[tuple]:
-    """Leader clustering of one component's events in timeline order."""
-    frame = frame.sort_values(["date", "event_id"], kind="stable").reset_index(drop=True)
-    words, people = [frozenset(w) for w in frame["words"]], [frozenset(n) for n in frame["names"]]
-    rank = frame["precision"].map(D.RANK).fillna(0).astype(int).tolist()
-    year, open_, leader = frame["year"].tolist(), [], []
-    for i in range(len(frame)):
-        open_ = [j for j in open_ if year[i] - year[j] <= 10]  # later events are later in time
-        found = i
-        for j in open_:
-            gap = abs(year[i] - year[j])
-            union = len(words[i] | words[j])
-            score = (0.4 if gap <= 1 else 0.2 if gap <= 5 else 0.1) + (0.4 * len(words[i] & words[j]) / union if union else 0)
-            if people[i] and people[j]:
-                score += 0.2 * len(people[i] & people[j]) / len(people[i] | people[j])
-            if score >= threshold - 1e-12:
-                found = j
-                break
-        leader.append(found)
-        if found == i:
-            open_.append(i)
-    out = []
-    for j in sorted(set(leader)):
-        own = [i for i in range(len(frame)) if leader[i] == j]
-        best = max(own, key=lambda i: (rank[i], -i))
-        kept: list[int] = []
-        for i in own:
-            if all(not (words[i] & words[k]) for k in kept):
-                kept.append(i)
-        n = int(frame["n"][own].sum())
-        out.append((frame["event_id"][best], int(year[best]), frame["precision"][best], "; ".join(frame["description"][k] for k in kept[:3]), n, int(frame["n_sources"][own].sum()), float(frame["confidence"][own].sum() / n)))
-    return out
+def _leaders(batches):
+    """Rows (component, later's date and id, earlier's date and id), sorted, to (event_id, leader): an event follows the earliest similar one that follows none itself.
+
+    What is held are the followers of the last REACH_YEARS in one component, whatever its size."""
+    followers: dict[str, int] = {}
+    part = event = None
+    for batch in batches:
+        out = []
+        for component, days, later, earlier in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if component != part:
+                part, event = component, None
+                followers.clear()
+            if later != event:
+                event = later
+                while followers and days - followers[oldest := next(iter(followers))] > 366 * (REACH_YEARS + 1):
+                    del followers[oldest]
+            if event not in followers and earlier not in followers:
+                followers[event] = days
+                out.append((event, earlier))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["event_id", "leader"])
+
+
+REACH_YEARS = 10
+MERGED = [("event_id", pa.string()), ("year", pa.int32()), ("precision", pa.string()), ("description", pa.string()), ("merged_from", pa.int64()), ("n_sources", pa.int64()), ("confidence", pa.float64())]
+
+
+def _combined(batches):
+    """Rows (leader, event_id, year, precision, description, words, n, n_sources, confidence), sorted by leader and time, to one event per leader: nothing but its sums, its best event and three descriptions is held."""
+    now: dict | None = None
+
+    def closed(m: dict) -> tuple:
+        best = m["best"][1]
+        return (*best, "; ".join(d for _, d in m["kept"]), m["n"], m["sources"], m["confidence"] / m["n"])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(MERGED)], names=[n for n, _ in MERGED])
+
+    for batch in batches:
+        done = []
+        for leader, event, year, precision, description, words, n, sources, confidence in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            if now is None or now["leader"] != leader:
+                if now is not None:
+                    done.append(closed(now))
+                now = {"leader": leader, "best": None, "kept": [], "n": 0, "sources": 0, "confidence": 0.0}
+            rank, own = D.RANK.get(precision, 0), set(words)
+            if now["best"] is None or rank > now["best"][0]:
+                now["best"] = (rank, (event, year, precision))
+            if len(now["kept"]) < 3 and not any(own & w for w, _ in now["kept"]):
+                now["kept"].append((own, description))
+            now["n"] += n
+            now["sources"] += sources
+            now["confidence"] += confidence
+        yield made(done)
+    if now is not None:
+        yield made([closed(now)])
 
 
 def merged(e: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
-    """Leader clustering in timeline order, then one event per leader: earliest event of the best precision, descriptions without a shared word, number of merged events and sources, mean confidence.
+    """Leader clustering in timeline order, then one event per leader: earliest event of the best precision, up to three descriptions without a shared word, number of merged events and sources, mean confidence.
 
-    A leader only takes events that are similar to it, so the pass over all events equals passes over the connected
-    components of the similarity graph; events similar to none pass by without a group. Equal events are one row."""
+    Only similar pairs decide, so what follows what is a pass over each connected component's pairs in time order; the
+    pass is sequential by definition, but holds no more than the last years' followers. Equal events are one row."""
     one = stored(_distinct_events(e, id_col), "events")
-    pairs = _candidates(one.select("year", "words", "names", "event_id"), threshold)
-    ids = one.select("event_id", F.xxhash64("event_id").alias("node"))
-    links = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    parts = connected_components(links)
-    linked = one.join(ids.join(parts, "node"), "event_id").drop("node")
-    names = ["event_id", "year", "precision", "description", "merged_from", "n_sources", "confidence"]
-
-    def leaders(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_led(frame, threshold), columns=names)
-
-    grouped = linked.groupBy("component").applyInPandas(leaders, "event_id string, year int, precision string, description string, merged_from long, n_sources long, confidence double")
-    alone = one.join(linked.select("event_id"), "event_id", "left_anti")
-    return grouped.union(alone.select("event_id", "year", "precision", "description", F.col("n").alias("merged_from"), "n_sources", (F.col("confidence") / F.col("n")).alias("confidence")))
+    pairs = stored(_candidates(one.select("year", "words", "names", "event_id"), threshold).select("a", "b"), "pairs")
+    parts = connected_components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    a, b = (one.select(F.col("event_id").alias(n), F.struct("date", "event_id").alias(f"k{n}")) for n in ("a", "b"))
+    ordered = pairs.join(a, "a").join(b, "b").select(F.least("ka", "kb").alias("first"), F.greatest("ka", "kb").alias("second"))
+    rows = ordered.withColumn("node", F.xxhash64("second.event_id")).join(parts, "node").select("component", F.unix_date("second.date").alias("days"), F.col("second.event_id").alias("later"), F.col("first.event_id").alias("earlier"), F.unix_date("first.date").alias("before"))
+    sorted_ = rows.repartition("component").sortWithinPartitions("component", "days", "later", "before", "earlier").drop("before")
+    led = stored(sorted_.mapInArrow(_leaders, "event_id string, leader string"), "leaders")
+    of = one.join(led, "event_id", "left").withColumn("leader", F.coalesce("leader", "event_id"))
+    heads = led.select("leader").distinct()
+    grouped = of.join(heads, "leader", "left_semi").repartition("leader").sortWithinPartitions("leader", "date", "event_id")
+    schema = "event_id string, year int, precision string, description string, merged_from long, n_sources long, confidence double"
+    combined = grouped.select("leader", "event_id", "year", "precision", "description", "words", "n", "n_sources", "confidence").mapInArrow(_combined, schema)
+    alone = of.join(heads, "leader", "left_anti")
+    return combined.union(alone.select("event_id", "year", "precision", "description", F.col("n").alias("merged_from"), "n_sources", (F.col("confidence") / F.col("n")).alias("confidence")))

@@ -149,10 +149,10 @@ def trend_change(spark, sf_dir):
 _Z = DIMENSION_SQL + ", z AS (SELECT doc_id, [" + ", ".join(f"coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_pop({n}) OVER (), 0), 0)" for n in K.DIMENSIONS) + "] AS v FROM e)"
 
 
-@query(_Z + ", p AS (SELECT a.doc_id AS query, b.doc_id AS neighbour, coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0) AS c FROM z a JOIN z b ON a.doc_id <> b.doc_id WHERE a.doc_id % 1000 = 0) SELECT query, neighbour, round(c, 5) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour) AS rank FROM p) WHERE rank <= 3")
+@query(_Z + ", p AS (SELECT a.doc_id AS query, b.doc_id AS neighbour, coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0) AS c FROM z a JOIN z b ON a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0) SELECT query, neighbour, round(c, 5) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour) AS rank FROM p) WHERE rank <= 3")
 def similar_docs_top3(spark, sf_dir):
     s = _scores(spark, sf_dir)
-    out = K.similar(s, K.DIMENSIONS, s.where("doc_id % 1000 = 0").select("doc_id"))
+    out = K.similar(s, K.DIMENSIONS, s.where("doc_id % 100 = 0").select("doc_id"))
     return out.withColumn("cosine", F.round("cosine", 5))
 
 
@@ -222,12 +222,11 @@ def report_clusters(spark, sf_dir):
     return _rounded(R.clusters(_judged(spark, sf_dir), "grp"))
 
 
-@query(C.WITH_HISTORY + ", s AS (SELECT doc_id, substring(text, 1, 200) AS excerpt FROM history WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS entity FROM history WHERE doc_id % 2 = 0), e AS (SELECT doc_id, array_to_string(list_sort(list(entity))[1:5], '|') AS entities FROM n GROUP BY doc_id) SELECT h.doc_id, dimension, coalesce(excerpt, '') AS excerpt, coalesce(entities, '') AS entities FROM history h LEFT JOIN s ON s.doc_id = h.doc_id LEFT JOIN e ON e.doc_id = h.doc_id CROSS JOIN (VALUES " + ", ".join(f"('{d}')" for d in K.DIMENSIONS) + ") AS d(dimension)")
+@query(C.WITH_HISTORY + ", s AS (SELECT doc_id, substring(text, 1, 200) AS excerpt FROM history), n AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS entity FROM history), e AS (SELECT doc_id, array_to_string(list_sort(list(entity))[1:5], '|') AS entities FROM n GROUP BY doc_id) SELECT h.doc_id, dimension, coalesce(excerpt, '') AS excerpt, coalesce(entities, '') AS entities FROM history h LEFT JOIN s ON s.doc_id = h.doc_id LEFT JOIN e ON e.doc_id = h.doc_id CROSS JOIN (VALUES " + ", ".join(f"('{d}')" for d in K.DIMENSIONS) + ") AS d(dimension)")
 def report_evidence(spark, sf_dir):
-    """Two thirds of the documents have a summary and half have entities, so that both outer joins show."""
     h = C.history(spark, sf_dir)
-    s = h.where("doc_id % 3 <> 0").select("doc_id", F.col("text").alias("summary"))
-    e = h.where("doc_id % 2 = 0").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("entity"))
+    s = h.select("doc_id", F.col("text").alias("summary"))
+    e = h.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("entity"))
     return R.evidence(h, s, e)
 
 

@@ -30,11 +30,10 @@ WITH_HISTORY = f"WITH history AS ({HISTORY})"
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nation and region tables have 25 and 5 rows at any scale; Spark broadcasts them by their size.
 
-    A small orders file is one split; its thin rows are dealt out before the text is made, so that all cores take part."""
+    Orders may be one file of one split; its thin rows (two longs) are dealt out before the text is made, so that all cores take part."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    if o.count() < 10_000_000:
-        o = o.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    o = o.repartition(max(spark.sparkContext.defaultParallelism, o.rdd.getNumPartitions()), "o_orderkey")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return joined.selectExpr("o_orderkey AS doc_id", f"{YEAR} AS year", "n_name AS grp", f"{TEXT} AS text")

@@ -203,22 +203,16 @@ def events_by_century(spark, sf_dir):
     return E.date_mentions(C.history(spark, sf_dir)).where("year != 0").groupBy(D.century(F.col("year")).alias("century")).agg(F.count("*").alias("n"))
 
 
-_SMALL = "b AS (SELECT o_orderkey AS event_id, CAST(1800 + (o_orderkey * 13) % 200 AS INT) AS year, concat('The war of ', c_mktsegment, ' began in ', o_orderpriority) AS description FROM orders JOIN customer ON o_custkey = c_custkey), w AS (SELECT year, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(description), '\\s+'), lambda x: x <> ''))) AS words, min(CAST(event_id AS STRING)) AS event_id FROM b GROUP BY ALL)"
-_YEARS = "CASE WHEN abs(a.year - b.year) <= 1 THEN 0.4 WHEN abs(a.year - b.year) <= 5 THEN 0.2 WHEN abs(a.year - b.year) <= 10 THEN 0.1 ELSE 0 END"
+def _named_events(spark, sf_dir):
+    """The extracted events with the places in their contexts."""
+    return E.events(C.history(spark, sf_dir), _places(spark, sf_dir))
 
 
-def _short_events(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    e = o.join(c, o.o_custkey == c.c_custkey).selectExpr("CAST(o_orderkey AS STRING) AS event_id", "o_orderkey AS doc_id", "CAST(1800 + (o_orderkey * 13) % 200 AS INT) AS year", "concat('The war of ', c_mktsegment, ' began in ', o_orderpriority) AS description")
-    return e.withColumn("entities", F.array().cast("array<struct<entity:string,label:string>>"))
-
-
-@query(f"WITH {_SMALL}, s AS (SELECT a.event_id AS a, b.event_id AS b, {_YEARS} + 0.4 * len(list_intersect(a.words, b.words)) / len(list_distinct(a.words || b.words)) AS similarity FROM w a JOIN w b ON a.event_id < b.event_id AND abs(a.year - b.year) <= 10) SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.65")
+@query()
 def event_similarity_pairs(spark, sf_dir):
-    return E.similarity_pairs(_short_events(spark, sf_dir), threshold=0.65).withColumn("similarity", F.round("similarity", 6))
+    return E.similarity_pairs(_named_events(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
 def timeline_merged(spark, sf_dir):
-    e = _short_events(spark, sf_dir).withColumn("date", F.lit(None).cast("date")).withColumn("precision", F.lit("year")).withColumn("confidence", F.lit(0.7))
-    return E.merged(e)
+    return E.merged(_named_events(spark, sf_dir))

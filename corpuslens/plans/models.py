@@ -22,49 +22,51 @@ _TFIDF = (
 
 @query(_TFIDF + " SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) FILTER (chosen) AS summary, max(n) AS n_sentences, count(*) FILTER (chosen) AS n_chosen, round(count(*) FILTER (chosen) / max(n), 6) AS ratio FROM ch GROUP BY doc_id")
 def summary_tfidf(spark, sf_dir):
-    return Z.assembled(Z.best(Z.tfidf_scores(C.history(spark, sf_dir)))).withColumn("ratio", F.round("ratio", 6))
+    return Z.tfidf_summaries(C.history(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(_TFIDF + " SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN list_contains((SELECT list(c.sentence) FROM ch c WHERE c.doc_id = ch.doc_id AND c.chosen), sentence) THEN 1.0 ELSE 0.0 END AS score FROM ch".replace("(SELECT list(c.sentence) FROM ch c WHERE c.doc_id = ch.doc_id AND c.chosen)", "list(sentence) FILTER (chosen) OVER (PARTITION BY doc_id)").replace("1.0 ELSE 0.0", "CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE)"))
 def summary_scores(spark, sf_dir):
     """1 for every sentence whose text is in the summary, copies of a chosen one included."""
-    c = Z.best(Z.tfidf_scores(C.history(spark, sf_dir)))
+    c = Z.tfidf_scores(C.history(spark, sf_dir))
     own = F.collect_set(F.when(F.col("chosen"), F.col("sentence"))).over(K.Window.partitionBy("doc_id"))
     return c.select("doc_id", "pos", F.when(F.array_contains(own, F.col("sentence")), 1.0).otherwise(0.0).alias("score"))
 
 
-_PAIRS = "p AS (SELECT a.conv_id * 100 + a.turn AS doc_id, a.text AS candidate, b.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.turn < 100)"
+_PAIRS = "p AS (SELECT a.conv_id, a.turn, a.text AS candidate, b.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_KEY = ("conv_id", "turn")
 
 
 def _pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("turn < 100")
-    a, b = c.select("conv_id", "turn", F.col("text").alias("candidate")), table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
-    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "candidate", "reference")
+    """Each turn beside the next one of its conversation, known by (conv_id, turn)."""
+    c = table(spark, sf_dir, "conversations")
+    a, b = c.select("conv_id", "turn", F.col("text").alias("candidate")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
+    return a.join(b, ["conv_id", "turn"])
 
 
 def _rouge(n: int) -> str:
     gram = lambda c: sql_words(c) if n == 1 else f"list_transform(range(1, greatest(len({sql_words(c)}), 1)), lambda i: array_to_string({sql_words(c)}[i:i + 1], ' '))"
-    side = lambda c, name: f"{name} AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({gram(c)}) AS g FROM p) GROUP BY ALL)"
-    return f"WITH {_PAIRS}, {side('candidate', 'c')}, {side('reference', 'r')}, sh AS (SELECT doc_id, sum(least(c.n, r.n)) AS shared FROM c JOIN r USING (doc_id, g) GROUP BY doc_id), z AS (SELECT doc_id, coalesce(shared, 0) / nullif(len({gram('candidate')}), 0) AS p, coalesce(shared, 0) / nullif(len({gram('reference')}), 0) AS r FROM p LEFT JOIN sh USING (doc_id)) SELECT doc_id, round(coalesce(p, 0), 6) AS precision, round(coalesce(r, 0), 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f FROM z"
+    side = lambda c, name: f"{name} AS (SELECT conv_id, turn, g, count(*) AS n FROM (SELECT conv_id, turn, unnest({gram(c)}) AS g FROM p) GROUP BY ALL)"
+    return f"WITH {_PAIRS}, {side('candidate', 'c')}, {side('reference', 'r')}, sh AS (SELECT conv_id, turn, sum(least(c.n, r.n)) AS shared FROM c JOIN r USING (conv_id, turn, g) GROUP BY ALL), z AS (SELECT conv_id, turn, coalesce(shared, 0) / nullif(len({gram('candidate')}), 0) AS p, coalesce(shared, 0) / nullif(len({gram('reference')}), 0) AS r FROM p LEFT JOIN sh USING (conv_id, turn)) SELECT conv_id, turn, round(coalesce(p, 0), 6) AS precision, round(coalesce(r, 0), 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f FROM z"
 
 
 def _rounded(df):
-    return df.select("doc_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+    return df.select(*_KEY, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 
 @query(_rouge(1))
 def rouge_1(spark, sf_dir):
-    return _rounded(Z.rouge_n(_pairs(spark, sf_dir), 1))
+    return _rounded(Z.rouge_n(_pairs(spark, sf_dir), 1, keys=_KEY))
 
 
 @query(_rouge(2))
 def rouge_2(spark, sf_dir):
-    return _rounded(Z.rouge_n(_pairs(spark, sf_dir), 2))
+    return _rounded(Z.rouge_n(_pairs(spark, sf_dir), 2, keys=_KEY))
 
 
 @query()
 def rouge_l(spark, sf_dir):
-    return Z.rouge_l(_pairs(spark, sf_dir))
+    return Z.rouge_l(_pairs(spark, sf_dir), keys=_KEY)
 
 
 def _summary(method):

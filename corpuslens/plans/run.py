@@ -24,7 +24,7 @@ def analyse(spark: SparkSession, docs: DataFrame, *, config: dict | None = None,
         out |= {"basic_stats": features.basic_stats(clean), "readability": features.readability(clean), "sentiment": features.sentiment(clean), "temporal": features.temporal(clean)}
     if "summarize" in wanted:
         method = config["summary"]["method"]
-        out["summaries"] = summaries.assembled(summaries.best(summaries.tfidf_scores(clean))) if method == "tfidf" else summaries.ranked(clean, method)
+        out["summaries"] = summaries.tfidf_summaries(clean) if method == "tfidf" else summaries.ranked(clean, method)
     if wanted & {"ner", "timeline"}:
         found = entities.rule_entities(clean, [(p, "DATE") for p in entities.RULE_DATES], 0.8).unionByName(entities.rule_entities(clean, entities.RULE_EVENTS, 0.7)).unionByName(entities.rule_entities(clean, [(entities.TITLED, "PERSON")], 0.9))
         if config["entities"]["gazetteers"]:

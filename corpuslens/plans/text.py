@@ -9,6 +9,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import cleaning
 from ..operators import features as X
+from ..operators import ml as M
 from . import corpora as C
 from .registry import query, table
 
@@ -207,9 +208,8 @@ def _vocabulary_sql(features: int, max_df: float) -> str:
 @query(f"WITH {_counts_sql(2)}, {_vocabulary_sql(3000, 0.98)} SELECT doc_id, term, tf FROM tf JOIN v USING (term)")
 def bow_doc_term(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    counts = X.term_counts(d, max_n=2)
-    kept = X.vocabulary(counts, d.agg(F.count("*").alias("n")), max_df=0.98, max_features=3000)
-    return counts.join(F.broadcast(kept.select("term")), "term").select("doc_id", "term", "tf")
+    kept = X.vocabulary(d, max_n=2, max_df=0.98, max_features=3000)
+    return X.counts_of(d, kept.select("term"), max_n=2).select("doc_id", "term", "tf")
 
 
 _TFIDF = f"WITH {_counts_sql(3)}, {_vocabulary_sql(5000, 0.95)}, r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (term)), x AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r)"
@@ -225,15 +225,16 @@ def tfidf_top20(spark, sf_dir):
     return X.top_terms(X.tfidf(_docs(spark, sf_dir), max_n=3)).withColumn("weight", F.round("weight", 6))
 
 
-_SIMILAR = f"""WITH {_counts_sql(1).replace('FROM documents)', 'FROM documents)')}, {_vocabulary_sql(5000, 0.95)}, r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (term)),
-x AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r), rare AS (SELECT term FROM x GROUP BY term HAVING count(*) <= 12),
-p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b USING (term) JOIN rare USING (term) WHERE a.doc_id < b.doc_id)
-SELECT p.a, p.b, round(sum(x.weight * y.weight), 5) AS cosine FROM p JOIN x ON x.doc_id = p.a JOIN x y ON y.doc_id = p.b AND y.term = x.term GROUP BY ALL"""
+_SIMILAR = f"""WITH {_counts_sql(1)}, {_vocabulary_sql(5000, 0.95)}, r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (term)),
+x AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r)
+SELECT q.doc_id AS a, x.doc_id AS b, round(sum(q.weight * x.weight), 5) AS cosine FROM x q JOIN x USING (term) WHERE q.doc_id % 100 = 0 AND x.doc_id <> q.doc_id GROUP BY ALL"""
 
 
 @query(_SIMILAR)
 def tfidf_similarity(spark, sf_dir):
-    return X.cosine_pairs(X.tfidf(_docs(spark, sf_dir)), most_docs=12).select("a", "b", F.round("cosine", 5).alias("cosine"))
+    """Documents whose id is divisible by 100 against all, over all shared terms."""
+    d = _docs(spark, sf_dir)
+    return X.cosine_pairs(X.tfidf(d), d.where("doc_id % 100 = 0")).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
 @query(C.WITH_HISTORY + f""", r AS (SELECT doc_id, regexp_extract_all(text, {q(X.TEMPORAL[0][0])}, 1) || regexp_extract_all(text, {q(X.TEMPORAL[1][0])}, 1) || regexp_extract_all(text, {q(X.TEMPORAL[2][0])}, 0) AS r, len({sql_words('text')}) AS n FROM history)
@@ -245,12 +246,14 @@ def temporal_features(spark, sf_dir):
 @query(f"""WITH t AS (SELECT doc_id, substring(text, 1, 10000) AS t FROM documents),
 w AS (SELECT doc_id, {sql_words('t')} AS w, greatest(len({sql_sentences('t')}), 1) AS s FROM t),
 y AS (SELECT doc_id, s, len(w) AS n, length(array_to_string(w, '')) AS letters, list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyáéíóúàèêëïôûüöä]+')), 1)) AS syl FROM w),
-c AS (SELECT doc_id, s, n, letters, list_sum(syl) AS syllables, len(list_filter(syl, lambda x: x >= 3)) AS hard FROM y)
-SELECT doc_id, round(206.835 - 1.015 * n / s - 84.6 * syllables / n + 1e-9, 5) AS flesch, round(0.39 * n / s + 11.8 * syllables / n - 15.59 + 1e-9, 5) AS kincaid, round(0.4 * (n / s + 100 * (hard / n)) + 1e-9, 5) AS fog,
-round(1.043 * sqrt(30.0 * (hard / s)) + 3.1291 + 1e-9, 5) AS smog, round(4.71 * (letters / n) + 0.5 * (n / s) - 21.43 + 1e-9, 5) AS ari, round(5.89 * (letters / n) - 29.6 * (s / n) - 15.8 + 1e-9, 5) AS coleman_liau FROM c""")
+c AS (SELECT doc_id, s, n, letters, list_sum(syl) AS syllables, len(list_filter(syl, lambda x: x >= 3)) AS hard, list_sum(list_transform(syl[1:100], lambda x: CASE WHEN x < 3 THEN 1 ELSE 3 END)) / greatest(1.0, s * (least(n, 100) / n)) AS li FROM y),
+g AS (SELECT doc_id,  round(206.835 - 1.015 * n / s - 84.6 * syllables / n + 1e-9, 5) AS flesch, round(0.39 * n / s + 11.8 * syllables / n - 15.59 + 1e-9, 5) AS kincaid, round(0.4 * (n / s + 100 * (hard / n)) + 1e-9, 5) AS fog,
+round(1.043 * sqrt(30.0 * (hard / s)) + 3.1291 + 1e-9, 5) AS smog, round(4.71 * (letters / n) + 0.5 * (n / s) - 21.43 + 1e-9, 5) AS ari, round(5.89 * (letters / n) - 29.6 * (s / n) - 15.8 + 1e-9, 5) AS coleman_liau, round(CASE WHEN n > 0 THEN CASE WHEN li > 20 THEN li / 2 ELSE (li - 2) / 2 END END + 1e-9, 5) AS linsear_write, round(0.1579 * (hard / n * 100) + 0.0496 * n / s + CASE WHEN hard / n * 100 > 5 THEN 3.6365 ELSE 0 END + 1e-9, 5) AS dale_chall FROM c),
+m AS (SELECT doc_id, min(grade) AS consensus FROM (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM (SELECT doc_id, grade, count(*) AS n FROM (SELECT doc_id, unnest([CAST(round(x) AS INT) FOR x IN [kincaid, fog, smog, ari, coleman_liau, linsear_write, dale_chall]]) AS grade FROM g) WHERE grade IS NOT NULL GROUP BY ALL)) WHERE r = 1 GROUP BY doc_id)
+SELECT g.*, consensus FROM g LEFT JOIN m USING (doc_id)""")
 def readability_scores(spark, sf_dir):
     s = X.readability(_docs(spark, sf_dir))
-    return s.select("doc_id", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in s.columns if c != "doc_id"])
+    return s.select("doc_id", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in s.columns if c not in ("doc_id", "consensus")], "consensus")
 
 
 _VALENCE = "CASE w " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in L.VALENCES.items()) + " ELSE 0.0 END"
@@ -298,6 +301,12 @@ def silhouette_by_label(spark, sf_dir):
     return X.silhouette(table(spark, sf_dir, "embeddings")).withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), c AS (SELECT label, p, avg(c) AS m FROM (SELECT label, unnest(x) AS c, unnest(range(len(x))) AS p FROM v) GROUP BY ALL), m AS (SELECT label, list(m ORDER BY p) AS m FROM c GROUP BY label), d AS (SELECT vec_id, v.label, m.label AS other, list_distance(x, m) AS d FROM v CROSS JOIN m), s AS (SELECT vec_id, label, min(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM d GROUP BY ALL) SELECT label, count(*) AS n, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM s GROUP BY label")
+def silhouette_simplified(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    return M.simplified_silhouette(v, id_col="vec_id", label_col="label").withColumn("silhouette", F.round("silhouette", 6))
+
+
 @query()
 def clean_protected(spark, sf_dir):
     return cleaning.cleaned(C.history(spark, sf_dir))

@@ -91,6 +91,68 @@ def test_similarity_and_merge(spark):
     assert timeline.merged(e.limit(0)).count() == 0
 
 
+def led(rows, threshold=0.7):
+    """Leader clustering event by event: (leader's place, places) of rows (year, words, names) in timeline order."""
+    leaders, groups = [], {}
+    for i, (year, words, names) in enumerate(rows):
+        found = i
+        for j in leaders:
+            y, w, n = rows[j]
+            gap = abs(year - y)
+            score = (0.4 if gap <= 1 else 0.2 if gap <= 5 else 0.1 if gap <= 10 else -9) + 0.4 * len(words & w) / len(words | w)
+            if names and n:
+                score += 0.2 * len(names & n) / len(names | n)
+            if score >= threshold - 1e-12:
+                found = j
+                break
+        if found == i:
+            leaders.append(i)
+        groups.setdefault(found, []).append(i)
+    return groups
+
+
+def test_similarity_against_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(18)
+    pool, people = [f"w{i}" for i in range(12)], ["ann", "bob", "eve"]
+    rows = sorted({(1800 + rng.randrange(40), tuple(sorted(rng.sample(pool, rng.randrange(1, 6)))), tuple(sorted(rng.sample(people, rng.randrange(0, 3))))) for _ in range(250)})
+    e = spark.createDataFrame([(f"{i:04d}", y, " ".join(w), [(n.upper(), "PERSON") for n in p]) for i, (y, w, p) in enumerate(rows)], "event_id string, year int, description string, entities array<struct<entity:string,label:string>>")
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {}
+    for (i, a), (j, b) in itertools.combinations(enumerate(rows), 2):
+        gap = abs(a[0] - b[0])
+        if gap <= 10:
+            score = (0.4 if gap <= 1 else 0.2 if gap <= 5 else 0.1) + 0.4 * jaccard(a[1], b[1]) + (0.2 * jaccard(a[2], b[2]) if a[2] and b[2] else 0)
+            if score >= 0.7 - 1e-12:
+                want[f"{i:04d}", f"{j:04d}"] = score
+    got = {(r.a, r.b): r.similarity for r in timeline.similarity_pairs(e.union(e)).collect()}
+    assert len(want) > 50 and set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_merge_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    pool, people = [f"w{i}" for i in range(9)], ["ann", "bob", "eve"]
+    rows = sorted({(1800 + rng.randrange(60), frozenset(rng.sample(pool, rng.randrange(3, 6))), frozenset(rng.sample(people, rng.randrange(0, 3)))) for _ in range(260)}, key=lambda r: (r[0], sorted(r[1]), sorted(r[2])))
+    data = [(f"{i:04d}", i, y, " ".join(sorted(w)), [(n, "PERSON") for n in sorted(p)], rng.choice(["day", "year", "decade"])) for i, (y, w, p) in enumerate(rows)]
+    e = spark.createDataFrame(data, "event_id string, doc_id long, year int, description string, entities array<struct<entity:string,label:string>>, precision string").withColumn("date", F.lit(None).cast("date")).withColumn("confidence", F.col("year") / 4000.0)
+    got = {r.event_id: r for r in timeline.merged(e.repartition(3)).collect()}
+    want = led(rows)
+    assert 20 < len(want) < len(rows) - 60 and len(got) == len(want)
+    for own in want.values():
+        best = max(own, key=lambda i: (D.RANK.get(data[i][5], 0), -i))
+        kept = []
+        for i in own:
+            if not any(rows[i][1] & rows[k][1] for k in kept):
+                kept.append(i)
+        r = got[f"{best:04d}"]
+        assert (r.year, r.precision, r.merged_from, r.n_sources) == (rows[best][0], data[best][5], len(own), len(own))
+        assert r.description == "; ".join(data[k][3] for k in kept[:3]) and abs(r.confidence - np.mean([rows[i][0] / 4000.0 for i in own])) < 1e-9
+
+
 def test_merge_counts_equal_events(spark):
     e = events(spark, [(1914, "war began")] * 500 + [(1915, "war began")] * 3)
     assert [(r.year, r.merged_from, r.n_sources) for r in timeline.merged(e).collect()] == [(1914, 503, 503)]
@@ -123,9 +185,12 @@ def test_cooccurrence(spark):
 def test_gazetteer_longest_first_and_large(spark):
     docs = spark.createDataFrame([(1, "In NATION_17 and nation_1, x")], "doc_id long, text string")
     g = spark.createDataFrame([("NATION_1", "historical_locations"), ("NATION_17", "historical_locations"), ("x", "odd")], "term string, category string")
-    for rows in (1000, 0):
-        got = sorted((r.start, r.entity, r.label) for r in entities.gazetteer_entities(docs, g, broadcast_rows=rows).collect())
-        assert got == [(3, "NATION_17", "LOC"), (17, "nation_1", "LOC"), (27, "x", "ODD")]
+    docs = docs.union(spark.createDataFrame([(2, "unnation_1x"), (3, None), (4, "")], docs.schema))
+    g = g.union(spark.createDataFrame([(None, "odd"), ("", "odd")], g.schema))
+    for block in (1000, 1):
+        got = sorted((r.doc_id, r.start, r.entity, r.label) for r in entities.gazetteer_entities(docs, g, block=block).collect())
+        assert got == [(1, 3, "NATION_17", "LOC"), (1, 17, "nation_1", "LOC"), (1, 27, "x", "ODD"), (2, 2, "nation_1", "LOC"), (2, 10, "x", "ODD")]
+    assert entities.gazetteer_entities(docs, g.limit(0)).count() == 0
 
 
 def test_lexicon(spark):
@@ -145,7 +210,7 @@ def test_summary_size(spark, n, size):
         r = summaries.ranked(df, method).first()
         assert len(r.picks) == size and list(r.picks) == sorted(r.picks)
     if n:
-        assert summaries.assembled(summaries.best(summaries.tfidf_scores(df))).first().n_chosen == size
+        assert summaries.tfidf_summaries(df).first().n_chosen == size == summaries.tfidf_scores(df).where("chosen").count()
 
 
 def test_rouge_l():
@@ -180,13 +245,3 @@ def test_kmeans_of_few(spark):
     v = ml.as_vectors(spark.createDataFrame([(1, [0.0, 1.0])], "i long, a array<double>"), "i", "a")
     made, score = ml.kmeans(v, id_col="i")
     assert [tuple(r) for r in made.collect()] == [(1, 0)] and score is None
-
-
-def test_merge_equals_one_pass_over_all(spark):
-    rng = np.random.default_rng(5)
-    words = "war peace treaty king queen europe began ended long short".split()
-    rows = [(int(1900 + rng.integers(0, 40)), " ".join(rng.choice(words, rng.integers(2, 6)))) for _ in range(120)]
-    e = events(spark, rows)
-    frame = timeline._distinct_events(e, "doc_id").toPandas()
-    want = sorted((r[0], r[1], r[4]) for r in timeline._led(frame, 0.7))
-    assert sorted((r.event_id, r.year, r.merged_from) for r in timeline.merged(e).collect()) == want

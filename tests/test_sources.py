@@ -80,7 +80,7 @@ def test_full_run(spark, tmp_path):
 def summaries_of(out):
     from corpuslens.operators import summaries as Z
 
-    return Z.assembled(Z.best(Z.tfidf_scores(out["cleaned"])))
+    return Z.tfidf_summaries(out["cleaned"])
 
 
 def test_command_line_without_documents(spark, tmp_path):
