@@ -105,7 +105,7 @@ def z_scores(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
 def correlations(df: DataFrame, names: list[str] = DIMENSIONS) -> DataFrame:
     """first, second, r for each pair, in one pass over the data; null where a column is constant."""
     pairs = list(combinations(names, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(rows).alias("x")).select("x.first", "x.second", "x.r")
 

@@ -95,3 +95,31 @@ def time_period(df: DataFrame, year: str = "year") -> DataFrame:
 def step_performance(log: DataFrame) -> DataFrame:
     """step, count, average, least, most and total duration."""
     return log.groupBy("step").agg(F.count("*").alias("count"), F.avg("duration").alias("average"), F.min("duration").alias("least"), F.max("duration").alias("most"), F.sum("duration").alias("total"))
+
+
+METHODOLOGY = (
+    "Texts are cleaned by pattern rules with dates, numbers and names protected, then cut into words and sentences by rule.",
+    "A lexicon score is the number of distinct terms of a category that occur in a text, per 1000 tokens.",
+    "Entities come from rules and gazetteers; overlaps go to the more confident, then the longer. Events are sentences around dates.",
+    "Events that are close in time and alike in words and entities are merged in time order.",
+)
+LIMITATIONS = (
+    "Scores count words, not what is said of them: negation, irony and quotation count like assertion.",
+    "Rules expect English; dates that are not written as one of the known patterns are not found.",
+    "Means over few documents say little; correlations do not tell causes.",
+)
+
+
+def final_statistics(results: dict[str, DataFrame]) -> DataFrame:
+    """One row: documents, words, entities, distinct entities, events, merged events, mean compression of summaries. What was not computed is null."""
+
+    def one(name: str, column: Column, kind: str) -> Column:
+        return F.lit(None).cast(kind) if name not in results else results[name].agg(column.cast(kind).alias("x")).scalar()
+
+    spark = next(iter(results.values())).sparkSession
+    return spark.range(1).select(
+        one("cleaned", F.count("*"), "long").alias("documents"), one("basic_stats", F.sum("n_words"), "long").alias("words"),
+        one("entities", F.count("*"), "long").alias("entities"), one("entities", F.countDistinct("entity", "label"), "long").alias("distinct_entities"),
+        one("events", F.count("*"), "long").alias("events"), one("merged_events", F.count("*"), "long").alias("merged_events"),
+        one("summaries", F.avg(F.try_divide("n_chosen", "n_sentences")), "double").alias("mean_compression"),
+    )

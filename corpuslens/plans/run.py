@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, compare, entities, features, report, summaries, timeline
+from ..operators import cleaning, compare, entities, features, ml, report, summaries, timeline
 from ..sources import files, sinks
 
 STEPS = ("summarize", "ner", "timeline", "analysis")
@@ -24,7 +26,7 @@ def analyse(spark: SparkSession, docs: DataFrame, *, config: dict | None = None,
         out |= {"basic_stats": features.basic_stats(clean), "readability": features.readability(clean), "sentiment": features.sentiment(clean), "temporal": features.temporal(clean)}
     if "summarize" in wanted:
         method = config["summary"]["method"]
-        out["summaries"] = summaries.tfidf_summaries(clean) if method == "tfidf" else summaries.ranked(clean, method)
+        out["summaries"] = summaries.tfidf_summaries(clean) if method == "tfidf" else summaries.ranked(clean, method).withColumn("n_chosen", F.size("picks")).withColumn("ratio", F.try_divide("n_chosen", "n_sentences"))
     if wanted & {"ner", "timeline"}:
         found = entities.rule_entities(clean, [(p, "DATE") for p in entities.RULE_DATES], 0.8).unionByName(entities.rule_entities(clean, entities.RULE_EVENTS, 0.7)).unionByName(entities.rule_entities(clean, [(entities.TITLED, "PERSON")], 0.9))
         if config["entities"]["gazetteers"]:
@@ -38,10 +40,62 @@ def analyse(spark: SparkSession, docs: DataFrame, *, config: dict | None = None,
         out["correlations"] = compare.correlations(out["scores"])
         out["evolution"] = compare.evolution(out["scores"])
         judged = report.judged(clean, keep=("year",))
-        out |= {"report_executive": report.executive(judged), "report_ideology": report.ideology(judged), "report_governance": report.governance(judged), "report_social_impact": report.social_impact(judged)}
+        out |= {f"report_{n}": f(judged) for n, f in (("executive", report.executive), ("ideology", report.ideology), ("socioeconomic", report.socioeconomic), ("governance", report.governance), ("social_impact", report.social_impact), ("time_period", report.time_period))}
+        made, _ = ml.kmeans(ml.as_vectors(compare.z_scores(out["scores"], compare.DIMENSIONS, "doc_id").select("doc_id", F.array(*compare.DIMENSIONS).alias("v")), "doc_id", "v"), id_col="doc_id")
+        out["clusters"] = made
+        out["report_clusters"] = report.clusters(judged.join(made, "doc_id"), "cluster")
+        out["report_trend"] = compare.trend(out["evolution"])
+    if {"summaries", "entities", "scores"} <= set(out):
+        out["report_evidence"] = report.evidence(clean, out["summaries"], out["entities"])
     return out
 
 
+class StepLog:
+    """Steps with their seconds, as they end."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, float, bool]] = []
+
+    @contextmanager
+    def step(self, name: str):
+        began, done = time.perf_counter(), False
+        try:
+            yield
+            done = True
+        finally:
+            self.rows.append((name, time.perf_counter() - began, done))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "step string, duration double, done boolean")
+
+
+def write_outputs(spark: SparkSession, results: dict[str, DataFrame], folder: str, log: StepLog) -> dict[str, DataFrame]:
+    """Tables first, each as a step of the log; files, charts' data and the report are made from the tables as written."""
+    for name, df in results.items():
+        with log.step(name):
+            sinks.write_tables({name: df}, folder)
+    tables = sinks.read_tables(spark, folder, list(results))
+    with log.step("files"):
+        if "summaries" in tables:
+            sinks.write_csv(sinks.summaries_csv(tables["summaries"]), f"{folder}/summaries_csv")
+            sinks.write_json(tables["summaries"], f"{folder}/summaries_json")
+        if "entities" in tables:
+            sinks.write_json(tables["entities"], f"{folder}/entities_json")
+            sinks.write_report(spark, f"{folder}/entities.txt", sinks.entities_text(entities.top_by_label(tables["entities"])))
+        if "events" in tables:
+            sinks.write_csv(sinks.timeline_csv(tables["events"]), f"{folder}/timeline_csv")
+            sinks.write_report(spark, f"{folder}/timeline.html", sinks.timeline_html(tables["events"]))
+            for name, df in sinks.chart_data(tables["events"], entities.network_edges(tables["entities"])).items():
+                sinks.write_json(df, f"{folder}/charts/{name}")
+    with log.step("report"):
+        sections = {n.removeprefix("report_").replace("_", " "): df for n, df in tables.items() if n.startswith("report_") and n != "report_evidence"}
+        sections["statistics"] = report.final_statistics(tables)
+        sinks.write_report(spark, f"{folder}/report.txt", sinks.report_text("Corpus report", sections, {"methodology": report.METHODOLOGY, "limitations": report.LIMITATIONS}))
+    sinks.write_json(log.frame(spark), f"{folder}/steps")
+    sinks.write_json(report.step_performance(log.frame(spark)), f"{folder}/performance")
+    return tables
+
+
 def main(args: list[str] | None = None) -> int:
     own = argparse.ArgumentParser(description=__doc__)
     own.add_argument("--input", required=True)
@@ -55,8 +109,10 @@ def main(args: list[str] | None = None) -> int:
         print("no documents found")
         return 1
     docs = loaded.select(F.col("document_id").alias("doc_id"), "text", "year")
-    sinks.write_json(loaded.drop("text"), f"{a.output}/metadata")
-    sinks.write_tables(analyse(spark, docs, config=files.read_config(a.config, DEFAULTS) if a.config else None, only=a.only), a.output)
+    log = StepLog()
+    with log.step("metadata"):
+        sinks.write_json(loaded.drop("text"), f"{a.output}/metadata")
+    write_outputs(spark, analyse(spark, docs, config=files.read_config(a.config, DEFAULTS) if a.config else None, only=a.only), a.output, log)
     return 0
 
 

@@ -7,6 +7,8 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import remove, write_text
+
 CSV = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True}
 
 
@@ -57,15 +59,33 @@ def timeline_html(events: DataFrame, most: int = 500) -> str:
     return html_page("Timeline", [r.asDict() for r in timeline_csv(top).collect()])
 
 
-def report_text(title: str, sections: dict[str, DataFrame]) -> str:
-    """Sections of a few rows each as plain text."""
+def report_text(title: str, sections: dict[str, DataFrame], notes: dict[str, tuple[str, ...]] | None = None) -> str:
+    """Sections of a few rows each as plain text, then notes."""
     lines = [title, "=" * len(title)]
     for name, df in sections.items():
         lines += ["", name, "-" * len(name)]
         lines += ["  ".join(f"{k}: {v:.2f}" if isinstance(v, float) else f"{k}: {v}" for k, v in r.asDict().items()) for r in df.collect()]
+    for name, texts in (notes or {}).items():
+        lines += ["", name, "-" * len(name), *[f"- {t}" for t in texts]]
     return "\n".join(lines) + "\n"
 
 
+def entities_text(top: DataFrame) -> str:
+    """The most frequent entities of each label (label, entity, n, rank) as plain text."""
+    lines: list[str] = []
+    for r in top.orderBy("label", "rank").collect():
+        if not lines or r["rank"] == 1:
+            lines += ["", r["label"], "-" * len(r["label"])]
+        lines.append(f"{r['rank']:>3}  {r['entity']}  ({r['n']})")
+    return "\n".join(lines[1:]) + "\n"
+
+
+def write_report(spark, path: str, text: str) -> None:
+    """A small text file in any store that Spark reaches; an older one is replaced."""
+    remove(spark, path)
+    write_text(spark, path, text)
+
+
 def chart_data(events: DataFrame, edges: DataFrame, most: int = 50) -> dict[str, DataFrame]:
     """The datasets behind the charts: counts by year and by decade, heaviest edges and sizes of their nodes."""
     top = edges.orderBy(F.desc("weight"), "node_a", "node_b").limit(most)

@@ -245,3 +245,98 @@ def test_kmeans_of_few(spark):
     v = ml.as_vectors(spark.createDataFrame([(1, [0.0, 1.0])], "i long, a array<double>"), "i", "a")
     made, score = ml.kmeans(v, id_col="i")
     assert [tuple(r) for r in made.collect()] == [(1, 0)] and score is None
+
+
+def test_coherence_against_brute_force(spark):
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(14)]
+    texts = [" ".join(rng.choices(vocabulary, k=k)) for k in (3, 40, 25, 0, 9, 60)]
+    topics = {0: ["w0", "w1", "w2"], 1: ["w3", "w4", "nowhere"], 2: ["w5"]}
+    windows = [set(w[i : i + 10]) for w in (t.split() for t in texts) if w for i in range(max(1, len(w) - 9))]
+    share = lambda *ws: sum(all(w in x for w in ws) for x in windows) / len(windows)
+
+    def npmi(a, b):
+        if not share(a) or not share(b):
+            return 0.0
+        both = share(a, b) + 1e-12
+        return math.log(both / (share(a) * share(b))) / -math.log(both)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    got = {r.topic: r for r in ml.coherence(df, spark.createDataFrame([(t, w) for t, ws in topics.items() for w in ws], "topic int, word string"), window=10).collect()}
+    for t, words in topics.items():
+        m = np.array([[npmi(a, b) for b in words] for a in words])
+        whole = m.sum(0)
+        size = [np.linalg.norm(row) * np.linalg.norm(whole) for row in m]
+        want = np.mean([row @ whole / s if s else 0.0 for row, s in zip(m, size, strict=True)])
+        pairs = [npmi(a, b) for a, b in itertools.combinations(words, 2)]
+        assert abs(got[t].c_v - want) < 1e-9 and (got[t].npmi is None if not pairs else abs(got[t].npmi - np.mean(pairs)) < 1e-9)
+
+
+def test_summaries_against_plain_versions():
+    """Each ranking against its definition, written out in loops."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    sentences = [" ".join(rng.choices([f"w{i}" for i in range(15)], k=rng.randrange(2, 9))) + "." for _ in range(9)]
+    words = [[w.strip(".") for w in s.split()] for s in sentences]
+    n, terms = len(words), sorted({w for s in words for w in s})
+    weight = []
+    for s in words:
+        row = {t: s.count(t) * (math.log((1 + n) / (1 + sum(t in x for x in words))) + 1) for t in terms}
+        norm = math.sqrt(sum(v * v for v in row.values()))
+        weight.append({t: v / norm for t, v in row.items()})
+    sim = [[sum(a[t] * b[t] for t in terms) for b in weight] for a in weight]
+    rank = [1 / n] * n
+    for _ in range(300):
+        rank = [0.15 / n + 0.85 * sum(rank[j] * sim[j][i] / (sum(sim[j]) - sim[j][j]) for j in range(n) if j != i) for i in range(n)]
+    assert np.allclose(summaries.textrank(sentences, tolerance=1e-12, rounds=300), rank, atol=1e-6)
+    kept = [[x if x >= 0.1 else 0.0 for x in row] for row in sim]
+    lex = [1 / n] * n
+    for _ in range(50):
+        lex = [sum(lex[j] * kept[j][i] / sum(kept[j]) for j in range(n)) for i in range(n)]
+    assert np.allclose(summaries.lexrank(sentences), lex, atol=1e-9)
+    u, s, _ = np.linalg.svd(np.array([[row[t] for t in terms] for row in weight]), full_matrices=False)
+    k = min(10, n - 1)
+    assert np.allclose(summaries.lsa(sentences), np.sqrt(((u[:, :k] * s[:k]) ** 2).sum(1)), atol=1e-6)
+    total, taken = [w for s in words for w in s], []
+    for _ in range(3):
+        def gap(i):
+            now = [w for j in [*taken, i] for w in words[j]]
+            size = len(now) + 1e-9 * len(terms)
+            return sum((now.count(t) + 1e-9) / size * math.log((now.count(t) + 1e-9) / size / (total.count(t) / len(total) + 1e-9)) for t in terms)
+
+        taken.append(min((i for i in range(n) if i not in taken), key=lambda i: (gap(i), i)))
+    scores = summaries.kl(sentences)
+    assert [i for i in np.argsort(-scores, kind="stable")[:3]] == taken
+
+
+def test_models_against_plain_versions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5)) + 3
+    v = ml.as_vectors(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i long, a array<double>"), "i", "a")
+    got = {r.i: (r.x0, r.x1) for r in ml.pca(v, id_col="i").collect()}
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = x @ axes[:2].T  # up to the sign of an axis
+    mine = np.array([got[i] for i in range(60)])
+    assert all(np.allclose(mine[:, k], want[:, k], atol=1e-6) or np.allclose(mine[:, k], -want[:, k], atol=1e-6) for k in (0, 1))
+    made, score = ml.kmeans(v, id_col="i", k=3)
+    part = np.array([r.cluster for r in made.orderBy("i").collect()])
+    centres = np.array([x[part == c].mean(0) for c in range(3)])
+    assert (((x[:, None] - centres[None]) ** 2).sum(2).argmin(1) == part).all()  # each row is with its nearest centre
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    own = [(far[i][(part == part[i]) & (np.arange(60) != i)].mean(), min(far[i][part == c].mean() for c in range(3) if c != part[i])) for i in range(60) if (part == part[i]).sum() > 1]
+    assert abs(score - sum((b - a) / max(a, b) for a, b in own) / 60) < 1e-6
+    docs = spark.createDataFrame([(i, " ".join([["war", "peace", "king"], ["corn", "wheat", "bread"]][i % 2][j % 3] for j in range(20 + i))) for i in range(20)], "doc_id long, text string")
+    topics = {}
+    for r in ml.nmf(docs, topics=2, words=3, features=10, rounds=40).collect():
+        topics.setdefault(r.topic, set()).add(r.word)
+    assert sorted(map(sorted, topics.values())) == [["bread", "corn", "wheat"], ["king", "peace", "war"]]
+    top, shares = ml.lda(docs, topics=2, words=3, rounds=40)
+    assert all(abs(sum(r.topics) - 1) < 1e-6 for r in shares.collect()) and top.count() == 6
+    lengths = ml.document_vectors(docs).select("doc_id", ml.vector_to_array("vector").alias("v")).collect()
+    assert all(abs(sum(z * z for z in r.v) - 1) < 1e-9 or not any(r.v) for r in lengths)

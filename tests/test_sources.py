@@ -139,3 +139,19 @@ def test_shared_folder(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         scratch.shared_dir(Cluster)
+
+
+def test_outputs_of_a_run(spark, tmp_path):
+    texts = [f"In {1700 + i} the Treaty of Paris ended the war. King Louis Quinze spoke of freedom and the crown. Workers asked for reform number {i}. The empire sent its navy. Nothing more was said." for i in range(8)]
+    docs = spark.createDataFrame([(i, t, 1700 + i) for i, t in enumerate(texts)], "doc_id long, text string, year int")
+    log = run.StepLog()
+    tables = run.write_outputs(spark, run.analyse(spark, docs), f"file://{tmp_path}/out", log)
+    assert {"summaries", "entities", "merged_events", "report_clusters", "report_evidence", "report_trend"} <= set(tables)
+    report = (tmp_path / "out" / "report.txt").read_text()
+    assert "documents: 8" in report and "methodology" in report and "limitations" in report and "ideology" in report
+    assert "Treaty of Paris" in (tmp_path / "out" / "entities.txt").read_text() and "1700" in (tmp_path / "out" / "timeline.html").read_text()
+    steps = spark.read.json(f"file://{tmp_path}/out/steps").collect()
+    assert {r.step for r in steps} >= {"cleaned", "files", "report", "merged_events"} and all(r.done and r.duration > 0 for r in steps)
+    with pytest.raises(ZeroDivisionError), log.step("broken"):
+        1 / 0
+    assert log.rows[-1][0] == "broken" and not log.rows[-1][2]
