@@ -259,17 +259,32 @@ def readability_scores(spark, sf_dir):
 _VALENCE = "CASE w " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in L.VALENCES.items()) + " ELSE 0.0 END"
 
 
-def sql_compound(words: str) -> str:
-    total = f"CAST(coalesce(list_sum(list_transform({words}, lambda w: CAST({_VALENCE} AS DOUBLE))), 0) AS DOUBLE)"
-    return f"({total} / sqrt({total} * {total} + 15))"
-
-
-@query(C.WITH_HISTORY + f""", d AS (SELECT doc_id, {sql_compound(sql_words('text'))} AS compound, {sql_sentences('text')}[1:100] AS s FROM history),
-e AS (SELECT doc_id, compound, list_transform(s, lambda x: {sql_compound(sql_words('x'))}) AS each FROM d)
-SELECT doc_id, round(compound, 6) AS compound, CASE WHEN compound > 0.05 THEN 'positive' WHEN compound < -0.05 THEN 'negative' ELSE 'neutral' END AS label, round(list_avg(each), 6) AS mean_compound, round(list_stddev_pop(each), 6) AS std_compound FROM e""")
+def sql_valences(words: str) -> str:
+    """The rule word by word: each of the three words before, nearest first, adds to the strength, then may negate it."""
+    among = lambda xs: "(" + ", ".join(q(x) for x in xs) + ")"
+    v = f"CAST({_VALENCE} AS DOUBLE)"
+    for back, damping in enumerate(L.DAMPING, 1):
+        before = f"CASE WHEN i > {back} THEN {words}[i - {back}] ELSE '' END"
+        v = f"list_transform([{v}], lambda v: (v + sign(v) * CASE WHEN {before} IN {among(L.BOOSTERS)} THEN {L.BOOST * damping} WHEN {before} IN {among(L.DAMPENERS)} THEN {-L.BOOST * damping} ELSE 0 END) * CASE WHEN {before} IN {among(L.NEGATIONS)} THEN {L.NEGATION} ELSE 1 END)[1]"
+    return f"list_transform({words}, lambda w, i: {v})"
+
+
+def sql_sum(x: str) -> str:
+    return f"CAST(coalesce(list_sum({x}), 0) AS DOUBLE)"
+
+
+@query(C.WITH_HISTORY + f""", w AS (SELECT doc_id, {sql_words('text')} AS w, list_transform({sql_sentences('text')}[1:100], lambda x: {sql_words('x')}) AS s FROM history),
+v AS (SELECT doc_id, {sql_valences('w.w')} AS v FROM w),
+d AS (SELECT doc_id, {sql_sum('v')} AS total FROM v),
+u AS (SELECT doc_id, unnest(s) AS ws FROM w),
+z AS (SELECT doc_id, {sql_valences('ws')} AS v FROM u),
+y AS (SELECT doc_id, {sql_sum('v')} AS total, {sql_sum('[x + 1 FOR x IN v IF x > 0]')} AS p, {sql_sum('[1 - x FOR x IN v IF x < 0]')} AS n, len([x FOR x IN v IF x = 0]) AS neutral FROM z),
+g AS (SELECT doc_id, avg(total / sqrt(total * total + 15)) AS mean_compound, var_pop(total / sqrt(total * total + 15)) AS variance, avg(coalesce(p / nullif(p + n + neutral, 0), 0)) AS pos, avg(coalesce(n / nullif(p + n + neutral, 0), 0)) AS neg FROM y GROUP BY doc_id)
+SELECT doc_id, round(total / sqrt(total * total + 15), 6) AS compound, CASE WHEN total / sqrt(total * total + 15) > 0.05 THEN 'positive' WHEN total / sqrt(total * total + 15) < -0.05 THEN 'negative' ELSE 'neutral' END AS label,
+round(mean_compound, 6) AS mean_compound, round(sqrt(variance), 6) AS std_compound, round(variance, 6) AS sentiment_variance, round(pos, 6) AS mean_pos, round(neg, 6) AS mean_neg FROM d LEFT JOIN g USING (doc_id)""")
 def sentiment_label(spark, sf_dir):
-    s = X.sentiment(C.history(spark, sf_dir))
-    return s.select("doc_id", F.round("compound", 6).alias("compound"), "label", F.round("mean_compound", 6).alias("mean_compound"), F.round("std_compound", 6).alias("std_compound"))
+    s = X.sentiment(C.history(spark, sf_dir)).drop("pos_neg_ratio")  # up to 1e10, so it doesn't round alike
+    return s.select("doc_id", "label", *[F.round(c, 6).alias(c) for c in s.columns if c not in ("doc_id", "label")])
 
 
 @query(f"WITH w AS (SELECT {sql_words('text')} AS w, len({sql_sentences('text')}) AS s FROM documents) SELECT count(*) AS document_count, CAST(sum(len(w)) AS BIGINT) AS total_words, CAST(sum(s) AS BIGINT) AS total_sentences, round(avg(len(w)), 6) AS average_document_length, (SELECT count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM w)) AS vocabulary_size FROM w")

@@ -222,6 +222,25 @@ def test_sentiment_label(spark):
     assert {r.doc_id: r.label for r in features.sentiment(df).collect()} == {1: "positive", 2: "negative", 3: "neutral", 4: "neutral"}
 
 
+def test_sentiment_rules(spark):
+    """A booster strengthens, a dampener weakens, a negation turns; only among the three words before."""
+    texts = ["good", "very good", "slightly good", "not good", "isn't good", "not so very good", "not a b c good", "very bad", "not not good", "a very good"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.compound for r in features.sentiment(df).collect()}
+    b = 0.293
+    want = [1.9, 1.9 + b, 1.9 - b, -0.74 * 1.9, -0.74 * 1.9, -0.74 * (1.9 + b + 0.95 * b), 1.9, -2.5 - b, 0.74 * 0.74 * 1.9, 1.9 + b]
+    assert [got[i] for i in range(len(texts))] == pytest.approx([v / (v * v + 15) ** 0.5 for v in want])
+
+
+def test_sentiment_shares(spark):
+    df = spark.createDataFrame([(1, "A good day. A bad one."), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in features.sentiment(df).collect()}
+    r = got[1]
+    assert r.mean_pos == pytest.approx(2.9 / 4.9 / 2) and r.mean_neg == pytest.approx(3.5 / 5.5 / 2)
+    assert r.pos_neg_ratio == pytest.approx(r.mean_pos / (r.mean_neg + 1e-10)) and r.sentiment_variance == pytest.approx(r.std_compound**2)
+    assert got[2].label == got[3].label == "neutral" and got[2].compound == 0.0 and got[2].mean_pos is None and got[3].compound is None and got[3].mean_pos is None
+
+
 def test_abbreviations_end_no_sentence(spark):
     assert one(spark, "He met Dr. Who. They left!  Now?", T.sentences) == ["He met Dr. Who.", "They left!", "Now?"]
 
