@@ -13,10 +13,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stemming import stem
 from .features import ngrams
 
 LEAST, MOST, RATIO = 3, 10, 0.3
@@ -211,3 +212,58 @@ def rouge_l(pairs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array(c, pa.float64()) for c in columns]], names=[*keys, "precision", "recall", "f"])
 
     return pairs.select(T.words(F.col("candidate")).alias("c"), T.words(F.col("reference")).alias("r"), *keys).mapInArrow(run, f"{kinds}, precision double, recall double, f double")
+
+
+ROUGES = ("rouge_1", "rouge_2", "rouge_l")
+PARTS = ("precision", "recall", "f")
+
+
+def _rates(shared: int, candidate: int, reference: int) -> tuple[float, float, float]:
+    p, r = shared / candidate if candidate else 0.0, shared / reference if reference else 0.0
+    return p, r, 2 * p * r / (p + r) if shared else 0.0
+
+
+def rouge(pairs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), stemmed: bool = True) -> DataFrame:
+    """keys and precision, recall and f of ROUGE-1, -2 and -L of (keys, candidate, reference), row by row without a shuffle.
+
+    stemmed: words of more than three letters count by their stems. Null texts have no words; without words all is 0."""
+    kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
+    names = [f"{x}_{y}" for x in ROUGES for y in PARTS]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for sides in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c, r = ([stem(w) if stemmed and len(w) > 3 else w for w in side or ()] for side in sides)
+                row: tuple[float, ...] = ()
+                for n in (1, 2):
+                    mine, theirs = (list(zip(*(w[i:] for i in range(n)), strict=False)) for w in (c, r))
+                    row += _rates((Counter(mine) & Counter(theirs)).total(), len(mine), len(theirs))
+                out.append(row + _rates(longest_common(c, r), len(c), len(r)))
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array(x, pa.float64()) for x in columns]], names=[*keys, *names])
+
+    return pairs.select(T.words(F.col("candidate")).alias("c"), T.words(F.col("reference")).alias("r"), *keys).mapInArrow(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
+
+
+def _length(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+
+
+def evaluate(made: DataFrame, references: DataFrame, *, id_col: str = "doc_id", stemmed: bool = True) -> DataFrame:
+    """The ROUGE columns, summary_length and reference_length (words between spaces) of each summary (id, summary) that has a reference (id, reference)."""
+    both = made.select(id_col, F.col("summary").alias("candidate")).join(references.select(id_col, "reference"), id_col)
+    both = both.withColumns({"summary_length": _length(F.col("candidate")), "reference_length": _length(F.col("reference"))})
+    return rouge(both, keys=(id_col, "summary_length", "reference_length"), stemmed=stemmed)
+
+
+def mean_rouge(evaluated: DataFrame) -> DataFrame:
+    """One row: document_count and the mean of every ROUGE column; null without documents."""
+    return evaluated.agg(F.count("*").alias("document_count"), *[F.avg(f"{x}_{y}").alias(f"{x}_{y}") for x in ROUGES for y in PARTS])
+
+
+def intrinsic(made: DataFrame, method: str) -> DataFrame:
+    """method, documents, and mean, least and largest compression ratio and summary length of summaries (id, summary, ratio)."""
+    one = made.select("ratio", _length(F.col("summary")).alias("length"))
+    each = [f(c).alias(f"{n}_{c}") for c in ("ratio", "length") for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max))]
+    return one.agg(F.count("*").alias("documents"), *each).select(F.lit(method).alias("method"), "*")

@@ -69,6 +69,19 @@ def rouge_l(spark, sf_dir):
     return Z.rouge_l(_pairs(spark, sf_dir), keys=_KEY)
 
 
+@query()
+def rouge_stemmed(spark, sf_dir):
+    """All three measures on stems."""
+    return Z.rouge(_pairs(spark, sf_dir), keys=_KEY)
+
+
+@query()
+def summary_evaluation(spark, sf_dir):
+    """TextRank summaries held against TF-IDF summaries of the same documents."""
+    docs = table(spark, sf_dir, "documents")
+    return Z.evaluate(Z.ranked(docs, "textrank"), Z.tfidf_summaries(docs).withColumnRenamed("summary", "reference"))
+
+
 def _summary(method):
     @query(name=f"summary_{method}")
     def run(spark, sf_dir):

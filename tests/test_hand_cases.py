@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import dates as D
 from corpuslens.functions import text as T
+from corpuslens.functions.stemming import stem
 from corpuslens.operators import cleaning, compare, entities, features, ml, report, summaries, timeline
 
 
@@ -217,6 +218,48 @@ def test_rouge_l():
     assert summaries.longest_common("a b c d e".split(), "b x d a e".split()) == 3 and summaries.longest_common([], ["a"]) == 0
 
 
+@pytest.mark.parametrize(("word", "want"), [tuple(x.split("/")) for x in "caresses/caress ponies/poni ties/ti caress/caress cats/cat feed/feed agreed/agre plastered/plaster bled/bled motoring/motor sing/sing conflated/conflat troubled/troubl sized/size hopping/hop tanned/tan falling/fall hissing/hiss fizzed/fizz failing/fail filing/file happy/happi sky/sky relational/relat conditional/condit rational/ration valenci/valenc digitizer/digit conformabli/conform radicalli/radic differentli/differ vileli/vile analogousli/analog vietnamization/vietnam predication/predic operator/oper feudalism/feudal decisiveness/decis hopefulness/hope callousness/callous formaliti/formal sensitiviti/sensit sensibiliti/sensibl triplicate/triplic formative/form formalize/formal electriciti/electr electrical/electr hopeful/hope goodness/good revival/reviv allowance/allow inference/infer airliner/airlin gyroscopic/gyroscop adjustable/adjust defensible/defens irritant/irrit replacement/replac adjustment/adjust dependent/depend adoption/adopt homologou/homolog communism/commun activate/activ angulariti/angular homologous/homolog effective/effect bowdlerize/bowdler probate/probat rate/rate cease/ceas controll/control roll/roll generalizations/gener oscillators/oscil".split()])
+def test_stem(word, want):
+    """The examples of the published algorithm, through all its steps."""
+    assert stem(word) == want
+
+
+def test_rouge_by_stems(spark):
+    rows = [(1, "the cats were running", "a cat runs"), (2, None, "x"), (3, "", ""), (4, "same words here", "same words here")]
+    df = spark.createDataFrame(rows, "doc_id long, candidate string, reference string")
+    got = {r.doc_id: r for r in summaries.rouge(df).collect()}
+    # cats, cat: words of more than three letters are stemmed, and cat is its own stem; running, runs: run
+    assert (got[1].rouge_1_precision, got[1].rouge_1_recall) == pytest.approx((2 / 4, 2 / 3)) and got[1].rouge_2_f == 0.0 and got[1].rouge_l_precision == 2 / 4
+    assert all(v == 0.0 for i in (2, 3) for k, v in got[i].asDict().items() if k != "doc_id")
+    assert all(v == 1.0 for k, v in got[4].asDict().items() if k != "doc_id")
+    plain = {r.doc_id: r for r in summaries.rouge(df, stemmed=False).collect()}
+    assert plain[1].rouge_1_f == 0.0
+
+
+def test_rouge_ways_agree(spark, small):
+    """Without stems the pass row by row and the relational form give the same."""
+    pairs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "text AS candidate", "lead(text) OVER (ORDER BY doc_id) AS reference").where("candidate IS NOT NULL AND reference IS NOT NULL")
+    one = {r.doc_id: r for r in summaries.rouge(pairs, stemmed=False).collect()}
+    for n, other in ((1, summaries.rouge_n(pairs, 1)), (2, summaries.rouge_n(pairs, 2)), ("l", summaries.rouge_l(pairs))):
+        rows = other.collect()
+        assert len(rows) == len(one) > 0
+        for r in rows:
+            assert [one[r.doc_id][f"rouge_{n}_{p}"] for p in summaries.PARTS] == pytest.approx([r.precision, r.recall, r.f])
+
+
+def test_evaluate_summaries(spark):
+    made = spark.createDataFrame([(1, "one two three", 0.5), (2, "four", 0.1), (3, "left out", 0.3)], "doc_id long, summary string, ratio double")
+    refs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, reference string")
+    e = summaries.evaluate(made, refs)
+    got = {r.doc_id: r for r in e.collect()}
+    assert set(got) == {1, 2} and (got[1].summary_length, got[1].reference_length, got[2].reference_length) == (3, 2, 0)
+    mean = summaries.mean_rouge(e).first()
+    assert mean.document_count == 2 and mean.rouge_1_recall == pytest.approx(0.5)
+    i = summaries.intrinsic(made, "tfidf").first()
+    assert (i.method, i.documents, i.most_length) == ("tfidf", 3, 3) and i.mean_ratio == pytest.approx(0.3)
+    assert summaries.mean_rouge(e.where("false")).first().rouge_1_f is None
+
+
 def test_sentiment_label(spark):
     df = spark.createDataFrame([(1, "good great peace"), (2, "war and death"), (3, "chair"), (4, "")], "doc_id long, text string")
     assert {r.doc_id: r.label for r in features.sentiment(df).collect()} == {1: "positive", 2: "negative", 3: "neutral", 4: "neutral"}
