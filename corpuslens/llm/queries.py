@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_id, licenses, packing, simhash, substrings, tiff, toxicity, warc
+from . import chat, decontamination, filter_audit, language_id, licenses, packing, simhash, substrings, tiff, toxicity, vector_packing, warc
 from .common import table
 
 
@@ -34,6 +34,31 @@ FROM c GROUP BY conv_id
 """
 
 
+OP13 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.doc_id, part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS x
+    FROM w),
+c AS (SELECT part, x, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, x),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+g AS (SELECT part, filter_order, n, good, toxic, x,
+        list_min([CASE WHEN x[instr('ABCDE', filter_order[i])] THEN i ELSE 6 END for i in range(1, 6)]) AS gone FROM c, o),
+s AS (SELECT *, x[instr('ABCDE', filter_order[step])] AS fails FROM g, (SELECT unnest(range(1, 6)) AS step)),
+m AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+        sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN fails AND gone < step THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails AND len(list_filter(x, lambda v: v)) = 1 THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+    FROM s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM m
+"""
+
+
 def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -84,9 +109,17 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_seekable": OP5, "op7_prefix_targets": OP7}
+    return {"op5_warc_seekable": OP5, "op7_prefix_targets": OP7, "op13_filter_audit": OP13}
