@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, filter_audit, language_id, licenses, packing, simhash, substrings, tiff, toxicity, vector_packing, warc
+from . import chat, conversation_repair, decontamination, filter_audit, language_id, licenses, packing, simhash, substrings, tiff, toxicity, vector_packing, warc
 from .common import table
 
 
@@ -34,6 +34,59 @@ FROM c GROUP BY conv_id
 """
 
 
+def _plus(audit: str, cost: str, letter: str) -> str:
+    """An audit, kept as its cost in nine digits and its letters, with one edit more. The least string is the cheapest and, of those, the least audit; 'far' is none."""
+    return f"CASE WHEN {audit} = 'far' THEN 'far' ELSE lpad(CAST(CAST(left({audit}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({audit}, 10) || '{letter}' END"
+
+
+def _inserted(relation: str) -> str:
+    """With b: the audits a of the four states (start, system, user, assistant) after insertions, of which two are enough."""
+    once = lambda x: f"[{x}[1], {x}[2], least({x}[3], {', '.join(_plus(f'{x}[{k}]', '2', 'I') for k in (1, 2, 4))}), least({x}[4], {_plus(f'{x}[3]', '2', 'I')})]"
+    return f"(SELECT *, {once('a1')} AS b FROM (SELECT *, {once('a')} AS a1 FROM {relation}))"
+
+
+def _rows(letter: str, cost: str, *states: int) -> str:
+    return "least(" + ", ".join([*(_plus(f"b[{k}]", cost, letter) for k in states), "'far'"]) + ")"
+
+
+#: The tables of CRC-32 bit by bit; then every state's cheapest audit, row by row.
+OP12 = rf"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT conv_id, turn, role, text,
+    xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ord(c) AS BIGINT) for c in string_split(k, '')], lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS h FROM keyed, tab),
+harmed AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM harmed),
+fault AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS f,
+    left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered),
+counts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+        count(*) FILTER (f = 't') AS truncated, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal,
+        list({{'role': role, 'text': text, 'f': f, 'r': r}} ORDER BY i) AS own FROM fault GROUP BY conv_id),
+step AS (SELECT conv_id, n, own, CAST(0 AS BIGINT) AS i, ['000000000', 'far', 'far', 'far'] AS a FROM counts
+    UNION ALL
+    SELECT conv_id, n, own, i + 1, [
+        {_rows('D', '3', 1)},
+        least({_rows('D', '3', 2)}, CASE WHEN stays AND o.r = 's' THEN {_rows('K', 'late', 1)} ELSE 'far' END),
+        least({_rows('D', '3', 3)}, CASE WHEN stays AND o.r = 'u' THEN {_rows('K', 'late', 1, 2, 4)} ELSE 'far' END, CASE WHEN stays THEN {_rows('R', '(2 + late)', 1, 2, 4)} ELSE 'far' END),
+        least({_rows('D', '3', 4)}, CASE WHEN stays AND o.r = 'a' THEN {_rows('K', 'late', 3)} ELSE 'far' END, CASE WHEN stays THEN {_rows('R', '(2 + late)', 3)} ELSE 'far' END)]
+    FROM (SELECT *, o.f NOT IN ('b', 'd') AS stays, CASE WHEN o.f = 't' THEN 1 ELSE 0 END AS late FROM (SELECT *, own[i + 1] AS o FROM {_inserted('step')} WHERE i < n))),
+best AS (SELECT conv_id, own, least(b[1], b[4]) AS found FROM {_inserted('step')} WHERE i = n),
+replay AS (SELECT conv_id, own, substr(found, 10) AS audit, 0 AS pos, 0 AS i, 0 AS state, CAST([] AS VARCHAR[]) AS lines FROM best
+    UNION ALL
+    SELECT conv_id, own, audit, pos + 1, i + CASE WHEN e = 'I' THEN 0 ELSE 1 END, CASE WHEN e = 'D' THEN state WHEN e <> 'K' THEN CASE WHEN state = 2 THEN 3 ELSE 2 END WHEN own[i + 1].r = 's' THEN 1 WHEN own[i + 1].r = 'u' THEN 2 ELSE 3 END,
+        CASE e WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, own[i + 1].role || ':' || own[i + 1].text)
+            ELSE list_append(lines, CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN e = 'R' THEN own[i + 1].text ELSE '' END) END
+    FROM (SELECT *, substr(audit, pos + 1, 1) AS e FROM replay WHERE pos < length(audit)))
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    CAST(coalesce(left(found, 9), '0') AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN best b ON c.n IS NOT NULL AND d.conv_id IS NOT DISTINCT FROM b.conv_id
+    LEFT JOIN (SELECT conv_id, audit, lines FROM replay WHERE pos = length(audit)) r ON c.n IS NOT NULL AND d.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
 OP13 = r"""
 WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
@@ -113,6 +166,10 @@ def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -122,4 +179,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_seekable": OP5, "op7_prefix_targets": OP7, "op13_filter_audit": OP13}
+    return {"op5_warc_seekable": OP5, "op7_prefix_targets": OP7, "op12_conversation_repair": OP12, "op13_filter_audit": OP13}
