@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..sources.scratch import stored
+from .neighbours import nearest
 
 DIMENSIONS = ["political_ideology", "socioeconomic", "governance", "social_impact"]
 GROUPS = {
@@ -102,6 +104,17 @@ def z_scores(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select(*keep, *[F.coalesce((F.col(n) - F.col(f"_m_{n}")) / F.nullif(F.col(f"_s_{n}"), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names])
 
 
+def indicators() -> list[str]:
+    """Names of the 36 indicators behind the four dimensions, in their order."""
+    return [c for g in ("dim", "soc", "gov", "imp") for c in columns(g)]
+
+
+def feature_vectors(docs: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns, features: the 36 indicators, scaled."""
+    scores = stored(lexicon_scores(docs, ["dim", "soc", "gov", "imp"], id_col=id_col, keep=keep), "indicators")  # read for the statistics, then for every use
+    return z_scores(scores, indicators(), id_col, *keep).select(id_col, *keep, F.array(*indicators()).alias("features"))
+
+
 def correlations(df: DataFrame, names: list[str] = DIMENSIONS) -> DataFrame:
     """first, second, r for each pair, in one pass over the data; null where a column is constant."""
     pairs = list(combinations(names, 2))
@@ -128,17 +141,9 @@ def trend(by_year: DataFrame, names: list[str] = DIMENSIONS, year: str = "year")
     return t.where("first != 0").withColumn("change", (F.col("last") - F.col("first")) / F.col("first") * 100)
 
 
-def similar(df: DataFrame, names: list[str], queries: DataFrame, *, id_col: str = "doc_id", k: int = 3) -> DataFrame:
-    """query, neighbour, cosine, rank over the z-scores: a stated query set against all rows."""
-    z = z_scores(df, names, id_col)
-    v = z.select(F.col(id_col), F.array(*names).alias("v"))
-    q = v.join(queries.select(F.col(id_col)), id_col, "left_semi")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda s, e: s + e)
-    a = q.select(F.col(id_col).alias("query"), F.col("v").alias("qv"), F.sqrt(dot("v", "v")).alias("qn"))
-    b = v.select(F.col(id_col).alias("neighbour"), "v", F.sqrt(dot("v", "v")).alias("n"))
-    pairs = b.join(a, F.col("query") != F.col("neighbour")).select("query", "neighbour", F.coalesce(F.try_divide(dot("qv", "v"), F.col("qn") * F.col("n")), F.lit(0.0)).alias("cosine"))
-    order = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def similar(vectors: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", vector_col: str = "features", k: int = 3) -> DataFrame:
+    """query, neighbour, cosine, rank over feature vectors: a stated query set (id) against all rows; 0 where a vector is zero."""
+    return nearest(vectors, queries, id_col=id_col, vector_col=vector_col, k=k)
 
 
 def unpivoted(df: DataFrame, *keep: str, names: list[str] = DIMENSIONS) -> DataFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as T
 from ..functions.stemming import stem
 from .features import ngrams
@@ -61,11 +63,11 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, features: int) -> DataF
             scores = [_tfidf(w, features) for w in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.list_(pa.float64())), pa.array([_chosen(x) for x in scores], pa.list_(pa.int32()))], names=[id_col, "s", "scores", "picks"])
 
-    return s.withColumn("w", F.transform("s", T.words)).mapInArrow(run, f"`{id_col}` {kind}, s array<string>, scores array<double>, picks array<int>")
+    return s.withColumn("w", F.transform("s", lambda x: F.filter(T.words(x), lambda w: ~w.isin(L.STOP_WORDS)))).mapInArrow(run, f"`{id_col}` {kind}, s array<string>, scores array<double>, picks array<int>")
 
 
 def tfidf_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", features: int = 1000) -> DataFrame:
-    """id, pos, sentence, n, score, chosen: the sum of a sentence's normalised weights, with idf over the document's sentences and its ``features`` most frequent 1- and 2-grams; whether it is in the summary."""
+    """id, pos, sentence, n, score, chosen: the sum of a sentence's normalised weights, with idf over the document's sentences and its ``features`` most frequent 1- and 2-grams without stop words; whether it is in the summary."""
     rows = _scored(docs, id_col, text_col, features)
     each = rows.select(id_col, F.size("s").alias("n"), "picks", F.posexplode(F.arrays_zip(F.col("s").alias("sentence"), F.col("scores").alias("score"))).alias("pos", "x"))
     return each.select(id_col, "pos", "x.sentence", "n", "x.score", F.array_contains("picks", F.col("pos")).alias("chosen"))
@@ -81,9 +83,13 @@ def tfidf_summaries(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _matrix(sentences: list[str]) -> np.ndarray:
+def _tokens(sentences: list[str], stops: frozenset[str]) -> list[list[str]]:
+    return [[w for w in _WORD.findall(s.lower()) if w not in stops] for s in sentences]
+
+
+def _matrix(sentences: list[str], stops: frozenset[str] = frozenset()) -> np.ndarray:
     """Sentences x words, tf-idf, rows of length 1."""
-    tokens = [_WORD.findall(s.lower()) for s in sentences]
+    tokens = _tokens(sentences, stops)
     place = {w: i for i, w in enumerate(sorted({w for t in tokens for w in t}))}
     m = np.zeros((len(sentences), max(1, len(place))))
     for i, t in enumerate(tokens):
@@ -123,17 +129,17 @@ def lexrank(sentences: list[str], threshold: float = 0.1, rounds: int = 50) -> n
     return rank
 
 
-def lsa(sentences: list[str], components: int = 10) -> np.ndarray:
+def lsa(sentences: list[str], components: int = 10, stops: frozenset[str] = frozenset()) -> np.ndarray:
     """Row lengths in the leading singular directions, from the smaller Gram matrix."""
-    m = _matrix(sentences)
+    m = _matrix(sentences, stops)
     values, vectors = np.linalg.eigh(m @ m.T)
     k = min(components, max(1, len(sentences) - 1))
     return np.sqrt(np.maximum((vectors[:, -k:] ** 2) @ np.maximum(values[-k:], 0), 0))
 
 
-def kl(sentences: list[str]) -> np.ndarray:
+def kl(sentences: list[str], stops: frozenset[str] = frozenset()) -> np.ndarray:
     """Greedy: each round takes the sentence that brings the summary's word distribution closest to the document's. Earlier picks score higher."""
-    tokens = [_WORD.findall(s.lower()) for s in sentences]
+    tokens = _tokens(sentences, stops)
     place = {w: i for i, w in enumerate(sorted({w for t in tokens for w in t}))}
     counts = np.zeros((len(sentences), max(1, len(place))))
     for i, t in enumerate(tokens):
@@ -155,7 +161,9 @@ def ranked(docs: DataFrame, method: str, *, id_col: str = "doc_id", text_col: st
     """id, summary, picks (places in the text), scores, n_sentences; row by row."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    rank = {"textrank": textrank, "lexrank": lexrank, "lsa": lsa, "kl": kl}[method]
+    # the first two stand in for sentence encoders, which see every word
+    stops = frozenset(L.STOP_WORDS)
+    rank = {"textrank": textrank, "lexrank": lexrank, "lsa": partial(lsa, stops=stops), "kl": partial(kl, stops=stops)}[method]
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -118,10 +118,18 @@ def lexicon_scores_by_lang(spark, sf_dir):
     return s.groupBy("lang").agg(F.count("*").alias("n"), *[F.round(F.avg(d), 6).alias(d) for d in K.DIMENSIONS])
 
 
-@query(DIMENSION_SQL + " SELECT doc_id, " + ", ".join(f"round(coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_pop({n}) OVER (), 0), 0), 5) AS {n}" for n in K.DIMENSIONS) + " FROM e")
+_INDICATORS = sql_scores(["dim", "soc", "gov", "imp"])
+
+
+def _z(name: str) -> str:
+    return f"coalesce(({name} - avg({name}) OVER ()) / nullif(stddev_pop({name}) OVER (), 0), 0)"
+
+
+@query(_INDICATORS + " SELECT doc_id, " + ", ".join(f"round({_z(n)}, 5) AS {n}" for n in K.indicators()) + " FROM s")
 def zscores(spark, sf_dir):
-    z = K.z_scores(_scores(spark, sf_dir), K.DIMENSIONS, "doc_id")
-    return z.select("doc_id", *[F.round(d, 5).alias(d) for d in K.DIMENSIONS])
+    """The 36 indicators, scaled."""
+    z = K.z_scores(K.lexicon_scores(C.history(spark, sf_dir), ["dim", "soc", "gov", "imp"]), K.indicators(), "doc_id")
+    return z.select("doc_id", *[F.round(d, 5).alias(d) for d in K.indicators()])
 
 
 _CORR = " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, corr({a}, {b}) AS r FROM e" for a, b in combinations(K.DIMENSIONS, 2))
@@ -146,14 +154,13 @@ def trend_change(spark, sf_dir):
     return t.select("dimension", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.round("change", 5).alias("change"))
 
 
-_Z = DIMENSION_SQL + ", z AS (SELECT doc_id, [" + ", ".join(f"coalesce(({n} - avg({n}) OVER ()) / nullif(stddev_pop({n}) OVER (), 0), 0)" for n in K.DIMENSIONS) + "] AS v FROM e)"
+_Z = _INDICATORS + ", z AS (SELECT doc_id, [" + ", ".join(_z(n) for n in K.indicators()) + "] AS v FROM s)"
 
 
 @query(_Z + ", p AS (SELECT a.doc_id AS query, b.doc_id AS neighbour, coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0) AS c FROM z a JOIN z b ON a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0) SELECT query, neighbour, round(c, 5) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour) AS rank FROM p) WHERE rank <= 3")
 def similar_docs_top3(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    out = K.similar(s, K.DIMENSIONS, s.where("doc_id % 100 = 0").select("doc_id"))
-    return out.withColumn("cosine", F.round("cosine", 5))
+    v = K.feature_vectors(C.history(spark, sf_dir))
+    return K.similar(v, v.where("doc_id % 100 = 0")).withColumn("cosine", F.round("cosine", 5))
 
 
 @query(DIMENSION_SQL + f" SELECT grp, count(*) AS n, {', '.join(f'round(avg({n}), 6) AS {n}' for n in K.DIMENSIONS)}, array_to_string(list_sort(list(doc_id))[1:3], ',') AS examples FROM e GROUP BY grp")

@@ -9,11 +9,11 @@ from ..operators import ml as M
 from ..operators import summaries as Z
 from . import corpora as C
 from .registry import query, table
-from .text import sql_sentences, sql_words
+from .text import sql_content_words, sql_sentences, sql_words
 
 _ROWS = f"{C.WITH_HISTORY}, s AS (SELECT doc_id, {sql_sentences('text')} AS s FROM history), r AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS pos, len(s) AS n FROM s)"
 _TFIDF = (
-    _ROWS + f", w AS (SELECT doc_id, pos, n, {sql_words('sentence')} AS w FROM r), g AS (SELECT doc_id, pos, n, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' '))) AS term FROM w),"
+    _ROWS + f", w AS (SELECT doc_id, pos, n, {sql_content_words('sentence')} AS w FROM r), g AS (SELECT doc_id, pos, n, unnest(w || list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' '))) AS term FROM w),"
     " tf AS (SELECT doc_id, pos, n, term, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df FROM tf), raw AS (SELECT doc_id, pos, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM df),"
     " sc AS (SELECT doc_id, pos, sum(raw) / sqrt(sum(raw * raw)) AS score FROM raw GROUP BY ALL), x AS (SELECT r.*, coalesce(score, 0) AS score FROM r LEFT JOIN sc USING (doc_id, pos)),"
     " ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) <= CASE WHEN n <= 3 THEN n ELSE greatest(3, least(10, CAST(floor(n * 0.3) AS INT))) END AS chosen FROM x)"
@@ -103,9 +103,8 @@ def kmeans_vectors(spark, sf_dir):
 
 @query()
 def kmeans_docs(spark, sf_dir):
-    """Clusters of the scaled dimension scores."""
-    z = K.z_scores(K.dimension_scores(C.history(spark, sf_dir)), K.DIMENSIONS, "doc_id")
-    made, score = M.kmeans(M.as_vectors(z.select("doc_id", F.array(*K.DIMENSIONS).alias("a")), "doc_id", "a"), id_col="doc_id", k=5)
+    """Clusters of the 36 scaled indicators."""
+    made, score = M.kmeans(M.as_vectors(K.feature_vectors(C.history(spark, sf_dir)), "doc_id", "features"), id_col="doc_id", k=5)
     return made.withColumn("silhouette", F.lit(score).cast("double"))
 
 

@@ -196,9 +196,13 @@ def doc_basic_stats(spark, sf_dir):
     return s.select("doc_id", "n_words", "n_sentences", F.round("avg_sentence_length", 6).alias("avg_sentence_length"), F.round("avg_word_length", 6).alias("avg_word_length"), "vocabulary", F.round("ttr", 6).alias("ttr"))
 
 
+def sql_content_words(text: str) -> str:
+    return f"[w FOR w IN {sql_words(text)} IF w NOT IN ({', '.join(q(w) for w in L.STOP_WORDS)})]"
+
+
 def _counts_sql(max_n: int) -> str:
     grams = ["w"] + [f"list_transform(range(1, greatest(len(w) - {n - 2}, 1)), lambda i: array_to_string(w[i:i + {n - 1}], ' '))" for n in range(2, max_n + 1)]
-    return f"d AS (SELECT doc_id, {sql_words('text')} AS w FROM documents), e AS (SELECT doc_id, unnest({' || '.join(grams)}) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL)"
+    return f"d AS (SELECT doc_id, {sql_content_words('text')} AS w FROM documents), e AS (SELECT doc_id, unnest({' || '.join(grams)}) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL)"
 
 
 def _vocabulary_sql(features: int, max_df: float) -> str:
@@ -207,9 +211,7 @@ def _vocabulary_sql(features: int, max_df: float) -> str:
 
 @query(f"WITH {_counts_sql(2)}, {_vocabulary_sql(3000, 0.98)} SELECT doc_id, term, tf FROM tf JOIN v USING (term)")
 def bow_doc_term(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    kept = X.vocabulary(d, max_n=2, max_df=0.98, max_features=3000)
-    return X.counts_of(d, kept.select("term"), max_n=2).select("doc_id", "term", "tf")
+    return X.bag_of_words(_docs(spark, sf_dir))
 
 
 _TFIDF = f"WITH {_counts_sql(3)}, {_vocabulary_sql(5000, 0.95)}, r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (term)), x AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM r)"
@@ -222,7 +224,7 @@ def tfidf_weights(spark, sf_dir):
 
 @query(_TFIDF + " SELECT doc_id, term, round(weight, 6) AS weight, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM x) WHERE rank <= 20")
 def tfidf_top20(spark, sf_dir):
-    return X.top_terms(X.tfidf(_docs(spark, sf_dir), max_n=3)).withColumn("weight", F.round("weight", 6))
+    return X.tfidf(_docs(spark, sf_dir), max_n=3, top=20).withColumn("weight", F.round("weight", 6))
 
 
 _SIMILAR = f"""WITH {_counts_sql(1)}, {_vocabulary_sql(5000, 0.95)}, r AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw FROM tf JOIN v USING (term)),
@@ -248,7 +250,7 @@ w AS (SELECT doc_id, {sql_words('t')} AS w, greatest(len({sql_sentences('t')}),
 y AS (SELECT doc_id, s, len(w) AS n, length(array_to_string(w, '')) AS letters, list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyáéíóúàèêëïôûüöä]+')), 1)) AS syl FROM w),
 c AS (SELECT doc_id, s, n, letters, list_sum(syl) AS syllables, len(list_filter(syl, lambda x: x >= 3)) AS hard, list_sum(list_transform(syl[1:100], lambda x: CASE WHEN x < 3 THEN 1 ELSE 3 END)) / greatest(1.0, s * (least(n, 100) / n)) AS li FROM y),
 g AS (SELECT doc_id,  round(206.835 - 1.015 * n / s - 84.6 * syllables / n + 1e-9, 5) AS flesch, round(0.39 * n / s + 11.8 * syllables / n - 15.59 + 1e-9, 5) AS kincaid, round(0.4 * (n / s + 100 * (hard / n)) + 1e-9, 5) AS fog,
-round(1.043 * sqrt(30.0 * (hard / s)) + 3.1291 + 1e-9, 5) AS smog, round(4.71 * (letters / n) + 0.5 * (n / s) - 21.43 + 1e-9, 5) AS ari, round(5.89 * (letters / n) - 29.6 * (s / n) - 15.8 + 1e-9, 5) AS coleman_liau, round(CASE WHEN n > 0 THEN CASE WHEN li > 20 THEN li / 2 ELSE (li - 2) / 2 END END + 1e-9, 5) AS linsear_write, round(0.1579 * (hard / n * 100) + 0.0496 * n / s + CASE WHEN hard / n * 100 > 5 THEN 3.6365 ELSE 0 END + 1e-9, 5) AS dale_chall FROM c),
+round(CASE WHEN n > 0 THEN 1.043 * sqrt(30.0 * (hard / s)) + 3.1291 END + 1e-9, 5) AS smog, round(4.71 * (letters / n) + 0.5 * (n / s) - 21.43 + 1e-9, 5) AS ari, round(5.89 * (letters / n) - 29.6 * (s / n) - 15.8 + 1e-9, 5) AS coleman_liau, round(CASE WHEN n > 0 THEN CASE WHEN li > 20 THEN li / 2 ELSE (li - 2) / 2 END END + 1e-9, 5) AS linsear_write, round(0.1579 * (hard / n * 100) + 0.0496 * n / s + CASE WHEN hard / n * 100 > 5 THEN 3.6365 ELSE 0 END + 1e-9, 5) AS dale_chall FROM c),
 m AS (SELECT doc_id, min(grade) AS consensus FROM (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM (SELECT doc_id, grade, count(*) AS n FROM (SELECT doc_id, unnest([CAST(round(x) AS INT) FOR x IN [kincaid, fog, smog, ari, coleman_liau, linsear_write, dale_chall]]) AS grade FROM g) WHERE grade IS NOT NULL GROUP BY ALL)) WHERE r = 1 GROUP BY doc_id)
 SELECT g.*, consensus FROM g LEFT JOIN m USING (doc_id)""")
 def readability_scores(spark, sf_dir):

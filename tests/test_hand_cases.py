@@ -1,6 +1,9 @@
 """Small cases whose results follow from the definitions."""
 
+import collections
 import datetime
+import random
+import re
 
 import numpy as np
 import pytest
@@ -402,3 +405,59 @@ def test_models_against_plain_versions(spark):
     assert all(abs(sum(r.topics) - 1) < 1e-6 for r in shares.collect()) and top.count() == 6
     lengths = ml.document_vectors(docs).select("doc_id", ml.vector_to_array("vector").alias("v")).collect()
     assert all(abs(sum(z * z for z in r.v) - 1) < 1e-9 or not any(r.v) for r in lengths)
+
+
+def test_stop_words_go_before_grams(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from corpuslens.functions import lexicons
+
+    own = {w for entry in StopWordsRemover.loadDefaultStopWords("english") for w in re.findall(r"[^\W_]+", entry.lower())}
+    assert sorted(own) == lexicons.STOP_WORDS
+    df = spark.createDataFrame([(1, "The crown of the king"), (2, "A crown and the king, it's the king"), (3, None)], "doc_id int, text string")
+    assert {r.term for r in features.vocabulary(df, max_n=3).collect()} == {"crown", "king", "crown king"}
+    counts = {(r.doc_id, r.term): r.tf for r in features.bag_of_words(df, max_n=2).collect()}
+    assert counts == {(1, "crown"): 1, (1, "king"): 1, (1, "crown king"): 1, (2, "crown"): 1, (2, "king"): 2, (2, "crown king"): 1}
+    assert {r.term for r in features.vocabulary(df, stop_words=["crown"], max_n=1).collect()} == {"the", "king"}
+
+
+@pytest.mark.parametrize("features_kept", [5, 40, 10_000])
+def test_vocabulary_with_and_without_pruning(spark, features_kept):
+    """The most frequent n-grams by counting all of them."""
+    rng = random.Random(features_kept)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(60)], weights=[1 / (k + 1) for k in range(60)], k=rng.randint(0, 60))) for _ in range(40)]
+    df, total = collections.Counter(), collections.Counter()
+    for t in texts:
+        w = t.split()
+        own = collections.Counter(" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+        df.update(own.keys())
+        total.update(own)
+    want = sorted((t for t in total if 2 <= df[t] <= 0.9 * len(texts)), key=lambda t: (-total[t], t))[:features_kept]
+    got = features.vocabulary(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), max_n=3, max_df=0.9, max_features=features_kept)
+    assert {r.term: r.df for r in got.collect()} == {t: df[t] for t in want}
+
+
+def test_smog_of_no_words(spark):
+    assert features.readability(spark.createDataFrame([(1, ""), (2, " . ")], "doc_id int, text string")).where("smog IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_nearest_against_all_pairs(spark, block):
+    from corpuslens.operators.neighbours import nearest
+
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(-2, 3, 4).astype(float).tolist()) for k in range(300)] + [(k, [0.0] * 4) for k in (300, 310)] + [(400, None), (405, [1.0, 0.0, 0.0, 0.0]), (405, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
+    got = {(r.query, r["rank"]): (r.neighbour, round(r.cosine, 6)) for r in nearest(df, df.where("vec_id % 10 = 0"), id_col="vec_id", vector_col="v", block=block).collect()}
+    want = {}
+    for q, x in rows:
+        if q % 10 == 0 and x is not None:
+            near = []
+            for i, y in rows:
+                if i != q and y is not None:
+                    size = np.linalg.norm(x) * np.linalg.norm(y)
+                    near.append((-round(float(np.dot(x, y) / size) if size else 0.0, 9), i))
+            for rank, (c, i) in enumerate(sorted(near)[:3], 1):
+                want[q, rank] = (i, round(-c, 6))
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
