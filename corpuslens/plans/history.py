@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import lexicons as L
 from ..operators import entities as N
+from ..operators import recognise as S
 from ..operators import timeline as E
 from . import corpora as C
 from .registry import query, table
@@ -143,6 +144,29 @@ def entity_resolve_compat(spark, sf_dir):
     return N.resolve(_entities(spark, sf_dir), compat=True)
 
 
+def _recogniser(spark, sf_dir):
+    """History, its labelled spans, which of them are places whose names are kept from training, and the model."""
+    h, gold = C.history(spark, sf_dir), N.resolve(_entities(spark, sf_dir))
+    kept = gold.where((F.col("label") == "LOC") & S.hidden(F.col("entity")))
+    known = gold.join(kept.select("doc_id").distinct(), "doc_id", "left_anti")
+    return h, gold, kept, S.fit(S.labelled(h, known), ["DATE", "DOCUMENT", "EVENT", "LOC", "PERSON", "REGION"])
+
+
+@query()
+def entity_statistical(spark, sf_dir):
+    """What a recogniser finds that learned from gazetteer and rules, but not from documents with hidden names."""
+    h, _, _, model = _recogniser(spark, sf_dir)
+    return S.recognise(h, model)
+
+
+@query()
+def entity_statistical_evaluation(spark, sf_dir):
+    """Exact spans found in the documents with hidden names, by label."""
+    h, gold, kept, model = _recogniser(spark, sf_dir)
+    unseen = kept.select("doc_id").distinct()
+    return S.evaluation(S.recognise(h.join(unseen, "doc_id", "left_semi"), model), gold.join(unseen, "doc_id", "left_semi"))
+
+
 _EVERY = f"{C.WITH_HISTORY}, {_FOUND}, r AS ({sql_spans([*_RULES, *N.RULE_EVENTS, (N.TITLED, 'PERSON')])}), al AS (SELECT doc_id, entity, label, CAST(start AS INT) AS start, CAST(start + length(entity) AS INT) AS \"end\" FROM r UNION ALL SELECT * FROM ge), en AS (SELECT * FROM al WHERE length(entity) >= 2 AND length(regexp_replace(entity, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 0.5 * length(entity))"
 
 
