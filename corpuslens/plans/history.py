@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import lexicons as L
 from ..operators import entities as N
+from ..operators import pos as P
 from ..operators import recognise as S
 from ..operators import timeline as E
 from . import corpora as C
@@ -167,6 +168,20 @@ def entity_statistical_evaluation(spark, sf_dir):
     return S.evaluation(S.recognise(h.join(unseen, "doc_id", "left_semi"), model), gold.join(unseen, "doc_id", "left_semi"))
 
 
+@query()
+def pos_tags(spark, sf_dir):
+    """Words with their part of speech; the model is learned from the same texts, without labels."""
+    h = C.history(spark, sf_dir)
+    return P.tag(h, P.fit(h)).select("doc_id", F.array_join(F.transform("tokens", lambda t: F.concat(t["text"], F.lit("/"), t["pos"])), " ").alias("tagged"))
+
+
+@query()
+def pos_entities(spark, sf_dir):
+    """Titles, events and periods by patterns over parts of speech."""
+    h = C.history(spark, sf_dir)
+    return P.proper_noun_entities(P.tag(h, P.fit(h)))
+
+
 _EVERY = f"{C.WITH_HISTORY}, {_FOUND}, r AS ({sql_spans([*_RULES, *N.RULE_EVENTS, (N.TITLED, 'PERSON')])}), al AS (SELECT doc_id, entity, label, CAST(start AS INT) AS start, CAST(start + length(entity) AS INT) AS \"end\" FROM r UNION ALL SELECT * FROM ge), en AS (SELECT * FROM al WHERE length(entity) >= 2 AND length(regexp_replace(entity, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 0.5 * length(entity))"
 
 
