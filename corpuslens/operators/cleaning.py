@@ -28,8 +28,8 @@ def _rules() -> list[tuple[re.Pattern, str]]:
     return rules
 
 
-def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, n_protected: NFKC, typography, removals, scan errors and whitespace, with dates, Roman numerals and abbreviations untouched (leftmost, then longest). Null stays null."""
+def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns, text, n_protected: NFKC, typography, removals, scan errors and whitespace, with dates, Roman numerals and abbreviations untouched (leftmost, then longest). Null stays null."""
     kind = docs.schema[id_col].dataType.simpleString()
     typography = str.maketrans(T.TYPOGRAPHY | {"…": "..."})
 
@@ -61,6 +61,7 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
         for batch in batches:
             rows = [one(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int32())], names=[id_col, "text", "n_protected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int32())], names=[id_col, *keep, "text", "n_protected"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, text string, n_protected int")
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"`{id_col}` {kind}, {kept}text string, n_protected int")

@@ -94,8 +94,11 @@ def dimension_scores(docs: DataFrame, *, id_col: str = "doc_id", keep: tuple[str
     """id, kept columns, the four dimension scores, overall_score."""
     s = lexicon_scores(docs, ["dim", "soc", "gov", "imp"], id_col=id_col, keep=keep)
     four = [mean_of("dim"), mean_of("soc", L.DEVELOPMENT), mean_of("gov"), net_impact()]
-    s = s.select(id_col, *keep, *[c.alias(n) for n, c in zip(DIMENSIONS, four, strict=True)])
-    return s.withColumn("overall_score", sum((F.col(d) for d in DIMENSIONS), F.lit(0.0)) / len(DIMENSIONS))
+    return with_overall(s.select(id_col, *keep, *[c.alias(n) for n, c in zip(DIMENSIONS, four, strict=True)]))
+
+
+def with_overall(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("overall_score", sum((F.col(d) for d in DIMENSIONS), F.lit(0.0)) / len(DIMENSIONS))
 
 
 def z_scores(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
@@ -111,7 +114,11 @@ def indicators() -> list[str]:
 
 def feature_vectors(docs: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, kept columns, features: the 36 indicators, scaled."""
-    scores = stored(lexicon_scores(docs, ["dim", "soc", "gov", "imp"], id_col=id_col, keep=keep), "indicators")  # read for the statistics, then for every use
+    return scaled(stored(lexicon_scores(docs, ["dim", "soc", "gov", "imp"], id_col=id_col, keep=keep), "indicators"), id_col=id_col, keep=keep)
+
+
+def scaled(scores: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns, features: the scores' 36 indicators, scaled. The scores are read twice."""
     return z_scores(scores, indicators(), id_col, *keep).select(id_col, *keep, F.array(*indicators()).alias("features"))
 
 

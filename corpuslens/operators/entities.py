@@ -173,3 +173,19 @@ def top_by_label(e: DataFrame, k: int = 10) -> DataFrame:
     counts = e.groupBy("label", "entity").agg(F.count("*").alias("n"))
     order = Window.partitionBy("label").orderBy(F.desc("n"), "entity")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def network_summary(e: DataFrame, *, id_col: str = "doc_id", most: int = 50) -> DataFrame:
+    """section, name, value: totals (entities, distinct texts, documents, entities a document), entities by label, and the ``most`` frequent nodes 'text (label)'."""
+    totals = e.agg(F.count("*").alias("n"), F.countDistinct("entity").alias("texts"), F.countDistinct(id_col).alias("documents"))
+    pairs = (("entities", F.col("n")), ("distinct texts", F.col("texts")), ("documents", F.col("documents")), ("entities a document", F.try_divide("n", "documents")))
+    each = F.array(*[F.struct(F.lit("total").alias("section"), F.lit(name).alias("name"), value.cast("double").alias("value")) for name, value in pairs])
+    labels = e.groupBy("label").agg(F.count("*").alias("n")).select(F.lit("label").alias("section"), F.col("label").alias("name"), F.col("n").cast("double").alias("value"))
+    nodes = e.groupBy(F.concat("entity", F.lit(" ("), "label", F.lit(")")).alias("name")).agg(F.count("*").cast("double").alias("value")).orderBy(F.desc("value"), "name").limit(most)
+    return totals.select(F.explode(each).alias("x")).select("x.*").unionByName(labels).unionByName(nodes.select(F.lit("node").alias("section"), "name", "value"))
+
+
+def by_period(e: DataFrame, periods: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """period, documents (with an entity), entities. periods: id, period; a document without one is of an unknown period."""
+    own = e.groupBy(id_col).agg(F.count("*").alias("n")).join(periods.select(id_col, "period"), id_col, "left")
+    return own.groupBy(F.coalesce("period", F.lit("Unknown")).alias("period")).agg(F.count("*").alias("documents"), F.sum("n").alias("entities"))

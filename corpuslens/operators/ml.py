@@ -38,7 +38,8 @@ def kmeans(vectors: DataFrame, *, id_col: str, k: int = 5) -> tuple[DataFrame, f
     """(id, cluster), silhouette with squared Euclidean distances; one cluster or as many as rows have none."""
     vectors = stored(vectors, "vectors")  # read by every round
     n = vectors.count()
-    k = max(1, min(k, n))
+    # with fewer distinct vectors than clusters there are fewer clusters, which the library's rounds don't expect
+    k = max(1, vectors.select(vector_to_array("vector").alias("v")).distinct().limit(k).count())
     if k == 1:
         return vectors.select(id_col, F.lit(0).alias("cluster")), None
     made = KMeans(k=k, seed=SEED, featuresCol="vector", predictionCol="cluster").fit(vectors).transform(vectors)

@@ -17,7 +17,7 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (
         id_col, *keep, K.dominant("dim").alias("ideology"), K.dominant("sys").alias("economic_system"), K.dominant("gsy").alias("governance_system"), K.dominant("cat").alias("impact_category"),
         K.mean_of("dim").alias("political_ideology"), K.mean_of("soc", L.DEVELOPMENT).alias("socioeconomic"), K.mean_of("gov").alias("governance"), K.net_impact().alias("social_impact"),
         K.mean_of("soc", L.INEQUALITY).alias("inequality"), K.mentioned("gov").alias("complexity"), K.magnitude().alias("magnitude"), K.mentioned("dim").alias("ideology_count"),
-        *[c.alias(f"share_{n}") for n, c in shares.items()], *[F.col(f"imp_{n}") for n in (*L.POSITIVE_IMPACT, *L.NEGATIVE_IMPACT)],
+        *[c.alias(f"share_{n}") for n, c in shares.items()], *K.indicators(),
         K.themes(F.col("text"), L.POLITICAL_THEMES).alias("political_themes"),
     )
 
@@ -39,10 +39,11 @@ def executive(j: DataFrame) -> DataFrame:
 
 
 def ideology(j: DataFrame) -> DataFrame:
-    """ideology, n, mean score, number of distinct themes."""
+    """ideology, n, mean score, number of distinct themes, and the themes (a fixed table's, so few), sorted."""
     counts = j.groupBy("ideology").agg(F.count("*").alias("n"), F.avg("political_ideology").alias("avg_score"))
-    t = j.select("ideology", F.explode("political_themes").alias("theme")).groupBy("ideology").agg(F.countDistinct("theme").alias("n_themes"))
-    return counts.join(t, "ideology", "left").fillna({"n_themes": 0})
+    t = j.select("ideology", F.explode("political_themes").alias("theme")).groupBy("ideology").agg(F.array_sort(F.collect_set("theme")).alias("t"))
+    found = t.select("ideology", F.size("t").cast("long").alias("n_themes"), F.array_join("t", "|").alias("themes"))
+    return counts.join(found, "ideology", "left").fillna({"n_themes": 0, "themes": ""})
 
 
 def _mean_where(value: Column, holds: Column) -> Column:
@@ -80,11 +81,19 @@ def clusters(j: DataFrame, cluster: str) -> DataFrame:
     return base
 
 
-def evidence(docs: DataFrame, summaries: DataFrame, entities: DataFrame, *, id_col: str = "doc_id", excerpt: int = 200, most: int = 5) -> DataFrame:
-    """id, dimension, excerpt, entities: documents with or without a summary and entities, for each dimension."""
-    named = entities.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_set("entity")), 1, most).alias("entities"))
-    rows = docs.select(id_col).join(summaries.select(id_col, F.substring("summary", 1, excerpt).alias("excerpt")), id_col, "left").join(named, id_col, "left")
-    return rows.select(id_col, F.explode(F.array(*[F.lit(d) for d in K.DIMENSIONS])).alias("dimension"), F.coalesce("excerpt", F.lit("")).alias("excerpt"), F.coalesce(F.array_join("entities", "|"), F.lit("")).alias("entities"))
+def key_indicators(most: int = 5) -> dict[str, list[str]]:
+    """The first indicators of each dimension."""
+    return {d: list(K.GROUPS[g][0])[:most] for d, g in zip(K.DIMENSIONS, ("dim", "soc", "gov", "imp"), strict=True)}
+
+
+def evidence(scores: DataFrame, summaries: DataFrame, entities: DataFrame, *, id_col: str = "doc_id", excerpt: int = 200, most: int = 5) -> DataFrame:
+    """id, dimension, score, key_indicators, excerpt, entities (the first ones in the text, repeats included): documents with or without a summary and entities, for each dimension."""
+    order = Window.partitionBy(id_col).orderBy("start", "end", "entity")
+    first = entities.select(id_col, "start", "end", "entity", F.row_number().over(order).alias("_r")).where(F.col("_r") <= most)
+    named = first.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "entity"))), lambda x: x["entity"]).alias("entities"))
+    rows = scores.select(id_col, *K.DIMENSIONS).join(summaries.select(id_col, F.substring("summary", 1, excerpt).alias("excerpt")), id_col, "left").join(named, id_col, "left")
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score"), F.lit("|".join(names)).alias("key_indicators")) for d, names in key_indicators(most).items()])
+    return rows.select(id_col, F.explode(each).alias("x"), "excerpt", "entities").select(id_col, "x.*", F.coalesce("excerpt", F.lit("")).alias("excerpt"), F.coalesce(F.array_join("entities", "|"), F.lit("")).alias("entities"))
 
 
 def time_period(df: DataFrame, year: str = "year") -> DataFrame:
@@ -123,3 +132,24 @@ def final_statistics(results: dict[str, DataFrame]) -> DataFrame:
         one("events", F.count("*"), "long").alias("events"), one("merged_events", F.count("*"), "long").alias("merged_events"),
         one("summaries", F.avg(F.try_divide("n_chosen", "n_sentences")), "double").alias("mean_compression"),
     )
+
+
+def findings(results: dict[str, DataFrame]) -> DataFrame:
+    """section, name, value: entities by label and events by century (most first), the most common ideology, systems and merge reduction. What was not computed has no rows."""
+    parts = []
+    if "entities" in results:
+        parts.append(results["entities"].groupBy("label").agg(F.count("*").alias("n")).select(F.lit("entities by label").alias("section"), F.col("label").alias("name"), F.col("n").cast("double").alias("value")))
+    if "events" in results:
+        named = results["events"].where("century IS NOT NULL").groupBy("century").agg(F.count("*").alias("n"))
+        parts.append(named.select(F.lit("events by century").alias("section"), F.col("century").cast("string").alias("name"), F.col("n").cast("double").alias("value")))
+    if "report_executive" in results:
+        parts.append(results["report_executive"].select(F.concat(F.lit("most common "), F.replace("aspect", F.lit("_"), F.lit(" "))).alias("section"), F.col("value").alias("name"), F.col("percent").alias("value")))
+    if "report_trend" in results:
+        parts.append(results["report_trend"].select(F.lit("change in percent").alias("section"), F.col("dimension").alias("name"), F.col("change").alias("value")))
+    if {"events", "merged_events"} <= set(results):
+        before, after = results["events"].agg(F.count("*").alias("b")), results["merged_events"].agg(F.count("*").alias("a"))
+        parts.append(before.crossJoin(after).select(F.lit("merging").alias("section"), F.lit("reduction in percent").alias("name"), F.try_divide(100.0 * (F.col("b") - F.col("a")), "b").alias("value")))
+    out = parts[0] if parts else next(iter(results.values())).sparkSession.createDataFrame([], "section string, name string, value double")
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy("section", F.desc("value"), "name")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import compare as K
+from ..operators import entities as N
 from ..operators import report as R
 from . import corpora as C
 from .registry import query, table
@@ -198,7 +199,7 @@ def report_executive(spark, sf_dir):
     return _rounded(R.executive(_judged(spark, sf_dir)))
 
 
-@query(_JUDGED + ", t AS (SELECT ideology, count(DISTINCT theme) AS n_themes FROM (SELECT ideology, unnest(string_split(political_themes, '|')) AS theme FROM j WHERE political_themes <> '') GROUP BY ideology) SELECT j.ideology, count(*) AS n, round(avg(political_ideology), 6) AS avg_score, coalesce(max(n_themes), 0) AS n_themes FROM j LEFT JOIN t USING (ideology) GROUP BY j.ideology")
+@query(_JUDGED + ", t AS (SELECT ideology, count(DISTINCT theme) AS n_themes, string_agg(DISTINCT theme, '|' ORDER BY theme) AS themes FROM (SELECT ideology, unnest(string_split(political_themes, '|')) AS theme FROM j WHERE political_themes <> '') GROUP BY ideology) SELECT j.ideology, count(*) AS n, round(avg(political_ideology), 6) AS avg_score, coalesce(max(n_themes), 0) AS n_themes, coalesce(max(themes), '') AS themes FROM j LEFT JOIN t USING (ideology) GROUP BY j.ideology")
 def report_ideology(spark, sf_dir):
     return _rounded(R.ideology(_judged(spark, sf_dir)))
 
@@ -229,12 +230,14 @@ def report_clusters(spark, sf_dir):
     return _rounded(R.clusters(_judged(spark, sf_dir), "grp"))
 
 
-@query(C.WITH_HISTORY + ", s AS (SELECT doc_id, substring(text, 1, 200) AS excerpt FROM history), n AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS entity FROM history), e AS (SELECT doc_id, array_to_string(list_sort(list(entity))[1:5], '|') AS entities FROM n GROUP BY doc_id) SELECT h.doc_id, dimension, coalesce(excerpt, '') AS excerpt, coalesce(entities, '') AS entities FROM history h LEFT JOIN s ON s.doc_id = h.doc_id LEFT JOIN e ON e.doc_id = h.doc_id CROSS JOIN (VALUES " + ", ".join(f"('{d}')" for d in K.DIMENSIONS) + ") AS d(dimension)")
+_KEYS = ", ".join(f"('{d}', '{'|'.join(names)}')" for d, names in R.key_indicators().items())
+
+
+@query(DIMENSION_SQL + f", u AS (UNPIVOT (SELECT doc_id, {', '.join(K.DIMENSIONS)} FROM e) ON {', '.join(K.DIMENSIONS)} INTO NAME dimension VALUE score) SELECT u.doc_id, u.dimension, round(score, 6) AS score, key_indicators, substring(text, 1, 200) AS excerpt, array_to_string(regexp_extract_all(text, '[A-Z][a-z]+')[1:5], '|') AS entities FROM u JOIN (VALUES {_KEYS}) AS k(dimension, key_indicators) ON k.dimension = u.dimension JOIN history h ON h.doc_id = u.doc_id")
 def report_evidence(spark, sf_dir):
     h = C.history(spark, sf_dir)
-    s = h.select("doc_id", F.col("text").alias("summary"))
-    e = h.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("entity"))
-    return R.evidence(h, s, e)
+    found = h.select("doc_id", F.explode(N.spans(F.col("text"), "[A-Z][a-z]+")).alias("e")).select("doc_id", "e.*")
+    return _rounded(R.evidence(K.dimension_scores(h), h.select("doc_id", F.col("text").alias("summary")), found))
 
 
 @query(C.WITH_HISTORY + " SELECT min(year) AS first_year, max(year) AS last_year, max(year) - min(year) AS span, count(*) AS n FROM history WHERE year <> 0")

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import lexicons as L
+from ..functions import text as T
 from ..operators import entities as N
 from ..operators import pos as P
 from ..operators import recognise as S
 from ..operators import timeline as E
 from . import corpora as C
 from .registry import query, table
-from .text import q, sql_any
+from .text import q, sql_any, sql_period
 
 
 def _date_sql(y: str, m: str, d: str) -> str:
@@ -195,6 +196,20 @@ def entity_cooccurrence(spark, sf_dir):
     return N.cooccurrence(_entities(spark, sf_dir))
 
 
+_TOTALS = "n AS (SELECT count(*) AS n, count(DISTINCT entity) AS texts, count(DISTINCT doc_id) AS documents FROM en)"
+
+
+@query(_EVERY + f", {_TOTALS}, z AS (SELECT concat(entity, ' (', label, ')') AS name, count(*) AS value FROM en GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50) SELECT 'total' AS section, name, round(CAST(value AS DOUBLE), 6) AS value FROM n, (VALUES ('entities', n), ('distinct texts', texts), ('documents', documents), ('entities a document', n / documents)) AS t(name, value) UNION ALL SELECT 'label', label, CAST(count(*) AS DOUBLE) FROM en GROUP BY label UNION ALL SELECT 'node', name, CAST(value AS DOUBLE) FROM z".replace("FROM n, (VALUES ('entities', n), ('distinct texts', texts), ('documents', documents), ('entities a document', n / documents)) AS t(name, value)", "FROM (SELECT unnest(['entities', 'distinct texts', 'documents', 'entities a document']) AS name, unnest([n, texts, documents, n / documents]) AS value FROM n)"))
+def entity_network_summary(spark, sf_dir):
+    return N.network_summary(_entities(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(_EVERY + f", o2 AS (SELECT doc_id, count(*) AS n FROM en GROUP BY doc_id) SELECT {sql_period('year')} AS period, count(*) AS documents, CAST(sum(n) AS BIGINT) AS entities FROM o2 JOIN history USING (doc_id) GROUP BY 1")
+def entities_by_period(spark, sf_dir):
+    periods = C.history(spark, sf_dir).select("doc_id", T.period(F.col("year")).alias("period"))
+    return N.by_period(_entities(spark, sf_dir), periods)
+
+
 @query(_EVERY + ", nd AS (SELECT doc_id, concat(entity, ' (', label, ')') AS node, row_number() OVER (PARTITION BY doc_id ORDER BY start, \"end\", label, entity) AS i FROM en) SELECT least(a.node, b.node) AS node_a, greatest(a.node, b.node) AS node_b, count(*) AS weight FROM nd a JOIN nd b ON a.doc_id = b.doc_id AND a.i < b.i GROUP BY ALL")
 def entity_network_edges(spark, sf_dir):
     return N.network_edges(_entities(spark, sf_dir))
