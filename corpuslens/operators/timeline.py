@@ -15,10 +15,15 @@ from .graph import connected_components
 REACH = 200
 
 
+def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, m: distinct mentions in pattern order, each with what it parses to and its context; a document's are in its row."""
+    one = lambda x: F.struct(x.alias("date_str"), D.parse_date(x).alias("p"), context(F.col(text_col), x).alias("context"))
+    return docs.select(id_col, F.array_distinct(F.transform(D.mentions(F.col(text_col)), one)).alias("m"))
+
+
 def date_mentions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, seq, date_str, date, precision, year: distinct mentions in pattern order, the first of equals; narrow."""
-    m = docs.select(id_col, F.transform(D.mentions(F.col(text_col)), lambda x: F.struct(x.alias("date_str"), D.parse_date(x).alias("p"))).alias("m"))
-    rows = m.select(id_col, F.posexplode(F.array_distinct("m")).alias("seq", "x"))
+    rows = _mentions(docs, id_col, text_col).select(id_col, F.posexplode("m").alias("seq", "x"))
     return rows.select(id_col, "seq", "x.date_str", F.col("x.p.date").alias("date"), F.col("x.p.precision").alias("precision"), F.col("x.p.year").alias("year"))
 
 
@@ -47,14 +52,17 @@ def confidence(text: Column, date_str: Column, n_entities: Column) -> Column:
 
 def events(docs: DataFrame, entities: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10) -> DataFrame:
     """event_id, id, seq, description, date, precision, year, decade, century, date_str, context, entities, confidence."""
-    m = date_mentions(docs, id_col=id_col, text_col=text_col).join(docs.select(id_col, F.col(text_col).alias("_t")), id_col)
-    e = m.withColumn("context", context(F.col("_t"), F.col("date_str"))).drop("_t")
+    kind = "array<struct<entity:string,label:string>>"
+    m = _mentions(docs, id_col, text_col).where(F.size("m") > 0)
     if entities is None:
-        e = e.withColumn("entities", F.array().cast("array<struct<entity:string,label:string>>"))
+        m = m.withColumn("_e", F.array().cast(kind))
     else:
+        # contexts and entities meet, texts don't move; rows that repeat an id each meet that id's entities
         own = entities.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", F.struct("entity", "label").alias("x")))), lambda s: s["x"]).alias("_e"))
-        found = F.slice(F.filter(F.coalesce("_e", F.array().cast("array<struct<entity:string,label:string>>")), lambda x: F.contains(F.lower("context"), F.lower(x["entity"]))), 1, most)
-        e = e.join(own, id_col, "left").withColumn("entities", found).drop("_e")
+        m = m.join(own, id_col, "left").withColumn("_e", F.coalesce("_e", F.array().cast(kind)))
+    e = m.select(id_col, "_e", F.posexplode("m").alias("seq", "x"))
+    e = e.select(id_col, "seq", "x.date_str", F.col("x.p.date").alias("date"), F.col("x.p.precision").alias("precision"), F.col("x.p.year").alias("year"), "x.context", "_e")
+    e = e.withColumn("entities", F.slice(F.filter("_e", lambda x: F.contains(F.lower("context"), F.lower(x["entity"]))), 1, most)).drop("_e")
     e = e.withColumn("description", description(F.col("context"), F.col("date_str")))
     e = e.withColumn("decade", D.decade(F.col("year"))).withColumn("century", D.century(F.col("year")))
     e = e.withColumn("confidence", confidence(F.col("description"), F.col("date_str"), F.size("entities")))
@@ -83,12 +91,21 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
-def _distinct_events(e: DataFrame, id_col: str) -> DataFrame:
-    """One row for equal events (year, date, precision, description, entities), with their number, sources and confidence."""
+DATED = "coalesce(year, 0) != 0"
+
+
+def _keyed_events(e: DataFrame, id_col: str) -> DataFrame:
+    """Dated events with what equal ones share (year, date, precision, description, entities) and a hash of it."""
     names = F.array_sort(F.array_distinct(F.transform("entities", lambda x: F.lower(x["entity"]))))
-    date = F.coalesce("date", F.to_date(F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-06-15"))))
-    d = e.where("year != 0").select("year", date.alias("date"), "precision", "description", F.array_sort(word_set(F.col("description"))).alias("words"), names.alias("names"), "confidence", F.col(id_col).cast("string").alias("source"), "event_id")
-    return d.groupBy("year", "date", "precision", "description", "words", "names").agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.sum("confidence").alias("confidence"))
+    when = F.coalesce("date", F.to_date(F.concat(F.lpad(F.col("year").cast("string"), 4, "0"), F.lit("-06-15"))))
+    d = e.where(DATED).select("year", "date", when.alias("time"), "precision", "description", F.array_sort(word_set(F.col("description"))).alias("words"), names.alias("names"), "entities", "confidence", F.col(id_col).cast("string").alias("source"), "event_id")
+    return d.withColumn("key", F.sha2(F.to_json(F.struct("year", "date", "precision", "description", "names"), {"ignoreNullFields": "false"}), 256))
+
+
+def _distinct_events(keyed: DataFrame) -> DataFrame:
+    """One row for equal events, named by the smallest id, with their number and confidence."""
+    shared = ["year", "date", "time", "precision", "description", "words", "names"]
+    return keyed.groupBy("key").agg(*[F.min(c).alias(c) for c in shared], F.min_by("entities", "event_id").alias("entities"), F.min("event_id").alias("event_id"), F.count("*").alias("n"), F.sum("confidence").alias("confidence"))
 
 
 CLOSE = ((1, 0.4), (5, 0.2), (10, 0.1))  # years apart, what that counts
@@ -163,57 +180,75 @@ def _leaders(batches):
 
 
 REACH_YEARS = 10
-MERGED = [("event_id", pa.string()), ("year", pa.int32()), ("precision", pa.string()), ("description", pa.string()), ("merged_from", pa.int64()), ("n_sources", pa.int64()), ("confidence", pa.float64())]
+ENTITIES = pa.list_(pa.struct([("entity", pa.string()), ("label", pa.string())]))
+COMBINED = [("leader", pa.string()), ("event_id", pa.string()), ("year", pa.int32()), ("date", pa.date32()), ("precision", pa.string()), ("description", pa.string()), ("entities", ENTITIES), ("merged_from", pa.int64()), ("confidence", pa.float64())]
 
 
 def _combined(batches):
-    """Rows (leader, event_id, year, precision, description, words, n, n_sources, confidence), sorted by leader and time, to one event per leader: nothing but its sums, its best event and three descriptions is held."""
+    """Rows (leader, event_id, year, date, precision, description, words, entities, n, confidence), sorted by leader and time, to one event per leader: nothing but its sums, its best event, three descriptions and its distinct entities is held."""
     now: dict | None = None
 
     def closed(m: dict) -> tuple:
-        best = m["best"][1]
-        return (*best, "; ".join(d for _, d in m["kept"]), m["n"], m["sources"], m["confidence"] / m["n"])
+        return (m["leader"], *m["best"][1], "; ".join(d for _, d in m["kept"]), list(m["entities"].values()), m["n"], m["confidence"] / m["n"])
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(MERGED)], names=[n for n, _ in MERGED])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(COMBINED)], names=[n for n, _ in COMBINED])
 
     for batch in batches:
         done = []
-        for leader, event, year, precision, description, words, n, sources, confidence in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+        for leader, event, year, date, precision, description, words, entities, n, confidence in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
             if now is None or now["leader"] != leader:
                 if now is not None:
                     done.append(closed(now))
-                now = {"leader": leader, "best": None, "kept": [], "n": 0, "sources": 0, "confidence": 0.0}
+                now = {"leader": leader, "best": None, "kept": [], "entities": {}, "n": 0, "confidence": 0.0}
             rank, own = D.RANK.get(precision, 0), set(words)
             if now["best"] is None or rank > now["best"][0]:
-                now["best"] = (rank, (event, year, precision))
+                now["best"] = (rank, (event, year, date, precision))
             if len(now["kept"]) < 3 and not any(own & w for w, _ in now["kept"]):
                 now["kept"].append((own, description))
+            for x in entities or ():
+                if x["entity"]:
+                    now["entities"].setdefault(x["entity"].lower(), x)
             now["n"] += n
-            now["sources"] += sources
             now["confidence"] += confidence
         yield made(done)
     if now is not None:
         yield made([closed(now)])
 
 
-def merged(e: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
-    """Leader clustering in timeline order, then one event per leader: earliest event of the best precision, up to three descriptions without a shared word, number of merged events and sources, mean confidence.
+def merge(e: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Merged events, and (event_id, source): the documents that each stands for.
+
+    Leader clustering in timeline order, then one event per leader: the earliest event of the best precision with its
+    date, up to three descriptions without a shared word, the members' distinct entities (by lower case, the first
+    spelling stays), number of merged events and of sources, mean confidence. Events without a year, or of year 0, are
+    like no other: they stay as they are.
 
     Only similar pairs decide, so what follows what is a pass over each connected component's pairs in time order; the
     pass is sequential by definition, but holds no more than the last years' followers. Equal events are one row."""
-    one = stored(_distinct_events(e, id_col), "events")
+    keyed = _keyed_events(e, id_col)
+    one = stored(_distinct_events(keyed), "events")
     pairs = stored(_candidates(one.select("year", "words", "names", "event_id"), threshold).select("a", "b"), "pairs")
     parts = connected_components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
-    a, b = (one.select(F.col("event_id").alias(n), F.struct("date", "event_id").alias(f"k{n}")) for n in ("a", "b"))
+    a, b = (one.select(F.col("event_id").alias(n), F.struct("time", "event_id").alias(f"k{n}")) for n in ("a", "b"))
     ordered = pairs.join(a, "a").join(b, "b").select(F.least("ka", "kb").alias("first"), F.greatest("ka", "kb").alias("second"))
-    rows = ordered.withColumn("node", F.xxhash64("second.event_id")).join(parts, "node").select("component", F.unix_date("second.date").alias("days"), F.col("second.event_id").alias("later"), F.col("first.event_id").alias("earlier"), F.unix_date("first.date").alias("before"))
+    rows = ordered.withColumn("node", F.xxhash64("second.event_id")).join(parts, "node").select("component", F.unix_date("second.time").alias("days"), F.col("second.event_id").alias("later"), F.col("first.event_id").alias("earlier"), F.unix_date("first.time").alias("before"))
     sorted_ = rows.repartition("component").sortWithinPartitions("component", "days", "later", "before", "earlier").drop("before")
     led = stored(sorted_.mapInArrow(_leaders, "event_id string, leader string"), "leaders")
     of = one.join(led, "event_id", "left").withColumn("leader", F.coalesce("leader", "event_id"))
     heads = led.select("leader").distinct()
-    grouped = of.join(heads, "leader", "left_semi").repartition("leader").sortWithinPartitions("leader", "date", "event_id")
-    schema = "event_id string, year int, precision string, description string, merged_from long, n_sources long, confidence double"
-    combined = grouped.select("leader", "event_id", "year", "precision", "description", "words", "n", "n_sources", "confidence").mapInArrow(_combined, schema)
-    alone = of.join(heads, "leader", "left_anti")
-    return combined.union(alone.select("event_id", "year", "precision", "description", F.col("n").alias("merged_from"), "n_sources", (F.col("confidence") / F.col("n")).alias("confidence")))
+    grouped = of.join(heads, "leader", "left_semi").repartition("leader").sortWithinPartitions("leader", "time", "event_id")
+    schema = "leader string, event_id string, year int, date date, precision string, description string, entities array<struct<entity:string,label:string>>, merged_from long, confidence double"
+    combined = grouped.select("leader", "event_id", "year", "date", "precision", "description", "words", "entities", "n", "confidence").mapInArrow(_combined, schema)
+    alone = of.join(heads, "leader", "left_anti").select("leader", "event_id", "year", "date", "precision", "description", "entities", F.col("n").alias("merged_from"), (F.col("confidence") / F.col("n")).alias("confidence"))
+    dated = stored(combined.unionByName(alone), "merged")
+    sources = keyed.select("key", "source").distinct().join(of.select("key", "leader"), "key").join(dated.select("leader", F.col("event_id").alias("named")), "leader").select(F.col("named").alias("event_id"), "source").distinct()
+    numbers = sources.groupBy("event_id").agg(F.count("source").alias("n_sources"))
+    undated = e.where(f"NOT ({DATED})").select("event_id", F.col("year").cast("int").alias("year"), "date", "precision", "description", "entities", F.lit(1).cast("long").alias("merged_from"), F.col("confidence").cast("double").alias("confidence"), F.when(F.col(id_col).isNull(), 0).otherwise(1).cast("long").alias("n_sources"))
+    out = dated.drop("leader").join(numbers, "event_id", "left").fillna({"n_sources": 0}).unionByName(undated)
+    members = sources.union(e.where(f"NOT ({DATED})").select("event_id", F.col(id_col).cast("string").alias("source"))).where("source IS NOT NULL")
+    return out.select("event_id", "year", "date", "precision", "description", "entities", "merged_from", "n_sources", "confidence"), members
+
+
+def merged(e: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id") -> DataFrame:
+    return merge(e, threshold=threshold, id_col=id_col)[0]

@@ -69,7 +69,7 @@ def corpus_steps(spark: SparkSession, tables: dict[str, DataFrame], config: dict
         out["entities"] = stored(entities.resolve(entities.valid(found)), "entities")
     if "timeline" in wanted:
         out["events"] = stored(timeline.events(clean, out["entities"]), "events")
-        out["merged_events"] = timeline.merged(out["events"], threshold=config["timeline"]["threshold"])
+        out["merged_events"], out["merged_sources"] = timeline.merge(out["events"], threshold=config["timeline"]["threshold"])
     if "analysis" in wanted:
         judged = tables["judged"]
         out["scores"] = stored(compare.with_overall(judged).select("doc_id", "year", *compare.DIMENSIONS, "overall_score"), "scores")

@@ -162,6 +162,37 @@ def test_merge_counts_equal_events(spark):
     assert [(r.year, r.merged_from, r.n_sources) for r in timeline.merged(e).collect()] == [(1914, 503, 503)]
 
 
+MERGING = "event_id string, doc_id long, year int, date date, precision string, description string, entities array<struct<entity:string,label:string>>, confidence double"
+
+
+def test_merge_keeps_undated_events(spark):
+    rows = [("a", 1, 1914, None, "year", "war began", [("Paris", "LOC")], 0.5), ("b", 2, None, None, "unknown", "war began", [("Rome", "LOC")], 0.6), ("c", 3, 0, None, "unknown", "war began", [], 0.7), ("d", None, None, None, None, "war began", [], 0.8)]
+    out, sources = timeline.merge(spark.createDataFrame(rows, MERGING))
+    got = {r.event_id: (r.year, r.merged_from, r.n_sources, r.confidence, [x.entity for x in r.entities]) for r in out.collect()}
+    assert got == {"a": (1914, 1, 1, 0.5, ["Paris"]), "b": (None, 1, 1, 0.6, ["Rome"]), "c": (0, 1, 1, 0.7, []), "d": (None, 1, 0, 0.8, [])}
+    assert {(r.event_id, r.source) for r in sources.collect()} == {("a", "1"), ("b", "2"), ("c", "3")}
+
+
+def test_merge_combines_entities_sources_and_date(spark):
+    day = datetime.date(1914, 8, 1)
+    rows = [
+        ("a", 1, 1914, None, "year", "the war began", [("Paris", "LOC"), ("Foch", "PERSON")], 0.4), ("b", 2, 1914, day, "day", "the war began", [("PARIS", "LOC"), ("Foch", "PERSON"), ("Marne", "LOC")], 0.8),
+        ("c", 1, 1914, day, "day", "the war began", [("PARIS", "LOC"), ("Foch", "PERSON"), ("Marne", "LOC")], 0.6), ("z", 9, 1990, None, "year", "other", [], 0.5),
+    ]
+    out, sources = timeline.merge(spark.createDataFrame(rows, MERGING))
+    got = {r.event_id: r for r in out.collect()}
+    assert set(got) == {"b", "z"} and got["b"].date == day and (got["b"].merged_from, got["b"].n_sources) == (3, 2) and got["b"].confidence == pytest.approx(0.6)
+    assert [(x.entity, x.label) for x in got["b"].entities] == [("Paris", "LOC"), ("Foch", "PERSON"), ("Marne", "LOC")]
+    assert sorted((r.event_id, r.source) for r in sources.collect()) == [("b", "1"), ("b", "2"), ("z", "9")]
+
+
+def test_events_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "In 1914 the war began in Paris."), (1, "In 1920 peace came to Rome."), (2, None)], "doc_id long, text string")
+    found = spark.createDataFrame([(1, "Paris", "LOC", 25, 30), (1, "Rome", "LOC", 22, 26)], "doc_id long, entity string, label string, start int, end int")
+    got = sorted((r.year, r.context, [x.entity for x in r.entities]) for r in timeline.events(docs, found).collect())
+    assert got == [(1914, "In 1914 the war began in Paris.", ["Paris"]), (1920, "In 1920 peace came to Rome.", ["Rome"])]
+
+
 def spans(spark, rows):
     return spark.createDataFrame([(1, f"e{i}", "X", s, e, c, "rule") for i, (s, e, c) in enumerate(rows)], "doc_id long, entity string, label string, start int, end int, confidence double, source string")
 

@@ -74,7 +74,7 @@ def test_full_run(spark, tmp_path):
     assert "1783-06-15" in page
     charts = sinks.chart_data(out["events"], spark.createDataFrame([("a", "b", 3), ("a", "c", 1)], "node_a string, node_b string, weight long"))
     assert {r.node: r["size"] for r in charts["nodes"].collect()} == {"a": 4, "b": 3, "c": 1}
-    assert set(run.analyse(spark, out["cleaned"].limit(1), only="timeline")) == {"cleaned", "entities", "events", "merged_events"}
+    assert set(run.analyse(spark, out["cleaned"].limit(1), only="timeline")) == {"cleaned", "entities", "events", "merged_events", "merged_sources"}
 
 
 def summaries_of(out):
