@@ -12,8 +12,9 @@ holds about one fingerprint for every 13 windows.
    compacted into one of the next. The number of ranges grows with the bytes that meet in them, so a range is about
    ``RANGE_BYTES`` at any size; runs of coarser ranges are cut finer as they are read.
 3. Results (``SubstringIndex.results``): earlier chunks look up what later batches have in common with them. Windows whose
-   anchor occurs more than once send two independent 64-bit hashes of all their words, distinct per chunk, and are
-   matched range by range: 128 bits decide, not anchors.
+   anchor occurs more than once send two 64-bit hashes of all their words, distinct per chunk, and are matched range by
+   range. The two are rolled from unrelated hashes of each word (XXH64 and XXH3), so 128 bits decide, not anchors and
+   not one hash of a word; the words themselves are not compared.
 4. Every word under a window that starts anywhere else in the index too is removed. Windows are judged on the input.
 
 An index is a folder (chunks, runs, and a manifest that names them; a new version for every step, written after what it
@@ -66,6 +67,7 @@ class Words:
         import xxhash
 
         self.window, self.gram = window, gram
+        self._second: np.ndarray | None = None
         self.tokens: list[bytes] = []
         counts = []
         for text in texts:
@@ -79,6 +81,14 @@ class Words:
         starts = np.arange(max(0, n - window + 1))
         self.valid = np.flatnonzero(np.repeat(self.ends, self.counts)[starts] >= starts + window) if len(starts) else starts
 
+    def second(self) -> np.ndarray:
+        """The words' hashes by a function unrelated to the first one: words that collide in one don't in the other."""
+        import xxhash
+
+        if self._second is None:
+            self._second = np.fromiter(map(xxhash.xxh3_64_intdigest, self.tokens), np.uint64, len(self.tokens))
+        return self._second
+
     def rolling(self, length: int, base: int) -> np.ndarray:
         """A mixed 64-bit hash of every run of length words."""
         n = len(self.hashes)
@@ -88,7 +98,7 @@ class Words:
         back = np.ones(n + 1, np.uint64)
         back[1:] = np.uint64(pow(base, -1, 1 << 64))
         back = np.cumprod(back)
-        words = self.hashes if base == BASES[0] else _mix(self.hashes + np.uint64(base))
+        words = self.hashes if base == BASES[0] else self.second()
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words * powers[:n], out=sums[1:])
         return _mix((sums[length:] - sums[:-length]) * back[: n - length + 1])

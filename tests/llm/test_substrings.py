@@ -118,3 +118,19 @@ def test_merge_of_an_arriving_batch():
         index.append((np.frombuffer(run["hashes"], np.uint64), S._flags(run["multi"], run["n"])))
         history.update(own)
     assert S.ranges(0) == 8 and S.ranges(S.RANGE_BYTES * 9) == 16 and S.ranges(S.RANGE_BYTES << 16) == 1 << 16
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    """Two words whose first hash is the same: windows that differ in them alone differ in the second."""
+    import xxhash
+
+    real = xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: real(b"same" if w in (b"left", b"right") else w))
+    rest = b" ".join(b"w%d" % i for i in range(34))
+    w = S.Words([rest + b" left", rest + b" right", rest + b" left"])
+    assert len(w.valid) == 3
+    own, distinct, repeated = w.anchors()
+    assert repeated.any()
+    _, number, first, second, multi = w.candidates(np.ones(len(distinct), bool), own, distinct)
+    assert len(set(first.tolist())) == 1 and len(set(second.tolist())) == 2
+    assert number[0] == number[2] != number[1] and multi.tolist().count(True) == 1
