@@ -6,6 +6,7 @@ Every distinct term is looked for once per text; categories then count among the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,7 +164,25 @@ def top_documents(df: DataFrame, k: int = 3, id_col: str = "doc_id") -> DataFram
 
 
 def representatives(df: DataFrame, group: str, score: str = "overall_score", id_col: str = "doc_id") -> DataFrame:
-    """The upper median document of each group by score. Groups are ranked within themselves; a report over few groups."""
-    order = Window.partitionBy(group).orderBy(F.round(score, 9), id_col)
-    ranked = df.withColumn("_rank", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    return ranked.where(F.col("_rank") == F.floor(F.col("_n") / 2) + 1).drop("_rank", "_n")
+    """The upper median document of each group by score (to nine digits), ties by id; null scores come first."""
+    return order_statistic(df, group, [F.round(score, 9), F.col(id_col)], lambda n: F.floor(n / 2) + 1)
+
+
+def order_statistic(df: DataFrame, group: str, keys: list[Column], rank: Callable[[Column], Column]) -> DataFrame:
+    """Of each group the row whose rank by the keys (nulls first) is rank(number of its rows).
+
+    No group is sorted, or even met, by one task: keys are dealt by range over (group, keys), ranges are counted for each
+    group, and only the range that holds the wanted rank numbers its rows of that group. Null groups are a group; of rows
+    alike in group and keys any may be taken, as they can't be told apart by them."""
+    named = [c.alias(f"_k{i}") for i, c in enumerate(keys)]
+    order = [F.col(f"_k{i}") for i in range(len(keys))]
+    ranged = df.select("*", *named).repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id())
+    kept = stored(ranged, "ranges")
+    counts = kept.groupBy(group, "_range").agg(F.count("*").alias("_n"))  # a row for each group and range
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_range"))
+    every = F.sum("_n").over(Window.partitionBy(group))
+    wanted = counts.select(F.col(group).alias("_group"), "_range", (upto - F.col("_n")).alias("_before"), "_n", rank(every).alias("_rank"))
+    wanted = wanted.where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n"))).select("_group", F.col("_range").alias("_r"), (F.col("_rank") - F.col("_before")).alias("_at"))
+    near = kept.join(wanted, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_r")))
+    place = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
+    return near.withColumn("_place", place).where("_place = _at").select(*df.columns)

@@ -90,6 +90,8 @@ def _matcher(terms, id_col: str):
             at, entities, names, starts, ends = [], [], [], [], []
             if terms.value:
                 for i, (text, low) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    if len(low) != len(text):  # a letter whose lower case is longer: such letters stay as they are, so that offsets hold
+                        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
                     for end, (n, categories) in automaton.iter(low):
                         for category in categories:
                             at.append(i)

@@ -492,3 +492,24 @@ def test_nearest_against_all_pairs(spark, block):
                 want[q, rank] = (i, round(-c, 6))
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+
+
+def test_gazetteer_offsets_after_long_lower_case(spark):
+    docs = spark.createDataFrame([(1, "İİİ near Paris today, PARİS and paris")], "doc_id int, text string")
+    found = entities.gazetteer_entities(docs, spark.createDataFrame([("Paris", "historical_locations")], "term string, category string"))
+    assert sorted((r.entity, r.start, r.end) for r in found.collect()) == [("Paris", 9, 14), ("paris", 32, 37)]
+
+
+def test_order_statistics_of_hot_groups(spark):
+    rng = random.Random(11)
+    rows = [(k, "all" if k % 3 else f"g{k % 7}", rng.choice([0.0, 0.0, 0.5, rng.random()])) for k in range(2000)] + [(5000 + k, None, float(k % 4)) for k in range(9)] + [(6000, "one", 1.0), (6001, "null", None)]
+    df = spark.createDataFrame(rows, "doc_id long, grp string, overall_score double").repartition(6)
+    want = {}
+    for g in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, round(r[2] or 0, 9), r[0]))
+        want[g] = own[len(own) // 2][0]
+    out = compare.representatives(df, "grp")
+    assert out.columns == df.columns and {r.grp: r.doc_id for r in out.collect()} == want
+    lowest = compare.order_statistic(df, "grp", [F.col("doc_id")], lambda n: F.lit(1))
+    assert {r.grp: r.doc_id for r in lowest.collect()} == {g: min(r[0] for r in rows if r[1] == g) for g in want}
+    assert compare.representatives(df.limit(0), "grp").count() == 0
