@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare as K
+from ..operators import embeddings as B
 from ..operators import ml as M
 from ..operators import summaries as Z
 from . import corpora as C
@@ -124,6 +125,13 @@ def document_vectors(spark, sf_dir):
     return M.document_vectors(table(spark, sf_dir, "documents")).select("doc_id", M.vector_to_array("vector").alias("vector"))
 
 
+@query()
+def document_embeddings(spark, sf_dir):
+    """Vectors by the words' company in the same corpus."""
+    d = table(spark, sf_dir, "documents")
+    return B.embed(d, B.fit(d))
+
+
 @query()
 def lda_topics(spark, sf_dir):
     return M.lda(table(spark, sf_dir, "documents"))[0]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cleaning, compare, entities, features, ml, pos, recognise, report, summaries, timeline
+from ..operators import cleaning, compare, embeddings, entities, features, ml, pos, recognise, report, summaries, timeline
 from ..sources import files, sinks
 from ..sources.scratch import stored
 from . import batches
@@ -54,7 +54,7 @@ def corpus_steps(spark: SparkSession, tables: dict[str, DataFrame], config: dict
     if not only:
         topics, stops = config["features"]["topics"], config["features"]["stop_words"]
         out |= {"tfidf_top": features.tfidf(clean, max_n=3, stop_words=stops, top=20), "bag_of_words": features.bag_of_words(clean, stop_words=stops)}
-        out["document_vectors"] = ml.document_vectors(clean).select("doc_id", ml.vector_to_array("vector").alias("vector"))
+        out["document_vectors"] = embeddings.embed(clean, embeddings.fit(clean, stop_words=stops), stop_words=stops)
         out["topics"], out["document_topics"] = ml.lda(clean, topics=topics)
         out["nmf_topics"] = stored(ml.nmf(clean, topics=topics), "topics")
         out["coherence"] = ml.coherence(clean, out["nmf_topics"])
