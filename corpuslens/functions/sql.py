@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from ..functions import dates as D
+from . import lexicons as L
 
 
 @F.pandas_udf(K.StringType())
@@ -36,7 +37,7 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("date_spans", DateSpans)
     sql = {
         "text_words(t STRING) RETURNS ARRAY<STRING>": r"regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+', 0)",
-        "period_of(y INT) RETURNS STRING": "CASE WHEN y IS NULL THEN NULL WHEN y < 1500 THEN 'Medieval' WHEN y < 1700 THEN 'Early Modern' WHEN y < 1800 THEN '18th Century' WHEN y < 1900 THEN '19th Century' WHEN y < 1918 THEN 'Early 20th Century' WHEN y < 1945 THEN 'Interwar Period' WHEN y < 1990 THEN 'Cold War' WHEN y < 2000 THEN 'Late 20th Century' ELSE '21st Century' END",
+        "period_of(y INT) RETURNS STRING": "CASE WHEN y IS NULL THEN NULL " + " ".join(f"WHEN y < {limit} THEN '{name}'" for limit, name in L.PERIODS) + f" ELSE '{L.LAST_PERIOD}' END",
     }
     for head, body in sql.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
