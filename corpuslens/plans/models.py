@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as K
 from ..operators import embeddings as B
+from ..operators import manifold as N
 from ..operators import ml as M
 from ..operators import summaries as Z
 from . import corpora as C
@@ -114,6 +115,18 @@ def pca_2d(spark, sf_dir):
     return M.pca(M.as_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), id_col="vec_id")
 
 
+@query()
+def neighbour_graph(spark, sf_dir):
+    """The 15 nearest vectors of each, by neighbour descent."""
+    points = N.distinct_vectors(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding")
+    return N.neighbour_graph(points.where("v IS NOT NULL").select("id", "v"))
+
+
+@query()
+def manifold_2d(spark, sf_dir):
+    return N.reduce(table(spark, sf_dir, "embeddings"), id_col="vec_id", vector_col="embedding")
+
+
 @query()
 def pca_dimensions(spark, sf_dir):
     s = K.dimension_scores(C.history(spark, sf_dir)).select("doc_id", F.array(*K.DIMENSIONS).alias("a"))
