@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import cleaning
 from ..operators import features as X
 from ..operators import ml as M
+from ..operators import similar as S
 from . import corpora as C
 from .registry import query, table
 
@@ -239,6 +240,18 @@ def tfidf_similarity(spark, sf_dir):
     return X.cosine_pairs(X.tfidf(d), d.where("doc_id % 100 = 0")).select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
+_LINKED = f"""{_SIMILAR[: _SIMILAR.index("SELECT q.doc_id AS a")].rstrip()}, m AS (SELECT doc_id, md5(string_agg(concat(term, ' ', CAST(round(weight * 1e9) AS BIGINT)), '|' ORDER BY term)) AS mark FROM x GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY mark) AS class_id FROM m), l AS (SELECT q.doc_id, x.doc_id AS other FROM x q JOIN x USING (term) WHERE x.doc_id <> q.doc_id GROUP BY ALL HAVING round(sum(q.weight * x.weight), 9) >= 0.8),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n, 0) AS n_links FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@query(_LINKED)
+def tfidf_similar_all(spark, sf_dir):
+    """All documents against all: how many others have a cosine of 0.8 or more."""
+    d = _docs(spark, sf_dir)
+    return S.links(S.similar(X.tfidf(d)), d)
+
+
 @query(C.WITH_HISTORY + f""", r AS (SELECT doc_id, regexp_extract_all(text, {q(X.TEMPORAL[0][0])}, 1) || regexp_extract_all(text, {q(X.TEMPORAL[1][0])}, 1) || regexp_extract_all(text, {q(X.TEMPORAL[2][0])}, 0) AS r, len({sql_words('text')}) AS n FROM history)
 SELECT doc_id, CAST(len(r) AS INT) AS n_references, coalesce(array_to_string(list_sort(list_distinct(r))[1:20], '|'), '') AS terms, round(len(r) / n, 6) AS density FROM r""")
 def temporal_features(spark, sf_dir):
