@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..operators import compare as K
 from ..operators import embeddings as B
 from ..operators import manifold as N
 from ..operators import ml as M
 from ..operators import summaries as Z
+from ..operators import valence as V
 from . import corpora as C
 from .registry import query, table
 from .text import sql_content_words, sql_sentences, sql_words
@@ -145,6 +147,29 @@ def document_embeddings(spark, sf_dir):
     return B.embed(d, B.fit(d))
 
 
+def _walk_sql(name: str, sign: int) -> str:
+    """Ten rounds of a walk from the seeds of one sign."""
+    seeds = ", ".join(f"('{w}', CAST({abs(v)} AS DOUBLE))" for w, v in L.VALENCES.items() if v * sign > 0)
+    start = f"{name}s AS (SELECT word, v / sum(v) OVER () AS m FROM (VALUES {seeds}) z(word, v) WHERE word IN (SELECT a FROM g)), {name}0 AS (SELECT * FROM {name}s)"
+    one = "{n}{i} AS (SELECT word, sum(m) AS m FROM (SELECT b AS word, 0.85 * step * m AS m FROM t JOIN {n}{j} ON a = word UNION ALL SELECT word, 0.15 * m FROM {n}s) GROUP BY word)"
+    return ", ".join([start, *[one.format(n=name, i=i + 1, j=i) for i in range(10)]])
+
+
+_LEXICON = (
+    f"{C.WITH_HISTORY}, s AS (SELECT row_number() OVER () AS id, s FROM (SELECT unnest({sql_sentences('text')}) AS s FROM history)), w AS (SELECT id, {sql_content_words('s')} AS w FROM s), e AS (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS p FROM w),"
+    " v AS (SELECT word FROM e GROUP BY word HAVING count(DISTINCT id) BETWEEN 2 AND 0.95 * (SELECT count(*) FROM s) ORDER BY count(*) DESC, word LIMIT 5000), k AS (SELECT * FROM e WHERE word IN (SELECT word FROM v)),"
+    " o AS (SELECT x.word AS a, y.word AS b FROM k x JOIN k y ON x.id = y.id AND y.p BETWEEN x.p + 1 AND x.p + 5), n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM o UNION ALL SELECT b, a FROM o) GROUP BY ALL), m AS (SELECT a, sum(n) AS own FROM n GROUP BY a),"
+    " g AS (SELECT n.a, n.b, ln(n * (SELECT sum(n) FROM n) / (x.own * y.own)) AS weight FROM n JOIN m x ON n.a = x.a JOIN m y ON n.b = y.a WHERE n.a <> n.b AND ln(n * (SELECT sum(n) FROM n) / (x.own * y.own)) > 0), t AS MATERIALIZED (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS step FROM g), "
+    f"{_walk_sql('p', 1)}, {_walk_sql('q', -1)} SELECT word, round(4 * (coalesce(p.m, 0) - coalesce(q.m, 0)) / (coalesce(p.m, 0) + coalesce(q.m, 0)), 6) AS valence FROM p10 p FULL JOIN q10 q USING (word)"
+)
+
+
+@query(_LEXICON)
+def sentiment_lexicon(spark, sf_dir):
+    """Valences spread from the built-in table's words."""
+    return V.learn(V.word_graph(C.history(spark, sf_dir))).select("word", F.round("valence", 6).alias("valence"))
+
+
 @query()
 def lda_topics(spark, sf_dir):
     return M.lda(table(spark, sf_dir, "documents"))[0]
