@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import boundaries as B
 from ..operators import cleaning
 from ..operators import features as X
 from ..operators import ml as M
@@ -340,3 +341,30 @@ def silhouette_simplified(spark, sf_dir):
 @query()
 def clean_protected(spark, sf_dir):
     return cleaning.cleaned(C.history(spark, sf_dir))
+
+
+#: The dated texts with three words cut short, which the fixed list doesn't have.
+_SHORT = "replace(replace(replace(text, 'Battle of', 'Batt. of'), 'Congress of', 'Congr. of'), 'Parliament held', 'Parl. held')"
+_TOKENS = (
+    f"{C.WITH_HISTORY}, d AS (SELECT doc_id, regexp_extract_all({_SHORT}, {q(T.NOT_SPACE + '+')}) AS own FROM history), e AS (SELECT doc_id, unnest(own) AS token, unnest(range(len(own))) AS p, unnest(list_concat([NULL], own[:len(own) - 1])) AS last, unnest(list_concat(own[2:], [NULL])) AS next FROM d),"
+    f" f AS (SELECT {_sub('token', B.EDGES, '')} AS core, last, {_sub('next', B.EDGES, '')} AS next FROM e),"
+    f" w AS (SELECT lower(regexp_replace(core, '\\.$', '')) AS type, core LIKE '%.' AS period, regexp_matches(core, '^\\p{{Ll}}') AS low, coalesce(regexp_matches(core, '^\\p{{Lu}}') AND NOT regexp_matches(last, {q(B.END)}), false) AS inside, lower(regexp_replace(next, '\\.$', '')) AS next_type, regexp_matches(next, '^[\\p{{Ll}}0-9]') AS goes FROM f WHERE regexp_matches(core, {q(B.WORD)})),"
+    " c AS (SELECT type, count(*) AS n, count(*) FILTER (period) AS n_period, count(*) FILTER (inside) AS n_inside FROM w GROUP BY type), p AS (SELECT sum(n_period) / sum(n) AS p FROM c),"
+    " g AS (SELECT w.type, count(*) FILTER (goes OR coalesce(n_inside, 0) > 0) AS n_continued FROM w LEFT JOIN c ON next_type = c.type WHERE period AND next_type IS NOT NULL GROUP BY w.type),"
+    " z AS (SELECT c.*, coalesce(n_continued, 0) AS n_continued, n - n_period AS bare, length(replace(c.type, '.', '')) AS letters, p FROM c LEFT JOIN g USING (type), p WHERE n_period > 0)"
+)
+
+
+@query(_TOKENS + f" SELECT type, n, n_period, n_continued, round(2 * (n_period * ln({B.CERTAIN}) + bare * ln(1 - {B.CERTAIN}) - n_period * ln(p) - bare * ln(1 - p)) * exp(-letters) * (length(type) - letters + 1) * pow(letters, -CAST(bare AS DOUBLE)), 6) AS score FROM z")
+def abbreviation_scores(spark, sf_dir):
+    """Words with a period: how surely it is theirs, and how often a sentence goes on behind it."""
+    words = B.tokens(C.history(spark, sf_dir).selectExpr(f"{_SHORT} AS text"))
+    return B.scores(words, B.type_counts(words)).select("type", "n", "n_period", "n_continued", F.round("score", 6).alias("score"))
+
+
+@query()
+def sentences_learned(spark, sf_dir):
+    """Sentences of the shortened texts by boundaries learned from them."""
+    d = C.history(spark, sf_dir).selectExpr("doc_id", f"{_SHORT} AS text")
+    s = B.sentences(F.col("text"), B.learn(d))
+    return d.select("doc_id", F.size(s).alias("n_sentences"), F.array_join(s, "\n").alias("sentences"))
