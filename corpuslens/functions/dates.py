@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,78 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(*rows, F.struct(F.lit(None).cast("date").alias("date"), F.lit("unknown").alias("precision"), F.lit(None).cast("int").alias("year")))
 
 
+_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+#: Words that add nothing to a date.
+FILLERS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "the", "of", "on", "in", "year", "anno", "domini", "ad", "a.d", "ce"]
+ROMAN = "^m{0,2}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+#: The grammar of what the patterns don't know: a date's parts in order, and the weight of that order. d and y are a day
+#: and a year, M a month's name, m its number.
+ORDERS = [("dMy", 1.0), ("Mdy", 0.9), ("yMd", 0.9), ("dmy", 0.8), ("ymd", 0.8), ("My", 0.7), ("mdy", 0.6), ("yM", 0.6), ("y", 0.5)]
+
+
+_FIELDS = {"d": "day", "m": "number", "M": "name", "y": "year"}
+
+
+def _roman(token: Column) -> Column:
+    """1000 to 2099, null for what is no such numeral of two letters or more. Each letter counts, less twice those before a greater one."""
+    count = lambda found: F.length(token) - F.length(F.replace(token, F.lit(found), F.lit("")))
+    total = sum((count(c) * v for c, v in zip("mdclxvi", (1000, 500, 100, 50, 10, 5, 1), strict=True)), F.lit(0))
+    total = total - sum((count(c) * v for c, v in (("cm", 100), ("cd", 100), ("xc", 10), ("xl", 10), ("ix", 1), ("iv", 1))), F.lit(0))
+    return F.when(token.rlike(ROMAN) & (F.length(token) >= 2) & total.between(1000, 2099), total)
+
+
+def _part(kind: str, token: Column) -> Column:
+    """What a token means as that part; null if it can't be one."""
+    if kind == "d":
+        return F.when(token.rlike("^[0-9]{1,2}(st|nd|rd|th)?$"), F.regexp_extract(token, "^[0-9]+", 0).cast("int"))
+    if kind == "m":
+        return F.when(token.rlike("^[0-9]{1,2}$"), token.try_cast("int"))
+    if kind == "y":
+        return F.coalesce(F.when(token.rlike("^(1[0-9]{3}|20[0-9]{2})$"), token.try_cast("int")), _roman(token))
+    place = lambda names: F.nullif(F.array_position(F.array(*[F.lit(n) for n in names]), token), F.lit(0)).cast("int")
+    return F.coalesce(place(_NAMES), place([n[:3] for n in _NAMES]), F.when(token == "sept", 9))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once: it is bound as the only element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _reading(order: str, parts: Column) -> Column:
+    """The date that the parts give in this order; null if they don't fit it. A day or month that is not said is the first."""
+    own = {k.lower(): F.get(parts, i)[_FIELDS[k]].cast("string") for i, k in enumerate(order)}
+    return F.when(F.size(parts) == len(order), _date(own["y"], own.get("m", "01"), own.get("d", "01")))
+
+
+def parse_loose(text: Column) -> Column:
+    """struct(date, precision, year) by the heaviest order of the grammar that all of the text's tokens fit as a valid date; null if there is none.
+
+    Tokens are parted by space, commas, slashes, hyphens and periods; fillers are left out; letters may be of either
+    case. The precision is what the date shows: a day unless it is the first, a month unless it is January, else a year."""
+    tokens = F.filter(F.split(F.lower(text), r"[\s,/.\-]+"), lambda t: (t != "") & ~t.isin(FILLERS))
+    meant = F.transform(tokens, lambda t: F.struct(*[_part(k, t).alias(f) for k, f in _FIELDS.items()]))
+    heaviest = [o for o, _ in sorted(ORDERS, key=lambda x: -x[1])]
+    date = _let(meant, lambda parts: F.coalesce(*[_reading(o, parts) for o in heaviest]))
+    precision = lambda d: F.when(F.day(d) != 1, "day").when(F.month(d) != 1, "month").otherwise("year")
+    return _let(date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), precision(d).alias("precision"), F.year(d).alias("year"))))
+
+
+def parse_any(text: Column) -> Column:
+    """As parse_date; what the patterns leave unknown is read by the grammar."""
+    return _let(parse_date(text), lambda known: F.when(known["date"].isNotNull(), known).otherwise(F.coalesce(parse_loose(text), known)))
+
+
+_DAY = r"[0-9]{1,2}(?:st|nd|rd|th)?"
+#: Dates in words that the patterns don't find as a whole.
+LOOSE = [rf"(?i)\b{_DAY}\s+(?:of\s+)?(?:{_MONTHS})[a-z]*\.?,?\s+{_YEAR}\b", rf"(?i)\b(?:{_MONTHS})[a-z]*\.?\s+(?:the\s+)?{_DAY},?\s+{_YEAR}\b", r"\bM[MDCLXVI]{3,}\b"]
+
+
+def loose_mentions(text: Column) -> Column:
+    """Dates in words and Roman years that the grammar accepts, pattern by pattern, duplicates included."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in LOOSE])
+    return F.filter(found, lambda x: parse_loose(x).isNotNull())
+
+
 def mentions(text: Column) -> Column:
     """All matches, pattern by pattern, duplicates included."""
     return F.concat(*[F.regexp_extract_all(text, F.lit(pattern(i)), F.lit(0)) for i in range(len(PATTERNS))])

@@ -15,15 +15,15 @@ from .graph import connected_components
 REACH = 200
 
 
-def _mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, m: distinct mentions in pattern order, each with what it parses to and its context; a document's are in its row."""
-    one = lambda x: F.struct(x.alias("date_str"), D.parse_date(x).alias("p"), context(F.col(text_col), x).alias("context"))
-    return docs.select(id_col, F.array_distinct(F.transform(D.mentions(F.col(text_col)), one)).alias("m"))
+def _mentions(docs: DataFrame, id_col: str, text_col: str, loose: bool = False) -> DataFrame:
+    """id, m: distinct mentions in pattern order, each with what it parses to and its context; a document's are in its row. loose: dates in words and Roman years come after those of the patterns, and the grammar reads what the patterns leave unknown."""
+    one = lambda x: F.struct(x.alias("date_str"), (D.parse_any(x) if loose else D.parse_date(x)).alias("p"), context(F.col(text_col), x).alias("context"))
+    return docs.select(id_col, F.array_distinct(F.transform(F.concat(D.mentions(F.col(text_col)), D.loose_mentions(F.col(text_col))) if loose else D.mentions(F.col(text_col)), one)).alias("m"))
 
 
-def date_mentions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def date_mentions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", loose: bool = False) -> DataFrame:
     """id, seq, date_str, date, precision, year: distinct mentions in pattern order, the first of equals; narrow."""
-    rows = _mentions(docs, id_col, text_col).select(id_col, F.posexplode("m").alias("seq", "x"))
+    rows = _mentions(docs, id_col, text_col, loose).select(id_col, F.posexplode("m").alias("seq", "x"))
     return rows.select(id_col, "seq", "x.date_str", F.col("x.p.date").alias("date"), F.col("x.p.precision").alias("precision"), F.col("x.p.year").alias("year"))
 
 
