@@ -39,32 +39,38 @@ def month_number(name: Column) -> Column:
     return F.when(place > 0, place.cast("string")).otherwise("1")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once: it is bound as the only element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _date(year: Column, month: Column | str, day: Column | str) -> Column:
     part = lambda c, n: F.lpad(c if isinstance(c, Column) else F.lit(c), n, "0")
-    text = F.concat(part(year, 4), F.lit("-"), part(month, 2), F.lit("-"), part(day, 2))
-    return F.when((F.length(text) == 10) & (F.length(year) <= 4), F.try_to_date(text, "yyyy-MM-dd"))
+    text = lambda y: F.concat(part(y, 4), F.lit("-"), part(month, 2), F.lit("-"), part(day, 2))
+    return _let(year, lambda y: F.when(F.length(y) <= 4, _let(text(y), lambda t: F.when(F.length(t) == 10, t.try_cast("date")))))
 
 
 def parse_date(text: Column) -> Column:
     """struct(date, precision, year): the first pattern that fits at the start and gives a valid date.
 
     1914-1918 is the year 1914, 1960's the year 1960, 1960s the middle of the decade; BCE keeps a positive year; seasons
-    and what fits nothing are unknown."""
-    g = lambda i, n: F.nullif(F.regexp_extract(text, pattern(i, True), n), F.lit(""))
+    and what fits nothing are unknown. A pattern's groups are read only where it fits, and what they give is made once."""
+    g = lambda i, n: F.regexp_extract(text, pattern(i, True), n)
     number = lambda c: c.try_cast("int")
     century = lambda c: ((number(c) - 1) * 100 + 50).cast("string")
     dates = [
-        (_date(g(0, 1), g(0, 2), g(0, 3)), "day"),
-        (_date(g(1, 3), g(1, 2), g(1, 1)), "day"),
-        (_date(g(2, 2), month_number(g(2, 1)), "01"), "month"),
-        (_date(g(3, 1), "06", "15"), "year"),
-        (_date((number(g(4, 1)) + 5).cast("string"), "06", "15"), "decade"),
-        (_date(century(g(5, 1)), "06", "15"), "century"),
-        (_date(g(7, 1), "06", "15"), "year"),
-        (_date(g(8, 1), "06", "15"), "approximate"),
-        (_date(century(g(10, 2)), "06", "15"), "century"),
+        (0, lambda: _date(g(0, 1), g(0, 2), g(0, 3)), "day"),
+        (1, lambda: _date(g(1, 3), g(1, 2), g(1, 1)), "day"),
+        (2, lambda: _date(g(2, 2), month_number(g(2, 1)), "01"), "month"),
+        (3, lambda: _date(g(3, 1), "06", "15"), "year"),
+        (4, lambda: _date((number(g(4, 1)) + 5).cast("string"), "06", "15"), "decade"),
+        (5, lambda: _date(century(g(5, 1)), "06", "15"), "century"),
+        (7, lambda: _date(g(7, 1), "06", "15"), "year"),
+        (8, lambda: _date(g(8, 1), "06", "15"), "approximate"),
+        (10, lambda: _date(century(g(10, 2)), "06", "15"), "century"),
     ]
-    rows = [F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(p).alias("precision"), F.year(d).alias("year"))) for d, p in dates]
+    found = lambda p: lambda d: F.when(d.isNotNull(), F.struct(d.alias("date"), F.lit(p).alias("precision"), F.year(d).alias("year")))
+    rows = [F.when(text.rlike(pattern(i, True)), _let(made(), found(p))) for i, made, p in dates]
     return F.coalesce(*rows, F.struct(F.lit(None).cast("date").alias("date"), F.lit("unknown").alias("precision"), F.lit(None).cast("int").alias("year")))
 
 
@@ -100,11 +106,6 @@ def _part(kind: str, token: Column) -> Column:
     return F.coalesce(place(_NAMES), place([n[:3] for n in _NAMES]), F.when(token == "sept", 9))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value made once: it is bound as the only element of an array."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _reading(order: str, parts: Column) -> Column:
     """The date that the parts give in this order; null if they don't fit it. A day or month that is not said is the first."""
     own = {k.lower(): F.get(parts, i)[_FIELDS[k]].cast("string") for i, k in enumerate(order)}
@@ -140,9 +141,13 @@ def loose_mentions(text: Column) -> Column:
     return F.filter(found, lambda x: parse_loose(x).isNotNull())
 
 
+#: By pattern, the characters that a match can begin with: a look at one comes before the bounds and words are tried.
+_FIRST = ["0-9", "0-9", "jfmasond", "0-9", "0-9", "0-9", "0-9", "0-9", "ca", "safw", "eml"]
+
+
 def mentions(text: Column) -> Column:
     """All matches, pattern by pattern, duplicates included."""
-    return F.concat(*[F.regexp_extract_all(text, F.lit(pattern(i)), F.lit(0)) for i in range(len(PATTERNS))])
+    return F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i)(?=[{first}]){p}"), F.lit(0)) for first, (p, _) in zip(_FIRST, PATTERNS, strict=True)])
 
 
 def decade(year: Column) -> Column:

@@ -15,15 +15,22 @@ from .graph import connected_components
 REACH = 200
 
 
-def _mentions(docs: DataFrame, id_col: str, text_col: str, loose: bool = False) -> DataFrame:
-    """id, m: distinct mentions in pattern order, each with what it parses to and its context; a document's are in its row. loose: dates in words and Roman years come after those of the patterns, and the grammar reads what the patterns leave unknown."""
-    one = lambda x: F.struct(x.alias("date_str"), (D.parse_any(x) if loose else D.parse_date(x)).alias("p"), context(F.col(text_col), x).alias("context"))
-    return docs.select(id_col, F.array_distinct(F.transform(F.concat(D.mentions(F.col(text_col)), D.loose_mentions(F.col(text_col))) if loose else D.mentions(F.col(text_col)), one)).alias("m"))
+def _mentions(docs: DataFrame, id_col: str, text_col: str, loose: bool = False, contexts: bool = False) -> DataFrame:
+    """id, text, m: distinct mentions in pattern order, each with what it parses to and, if asked, its context; a document's are in its row. loose: dates in words and Roman years come after those of the patterns, and the grammar reads what the patterns leave unknown."""
+    text = F.col(text_col)
+    found = F.array_distinct(F.concat(D.mentions(text), D.loose_mentions(text)) if loose else D.mentions(text))
+    one = lambda x: F.struct(x.alias("date_str"), (D.parse_any(x) if loose else D.parse_date(x)).alias("p"), *([context(text, x).alias("context")] if contexts else []))
+    return docs.select(id_col, text.alias("_text"), F.transform(found, one).alias("m"))
+
+
+def _each(m: DataFrame) -> DataFrame:
+    """m's columns but m, seq, x: a row for each element. The explosion is an outer one, as Spark filters by the array's size before an inner one and makes the array for that once more."""
+    return m.select(*[c for c in m.columns if c != "m"], F.posexplode_outer("m").alias("seq", "x")).where("seq IS NOT NULL")
 
 
 def date_mentions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", loose: bool = False) -> DataFrame:
     """id, seq, date_str, date, precision, year: distinct mentions in pattern order, the first of equals; narrow."""
-    rows = _mentions(docs, id_col, text_col, loose).select(id_col, F.posexplode("m").alias("seq", "x"))
+    rows = _each(_mentions(docs, id_col, text_col, loose).drop("_text"))
     return rows.select(id_col, "seq", "x.date_str", F.col("x.p.date").alias("date"), F.col("x.p.precision").alias("precision"), F.col("x.p.year").alias("year"))
 
 
@@ -53,15 +60,17 @@ def confidence(text: Column, date_str: Column, n_entities: Column) -> Column:
 def events(docs: DataFrame, entities: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10) -> DataFrame:
     """event_id, id, seq, description, date, precision, year, decade, century, date_str, context, entities, confidence."""
     kind = "array<struct<entity:string,label:string>>"
-    m = _mentions(docs, id_col, text_col).where(F.size("m") > 0)
+    own_context = F.col("x.context")
     if entities is None:
-        m = m.withColumn("_e", F.array().cast(kind))
+        # contexts are cut behind the explosion, so that queries without them don't make any
+        m, own_context = _mentions(docs, id_col, text_col).withColumn("_e", F.array().cast(kind)), context(F.col("_text"), F.col("date_str"))
     else:
+        m = _mentions(docs, id_col, text_col, contexts=True).drop("_text")
         # contexts and entities meet, texts don't move; rows that repeat an id each meet that id's entities
         own = entities.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", F.struct("entity", "label").alias("x")))), lambda s: s["x"]).alias("_e"))
         m = m.join(own, id_col, "left").withColumn("_e", F.coalesce("_e", F.array().cast(kind)))
-    e = m.select(id_col, "_e", F.posexplode("m").alias("seq", "x"))
-    e = e.select(id_col, "seq", "x.date_str", F.col("x.p.date").alias("date"), F.col("x.p.precision").alias("precision"), F.col("x.p.year").alias("year"), "x.context", "_e")
+    e = _each(m).withColumn("date_str", F.col("x.date_str"))
+    e = e.select(id_col, "seq", "date_str", F.col("x.p.date").alias("date"), F.col("x.p.precision").alias("precision"), F.col("x.p.year").alias("year"), own_context.alias("context"), "_e")
     e = e.withColumn("entities", F.slice(F.filter("_e", lambda x: F.contains(F.lower("context"), F.lower(x["entity"]))), 1, most)).drop("_e")
     e = e.withColumn("description", description(F.col("context"), F.col("date_str")))
     e = e.withColumn("decade", D.decade(F.col("year"))).withColumn("century", D.century(F.col("year")))
