@@ -13,12 +13,14 @@ nothing, and the dictionary alone decides then.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,32 +142,36 @@ def forward_backward(e: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tup
     return gamma, expected, np.log(scale).sum(axis=1)
 
 
-def by_length(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[np.ndarray]:
-    """Rows of places (array<int>) as matrices, all rows of one length of a batch together, of bounded size."""
-    for batch in batches:
-        groups: dict[int, list[list[int]]] = {}
-        for row in batch.column(0).to_pylist():
-            groups.setdefault(len(row), []).append(row)
-        for n, rows in groups.items():
-            step = max(1, most // n)
-            for at in range(0, len(rows), step):
-                yield np.array(rows[at : at + step], np.int64)
+def by_length(rows: Iterable[list[int]], most: int = 1 << 16) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Rows of places as matrices, all rows of one length together, of bounded size, and which rows they are."""
+    groups: dict[int, list[int]] = {}
+    rows = list(rows)
+    for i, row in enumerate(rows):
+        groups.setdefault(len(row), []).append(i)
+    for n, own in groups.items():
+        step = max(1, most // max(n, K))
+        for at in range(0, len(own), step):
+            yield own[at : at + step], np.array([rows[i] for i in own[at : at + step]], np.int64)
 
 
 COUNTS = "kind string, place int, counts array<double>"
 
 
 def _expected(start: np.ndarray, moves: np.ndarray, words: np.ndarray):
-    """Sentences to expected counts: kind s (start), m (moves, by tag), w (words, by key) and l (log-likelihood)."""
+    """Distinct sentences and how often they occur, to expected counts: kind s (start), m (moves, by tag), w (words, by key) and l (log-likelihood)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, m, w, total = np.zeros(K), np.zeros((K, K)), np.zeros_like(words), 0.0
-        for places in by_length(batches):
-            gamma, expected, log_p = forward_backward(words[places], start, moves)
-            s += gamma[:, 0].sum(axis=0)
-            m += expected.sum(axis=0)
-            np.add.at(w, places, gamma)
-            total += log_p.sum()
+        for batch in batches:
+            often = batch.column(1).to_numpy(zero_copy_only=False)
+            for own, places in by_length(batch.column(0).to_pylist()):
+                n = often[own].astype(np.float64)
+                gamma, expected, log_p = forward_backward(words[places], start, moves)
+                gamma *= n[:, None, None]
+                s += gamma[:, 0].sum(axis=0)
+                m += np.tensordot(n, expected, 1)
+                np.add.at(w, places, gamma)
+                total += n @ log_p
         used = np.flatnonzero(w.any(axis=1))
         kinds = ["s", *["m"] * K, *["w"] * len(used), "l"]
         rows = [s.tolist(), *m.tolist(), *w[used].tolist(), [total]]
@@ -180,15 +186,16 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 8, vocabulary: int = 20_000) -> Model:
-    """Learns from all texts, without labels."""
+    """Learns from all texts, without labels. Sentences that are alike are one row with their number, as they are expected to teach the same."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [keys_of(s) for text in batch.column(0).to_pylist() for s in sentences(text or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["keys"])
+            rows = Counter(tuple(keys_of(s)) for text in batch.column(0).to_pylist() for s in sentences(text or ""))
+            yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.string())), pa.array(list(rows.values()), pa.int64())], names=["keys", "n"])
 
-    cut = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(split, "keys array<string>"), "keys", compression="zstd")
-    often = cut.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(vocabulary).collect()
+    own = docs.select(F.col(text_col).alias("text")).mapInArrow(split, "keys array<string>, n long")
+    cut = stored(own.groupBy("keys").agg(F.sum("n").alias("n")), "keys", compression="zstd")
+    often = cut.select(F.explode("keys").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(vocabulary).collect()
     known = [r.key for r in often]
     places = {k: i for i, k in enumerate(dict.fromkeys([*known, *CLASSES]))}
     mask = np.array([allowed(k) for k in places]).reshape(-1, K)
@@ -197,9 +204,10 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 8, vocabulary:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[model.place(k) for k in keys] for keys in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["places"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], names=["places", "n"])
 
-    numbered = stored(cut.mapInArrow(number, "places array<int>"), "places", compression="zstd")
+    numbered = cut.select("keys", "n").mapInArrow(number, "places array<int>, n long")
+    numbered = stored(numbered.groupBy("places").agg(F.sum("n").alias("n")), "places", compression="zstd")
     for _ in range(rounds):
         sums = numbered.mapInArrow(_expected(model.start, model.moves, model.words), COUNTS).groupBy("kind", "place").agg(F.array(*[F.sum(F.get("counts", i)) for i in range(K)]).alias("counts")).collect()
         start, moves, words, total = np.zeros(K), np.zeros((K, K)), np.zeros_like(model.words), 0.0
@@ -228,6 +236,22 @@ def best_path(e: np.ndarray, start: np.ndarray, moves: np.ndarray) -> list[int]:
     return path[::-1]
 
 
+def best_paths(e: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """``best_path`` of sentences of one length: e is sentences x words x tags."""
+    with np.errstate(divide="ignore"):
+        log_e, log_moves, back = np.log(e), np.log(moves), []
+        best = np.log(start) + log_e[:, 0]
+    for t in range(1, e.shape[1]):
+        through = best[:, :, None] + log_moves
+        back.append(through.argmax(axis=1))
+        best = through.max(axis=1) + log_e[:, t]
+    path, row = np.empty(e.shape[:2], np.int64), np.arange(len(e))
+    path[:, -1] = best.argmax(axis=1)
+    for t in range(len(back) - 1, -1, -1):
+        path[:, t] = back[t][row, path[:, t + 1]]
+    return path
+
+
 def tag(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text, tokens: array of (text, pos, start, sentence); narrow."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -238,14 +262,24 @@ def tag(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
         m = Model(*shared.value, [])
         start, moves = m.start + 1e-9, m.moves + 1e-9  # a path always exists
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                row = []
-                for number, tokens in enumerate(sentences(text or "")):
-                    e = m.words[[m.place(k) for k in keys_of(tokens)]]
-                    row += [{"text": w, "pos": TAGS[t], "start": at, "sentence": number} for (w, at), t in zip(tokens, best_path(e, start, moves), strict=True)]
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, item)], names=[id_col, text_col, "tokens"])
+            cut = [[(tuple(keys_of(tokens)), tokens) for tokens in sentences(text or "")] for text in batch.column(1).to_pylist()]
+            # sentences that are alike within a batch have one best path
+            distinct = list(dict.fromkeys(keys for row in cut for keys, _ in row))
+            paths: dict[tuple, list[str]] = {}
+            for own, places in by_length([m.place(k) for k in keys] for keys in distinct):
+                for i, path in zip(own, best_paths(m.words[places], start, moves).tolist(), strict=True):
+                    paths[distinct[i]] = [TAGS[t] for t in path]
+            words, tags, places, numbers, bounds = [], [], [], [], [0]
+            for row in cut:
+                for number, (keys, tokens) in enumerate(row):
+                    words += [w for w, _ in tokens]
+                    places += [at for _, at in tokens]
+                    tags += paths[keys]
+                    numbers += [number] * len(tokens)
+                bounds.append(len(words))
+            columns = zip((words, tags, places, numbers), item.value_type, strict=True)
+            out = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in columns], fields=list(item.value_type)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=[id_col, text_col, "tokens"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, tokens array<struct<text: string, pos: string, start: int, sentence: int>>")
 
@@ -260,37 +294,46 @@ def proper_noun_entities(tagged: DataFrame, *, id_col: str = "doc_id", text_col:
     """id, entity, label, start, end, confidence, source: PERSON is a title and the proper nouns after it, EVENT is proper nouns and the event's noun after them, DATE is a period's word or a year of four digits and its era. Letters' case doesn't matter; longest runs, within a sentence; narrow."""
     kind = tagged.schema[id_col].dataType.simpleString()
     titles = {tuple(t.lower().split()) for t in L.TITLES}
+    begins = {t[0] for t in titles}
 
-    def spans(tokens: list[dict]) -> Iterator[tuple[int, int, str]]:
+    def spans(low: list[str], pos: list[str], sentence: list[int]) -> Iterator[tuple[int, int, str]]:
         """First token, token after the last, label."""
-        low, n = [t["text"].lower() for t in tokens], 0
-        while n < len(tokens):
-            inside = lambda k: k < len(tokens) and tokens[k]["sentence"] == tokens[n]["sentence"]  # noqa: E731, B023
-            title = next((k for k in (2, 1) if tuple(low[n : n + k]) in titles), 0)
+        n, size = 0, len(low)
+        while n < size:
+            title = next((k for k in (2, 1) if tuple(low[n : n + k]) in titles), 0) if low[n] in begins else 0
             end = n + title
-            while inside(end) and tokens[end]["pos"] == "PROPN" and low[end] not in EVENT_NOUNS:
+            while end < size and sentence[end] == sentence[n] and pos[end] == "PROPN" and low[end] not in EVENT_NOUNS:
                 end += 1
+            inside = end < size and sentence[end] == sentence[n]
             if title and end > n + title:
                 yield n, end, "PERSON"
-            elif not title and end > n and inside(end) and low[end] in EVENT_NOUNS:
+            elif not title and end > n and inside and low[end] in EVENT_NOUNS:
                 end += 1
                 yield n, end, "EVENT"
             elif low[n] in PERIOD_WORDS:
                 yield n, n + 1, "DATE"
                 end = n + 1
-            elif len(low[n]) == 4 and low[n].isdigit() and inside(n + 1) and low[n + 1] in ERAS:
+            elif len(low[n]) == 4 and low[n].isdigit() and n + 1 < size and sentence[n + 1] == sentence[n] and low[n + 1] in ERAS:
                 end = n + 2
                 yield n, end, "DATE"
             n = max(end, n + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
-            for i, (text, tokens) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for first, end, label in spans(tokens or []):
-                    start, stop = tokens[first]["start"], tokens[end - 1]["start"] + len(tokens[end - 1]["text"])
+            at, found, first_token = [], [], 0
+            tokens = batch.column(2)
+            sizes = [n or 0 for n in pc.list_value_length(tokens).to_pylist()]
+            # field by field: a Python value for each token's struct would take most of the time
+            words, pos, starts, sentence = (tokens.flatten().field(c).to_pylist() for c in ("text", "pos", "start", "sentence"))
+            low = [w.lower() for w in words]
+            for i, (text, size) in enumerate(zip(batch.column(1).to_pylist(), sizes, strict=True)):
+                own = slice(first_token, first_token + size)
+                for first, end, label in spans(low[own], pos[own], sentence[own]):
+                    last = first_token + end - 1
+                    start, stop = starts[first_token + first], starts[last] + len(words[last])
                     at.append(i)
                     found.append((text[start:stop], label, start, stop))
+                first_token += size
             columns = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)]], names=[id_col, "entity", "label", "start", "end"])
 

@@ -93,3 +93,24 @@ def test_edges(spark):
     assert sorted(len(r.tokens) for r in got) == [0, 0, 1, 4, 30000]
     empty = P.fit(odd.limit(0), rounds=1)
     assert empty.likelihood == [0.0] and [t.pos for t in P.tag(odd.where("doc_id = 2 AND text = 'Word'"), empty).first().tokens][0] in P.possible("^Word")
+
+
+def test_sentences_that_are_alike_are_learned_from_once(spark, monkeypatch):
+    """A thousand copies of a text make as many rows for the rounds as one does, and teach as much as they are."""
+    text, other = "The old king spoke in Paris. It was late.", "A new town grew."
+    one = spark.createDataFrame([(i, text) for i in range(1000)] + [(1000 + i, other) for i in range(500)], "doc_id long, text string").repartition(3)
+    sizes, kept = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name, **options: (made := kept(df, name, **options), sizes.append((name, made.count())))[0])
+    many = P.fit(one, rounds=3)
+    assert sizes == [("keys", 3), ("places", 3)]
+    two = P.fit(spark.createDataFrame([(0, text), (1, text), (2, other)], "doc_id long, text string"), rounds=3)
+    assert np.allclose(many.moves, two.moves) and many.likelihood == pytest.approx([500 * x for x in two.likelihood])
+    same = P.tag(one, many)
+    assert same.select("tokens").distinct().count() == 2
+
+
+def test_best_paths_together():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7):
+        e, start, moves = rng.random((40, n, P.K)), rng.random(P.K), rng.random((P.K, P.K))
+        assert P.best_paths(e, start, moves).tolist() == [P.best_path(x, start, moves) for x in e]
