@@ -50,6 +50,7 @@ def kmeans(vectors: DataFrame, *, id_col: str, k: int = 5) -> tuple[DataFrame, f
 
 def pca(vectors: DataFrame, *, id_col: str, k: int = 2) -> DataFrame:
     """id, x0 ... : principal components; also stands in for the manifold reduction that only feeds plots."""
+    vectors = stored(vectors, "vectors")  # the fit reads them more than once
     made = PCA(k=k, inputCol="vector", outputCol="p").fit(vectors).transform(vectors).select(id_col, vector_to_array("p").alias("p"))
     return made.select(id_col, *[F.col("p")[i].alias(f"x{i}") for i in range(k)])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..sources.scratch import stored
 from . import compare as K
 
 
@@ -22,9 +23,10 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (
     )
 
 
-def most_common(df: DataFrame, column: str, *by: str) -> DataFrame:
-    """by, value, n: the most frequent non-null value."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+def most_common(df: DataFrame, column: str, *by: str, weight: str | None = None) -> DataFrame:
+    """by, value, n: the most frequent non-null value. weight: a column that says how many rows each row stands for."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(n.alias("n"))
     if by:
         order = Window.partitionBy(*by).orderBy(F.desc("n"), "value")
         return counts.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
@@ -40,8 +42,11 @@ def executive(j: DataFrame) -> DataFrame:
 
 def ideology(j: DataFrame) -> DataFrame:
     """ideology, n, mean score, number of distinct themes, and the themes (a fixed table's, so few), sorted."""
-    counts = j.groupBy("ideology").agg(F.count("*").alias("n"), F.avg("political_ideology").alias("avg_score"))
-    t = j.select("ideology", F.explode("political_themes").alias("theme")).groupBy("ideology").agg(F.array_sort(F.collect_set("theme")).alias("t"))
+    # documents alike in both count as one row, so that their texts are scored once
+    alike = j.groupBy("ideology", "political_themes").agg(F.count("*").alias("n"), F.sum("political_ideology").alias("sum"), F.count("political_ideology").alias("known"))
+    alike = stored(alike, "ideologies")
+    counts = alike.groupBy("ideology").agg(F.sum("n").alias("n"), F.try_divide(F.sum("sum"), F.sum("known")).alias("avg_score"))
+    t = alike.select("ideology", F.explode("political_themes").alias("theme")).groupBy("ideology").agg(F.array_sort(F.collect_set("theme")).alias("t"))
     found = t.select("ideology", F.size("t").cast("long").alias("n_themes"), F.array_join("t", "|").alias("themes"))
     return counts.join(found, "ideology", "left").fillna({"n_themes": 0, "themes": ""})
 
@@ -75,9 +80,12 @@ def social_impact(j: DataFrame) -> DataFrame:
 def clusters(j: DataFrame, cluster: str) -> DataFrame:
     """Clusters of more than one document: size, mean overall score, mode of ideology and economic system, distinct ideologies."""
     overall = sum((F.col(d) for d in K.DIMENSIONS), F.lit(0.0)) / len(K.DIMENSIONS)
-    base = j.groupBy(cluster).agg(F.count("*").alias("n"), F.avg(overall).alias("avg_overall"), F.countDistinct("ideology").alias("n_ideologies")).where("n > 1")
+    # one row for each combination of the two modes' values, so that texts are scored once
+    alike = j.groupBy(cluster, "ideology", "economic_system").agg(F.count("*").alias("n"), F.sum(overall).alias("sum"), F.count(overall).alias("known"))
+    alike = stored(alike, "clusters")
+    base = alike.groupBy(cluster).agg(F.sum("n").alias("n"), F.try_divide(F.sum("sum"), F.sum("known")).alias("avg_overall"), F.countDistinct("ideology").alias("n_ideologies")).where("n > 1")
     for column in ("ideology", "economic_system"):
-        base = base.join(most_common(j, column, cluster).select(cluster, F.col("value").alias(f"top_{column}")), cluster, "left")
+        base = base.join(most_common(alike, column, cluster, weight="n").select(cluster, F.col("value").alias(f"top_{column}")), cluster, "left")
     return base
 
 
