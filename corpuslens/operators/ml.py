@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, PCA, CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import stored
-from .features import ngrams
+from .features import ngrams, spread
 
 SEED = 42
 
@@ -38,6 +41,7 @@ def kmeans(vectors: DataFrame, *, id_col: str, k: int = 5) -> tuple[DataFrame, f
     """(id, cluster), silhouette with squared Euclidean distances; one cluster or as many as rows have none."""
     vectors = stored(vectors, "vectors")  # read by every round
     n = vectors.count()
+    vectors = dealt(vectors, n)
     # with fewer distinct vectors than clusters there are fewer clusters, which the library's rounds don't expect
     k = max(1, vectors.select(vector_to_array("vector").alias("v")).distinct().limit(k).count())
     if k == 1:
@@ -55,17 +59,42 @@ def pca(vectors: DataFrame, *, id_col: str, k: int = 2) -> DataFrame:
     return made.select(id_col, *[F.col("p")[i].alias(f"x{i}") for i in range(k)])
 
 
-def _bag(docs: DataFrame, id_col: str, text_col: str, features: int, min_df: float, max_df: float):
-    words = _words(docs, id_col, text_col)
-    model = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=features, minDF=min_df, maxDF=max_df).fit(words)
-    return model, model.transform(words).select(id_col, "counts")
+SLICE = 256  # rows that are Python or dense at a time
+ROWS = 1 << 17  # vectors that a task should read
+
+
+def _vocabulary(words: DataFrame, n: int, features: int, min_df: int, max_df: float) -> list[str]:
+    """The most frequent words in at least min_df of n texts and at most the share max_df of them, ties by word; only they reach the driver."""
+
+    def tally(batches):
+        for batch in batches:
+            total, df = Counter(), Counter()
+            for at in range(0, batch.num_rows, SLICE):
+                for own in batch.column(0).slice(at, SLICE).to_pylist():
+                    total.update(own)
+                    df.update(set(own))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([df[w] for w in total], pa.int64())], names=["word", "n", "df"])
+
+    sums = words.select("words").mapInArrow(tally, "word string, n long, df long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return [r.word for r in sums.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).orderBy(F.desc("n"), "word").limit(features).collect()]
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """n rows in so many partitions that none holds many more than ROWS: compressed, many rows are few bytes and so few splits."""
+    wanted = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS))
+    return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
 
 
 def lda(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topics: int = 10, words: int = 10, rounds: int = 10, features: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(topic, rank, word, weight), (id, topics: array of shares)."""
-    model, bag = _bag(docs, id_col, text_col, features, 2, 0.95)
+    words_of, n = _words(spread(docs.select(id_col, text_col)), id_col, text_col), docs.count()
+    vocabulary = _vocabulary(words_of, n, features, 2, 0.95)
+    if not vocabulary:
+        return docs.sparkSession.createDataFrame([], "topic int, rank int, word string, weight double"), docs.select(id_col, F.array().cast("array<double>").alias("topics"))
+    # every round reads the counts, not the texts
+    bag = dealt(stored(CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="counts").transform(words_of).select(id_col, "counts"), "counts"), n)
     fitted = LDA(k=topics, maxIter=rounds, seed=SEED, optimizer="online", optimizeDocConcentration=True, featuresCol="counts").fit(bag)
-    names = F.array(*[F.lit(w) for w in model.vocabulary]) if model.vocabulary else F.array()
+    names = F.array(*[F.lit(w) for w in vocabulary])
     top = fitted.describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
     top = top.select("topic", (F.col("rank") + 1).alias("rank"), F.get(names, F.col("x.termIndices")).alias("word"), F.col("x.termWeights").alias("weight"))
     return top, fitted.transform(bag).select(id_col, vector_to_array("topicDistribution").alias("topics"))
@@ -74,15 +103,23 @@ def lda(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
 def nmf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topics: int = 10, words: int = 10, rounds: int = 10, features: int = 3000, inner: int = 5) -> DataFrame:
     """topic, rank, word, weight. Multiplicative updates: document weights are solved where the rows are; only the topics x features sums, whose size does not depend on the input, reach the driver."""
     spark = docs.sparkSession
-    model, bag = _bag(docs, id_col, text_col, features, 2, 0.98)
-    vocabulary = model.vocabulary
-    cells = bag.select(vector_to_array("counts", "float32").alias("v"))
+    words_of, n = _words(spread(docs.select(id_col, text_col)), id_col, text_col), docs.count()
+    vocabulary = _vocabulary(words_of, n, features, 2, 0.98)
     v = len(vocabulary)
     if not v:
         return spark.createDataFrame([], "topic int, rank int, word string, weight double")
+
+    def numbered(batches):
+        place = {w: i for i, w in enumerate(vocabulary)}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = [Counter(place[w] for w in own if w in place) for own in batch.column(0).slice(at, SLICE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in rows], pa.list_(pa.int32())), pa.array([list(c.values()) for c in rows], pa.list_(pa.int32()))], names=["term", "n"])
+
+    # every round reads the words' numbers and counts: as dense rows they would be many times the texts
+    cells = dealt(stored(words_of.select("words").mapInArrow(numbered, "term array<int>, n array<int>"), "counts"), n)
     rng = np.random.default_rng(SEED)
     h = rng.random((topics, v)) + 0.1
-    cells = cells.persist()
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(h)
 
@@ -91,9 +128,11 @@ def nmf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
             gram = basis @ basis.T
             top, square = np.zeros((topics, v)), np.zeros((topics, topics))
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    x = np.asarray(part.column(0).flatten()).reshape(part.num_rows, v).astype(np.float64)
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    x = np.zeros((part.num_rows, v))
+                    row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(part.column(0))))
+                    x[row, np.asarray(part.column(0).flatten())] = np.asarray(part.column(1).flatten())
                     cross = x @ basis.T
                     w = np.full((part.num_rows, topics), 1.0 / topics)
                     for _ in range(inner):
@@ -109,7 +148,6 @@ def nmf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topi
         top, square = flat[: topics * v].reshape(topics, v), flat[topics * v :].reshape(topics, topics)
         h = h * top / (square @ h + 1e-9)
         now.destroy()
-    cells.unpersist()
     out = [(t, r + 1, vocabulary[i], float(h[t, i])) for t in range(topics) for r, i in enumerate(np.argsort(-h[t], kind="stable")[:words].tolist())]
     return spark.createDataFrame(out, "topic int, rank int, word string, weight double")
 
@@ -130,7 +168,7 @@ def coherence(docs: DataFrame, topics: DataFrame, *, text_col: str = "text", win
     def run(batches):
         total, pairs = 0, np.zeros((v, v))
         for batch in batches:
-            for words in batch.column(0).to_pylist():
+            for words in (w for at in range(0, batch.num_rows, SLICE) for w in batch.column(0).slice(at, SLICE).to_pylist()):
                 n = len(words)
                 if not n:
                     continue
