@@ -7,9 +7,11 @@ linear algebra run row by row without a shuffle. Empty texts give empty summarie
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -23,9 +25,21 @@ from ..functions.stemming import stem
 from .features import ngrams
 
 LEAST, MOST, RATIO = 3, 10, 0.3
+SLICE = 64  # documents that are Python objects at a time; a batch of long texts would be many times its bytes
 METHODS = ("textrank", "lexrank", "lsa", "kl")
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE rows; after each batch the memory that the allocators still hold goes back."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+        if trim:
+            trim(0)
+        pa.default_memory_pool().release_unused()
+
+
 def _tfidf(sentences: list[list[str]], features: int) -> list[float]:
     """Of each sentence (its words), the sum of its normalised weights over 1- and 2-grams."""
     counts = [Counter([*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]) for w in sentences]
@@ -59,7 +73,7 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, features: int) -> DataF
     s = docs.select(id_col, T.sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             scores = [_tfidf(w, features) for w in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.list_(pa.float64())), pa.array([_chosen(x) for x in scores], pa.list_(pa.int32()))], names=[id_col, "s", "scores", "picks"])
 
@@ -167,7 +181,7 @@ def ranked(docs: DataFrame, method: str, *, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for sentences in batch.column(1).to_pylist():
                 n = len(sentences)
@@ -210,7 +224,7 @@ def rouge_l(pairs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
     kinds = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for c, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = longest_common(c, r)
@@ -239,7 +253,7 @@ def rouge(pairs: DataFrame, *, keys: tuple[str, ...] = ("doc_id",), stemmed: boo
     names = [f"{x}_{y}" for x in ROUGES for y in PARTS]
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for sides in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c, r = ([stem(w) if stemmed and len(w) > 3 else w for w in side or ()] for side in sides)
