@@ -12,15 +12,15 @@
 5. Components over those edges; every document gets the smallest id it can reach.
 
 ``near_duplicates`` is that, over repeated 3-word shingles. ``near_copies`` serves filtering at a Jaccard similarity of
-0.8 of 5-word shingles, which a 64-bit fingerprint would mostly miss. Texts that share one of BANDS keys of ROWS MinHash
-values meet in a bucket (a pair at 0.8 misses them all once in 38,000 times, one more alike less often); set sizes and
-64 * SKETCH SimHash bits of the shingles estimate their similarity. Only exact similarity, of shingle sets made again from
-the texts, makes a link:
-
-a. Each bucket proposes a spanning forest of its members, the most alike first (fewer pairs than members), and the
-   proposals are confirmed. A bucket of more than ``hot`` members is dealt into parts by a hash, and the trees' roots meet
-   again, until they fit.
-b. Where a bucket still holds several components, the members outside its largest one are compared with all, in blocks of
+0.8 of distinct 5-word shingles. Only exact similarity, of shingle sets made again from the texts, makes a link:
+
+a. The same index proposes links: those of the buckets' forests over a 64-bit SimHash of the shingles.
+b. A 64-bit fingerprint would miss most pairs near 0.8, so texts that share one of BANDS keys of ROWS MinHash values meet
+   in a bucket too (a pair at 0.8 misses them all once in 38,000 times, one more alike less often); set sizes and
+   64 * SKETCH SimHash bits estimate their similarity. Each bucket proposes a spanning forest of its members, the most
+   alike first (fewer pairs than members). A bucket of more than ``hot`` members is dealt into parts by a hash, and the
+   trees' roots meet again, until they fit. The proposals of both are confirmed.
+c. Where a bucket still holds several components, the members outside its largest one are compared with all, in blocks of
    ``hot``. Members that may be similar to one of another component (by four standard errors of the estimate) meet once
    more, with their shingle sets: the exact similarity to all others of a block comes from an inverted list of shingles,
    and only links that join two components leave the task.
@@ -460,7 +460,7 @@ def _sub(n: str, hot: int):
 
 
 def _forest_pairs(met: DataFrame, sizes: DataFrame, sketches: DataFrame, similarity: float, hot: int) -> DataFrame:
-    """a, b: proposals of step a. met: kind, key, node; sizes: kind, key, n; sketches: node, s0 ..."""
+    """a, b: proposals of step b. met: kind, key, node; sizes: kind, key, n; sketches: node, s0 ..."""
     names, out = [c for c in sketches.columns if c != "node"], None
 
     def search(batches):
@@ -592,7 +592,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sizes = stored(dealt.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = stored(dealt.join(sizes, ["kind", "key"], "left_semi"), "met")
     sketches = known.select("node", *sketch)
-    pairs = stored(_forest_pairs(met, sizes, sketches, similarity, hot).distinct(), "pairs")
+    near = near_links(known.select("node", F.col("s0").alias("fp")), hot=hot).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(near.union(_forest_pairs(met, sizes, sketches, similarity, hot)).distinct(), "pairs")
     links = stored(_confirmed(pairs, texts, words, similarity), "links")
     parts = stored(connected_components(links), "parts")
     doubtful = stored(_doubtful(met, parts, sketches, similarity, hot), "doubtful")

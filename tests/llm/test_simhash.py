@@ -100,6 +100,22 @@ def test_near_copies_at_similarity(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
 
 
+def test_near_copies_through_the_index(spark, monkeypatch):
+    """Copies within three bits are linked by the Gray index alone; pairs that it proposes are confirmed."""
+    monkeypatch.setattr(S, "_forest_pairs", lambda met, *_: met.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
+    monkeypatch.setattr(S, "_doubtful", lambda met, *_: met.where("false").select("kind", "key", "node", F.col("node").alias("component")))
+    rng = np.random.default_rng(12)
+    base = [[f"w{i}" for i in rng.integers(0, 5000, 600)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100 + i, " ".join(w[:-1] + ["changed"])) for i, w in enumerate(base)]
+    near = {i for i in range(30) if (S.copy_marks(rows[i][1], 5)[S.BANDS] ^ S.copy_marks(rows[30 + i][1], 5)[S.BANDS]).bit_count() <= S.DISTANCE}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs).collect()}
+    assert len(near) > 20 and all(got[100 + i] == got[i] == i for i in near)
+    assert all(c == i or c == i - 100 for i, c in got.items())
+    strict = {r.doc_id: r.component_id for r in S.near_copies(docs, similarity=0.9999).collect()}
+    assert all(i == c for i, c in strict.items())
+
+
 def jaccard(a, b):
     x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
     return len(x & y) / len(x | y)
